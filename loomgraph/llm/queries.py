@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import leaks, matches, neighbours, packing, subjects, survivors
+from loomgraph.llm import leaks, matches, names, neighbours, packing, scans, subjects, survivors
 from loomgraph.session import cut_lineage, table
 
 
@@ -21,6 +21,18 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.surviving_records(cut_lineage(p1_found(spark, d)), table(spark, d, "entities"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_lines(table(spark, d, "episodes"))
+
+
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_scans(table(spark, d, "episodes"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(table(spark, d, "entities"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "vector_queries")
     found = None
@@ -59,6 +71,9 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_packed": p8_packed,
     "p8_room": p8_room,
