@@ -100,7 +100,7 @@ def _peel(edges: DataFrame, most_hops: int) -> tuple[DataFrame, DataFrame] | Non
     return cut_lineage(rest), level
 
 
-def connected_groups(pairs: DataFrame, shorten: int = 3, most_hops: int = 12) -> DataFrame:
+def connected_groups(pairs: DataFrame, shorten: int = 4, most_hops: int = 12) -> DataFrame:
     """(group_uuid, uuid) for every vertex of pairs (a, b); group_uuid is the smallest uuid of the group.
 
     shorten rounds of minimum propagation first contract long chains, so that the breadth-first peel of
