@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import leaks, matches, names, neighbours, packing, scans, subjects, survivors
+from loomgraph.llm import leaks, markup, matches, names, neighbours, packing, scans, subjects, survivors
 from loomgraph.session import cut_lineage, table
 
 
@@ -42,6 +42,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_elements(table(spark, d, "episodes"))
+
+
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_markup(table(spark, d, "episodes"))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     counts = cut_lineage(packing.token_counts(table(spark, d, "documents")))
     return packing.pack_documents(counts, table(spark, d, "context_windows"))
@@ -75,6 +83,8 @@ QUERIES = {
     "p4_text": p4_text,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_text": p7_text,
     "p8_packed": p8_packed,
     "p8_room": p8_room,
     "p9_found": p9_found,
