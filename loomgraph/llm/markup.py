@@ -292,7 +292,7 @@ def scan_markup(text: str | None) -> tuple[set[tuple[str, str]], str]:
     s.block(r"(?:<li\b[^>]*>[^\n]*\n?)+", "html", "list", lambda m: render(parse_html(m[0])) + "\n\n", re.S | re.I)
     s.block(r"\\begin\{(itemize|enumerate|description)\}(?:\[[^\]]*\])?(.*?)(?:\\end\{\1\}|\Z)", "latex", "list", lambda m: "\n\n" + "\n".join(f"- {x.strip()}" for x in re.split(r"\\item(?:\[[^\]]*\])?", m[2]) if x.strip()) + "\n\n")
     wiki_mark = r"^[*#:;]+[ \t]*"
-    wiki_item = r"(?:[*#]{2,}[ \t]*\S|[*#][ \t]*(?:\[\[|\{\{|'{2,5})|;[ \t]*[^\n]*:|:+[ \t]+\S)[^\n]*$"
+    wiki_item = r"(?:\*{2,}[ \t]+\S|[*#]+[ \t]*(?:\[\[|\{\{|'{2,5})|;[ \t]*[^\n]*:|:+[ \t]+\S)[^\n]*$"
     s.block(rf"(?:^{wiki_item}\n?)+", "wiki", "list", lambda m: "\n\n" + _items(m[0], wiki_mark) + "\n\n", re.M)
     # The heading of one # after blank lines is Markdown's; lists of one # are known by wiki signs above.
     s.block(r"^[ \t]{0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", "markdown", "heading", lambda m: f"\n\n{m[1]} {m[2]}\n\n", re.M)
