@@ -55,14 +55,15 @@ class Codes:
     def _calibrate(self, sample: np.ndarray, rng: np.random.Generator) -> None:
         """radius[i]: the distance that the share KEPT of the pairs of cosine from i / 32 - 1 on stays within."""
         unit, codes = unit_rows(sample), self.encode(sample)
-        own = rng.permutation(len(unit))[:1000]
-        cosines = unit[own] @ unit.T
-        distances = np.bitwise_count(codes[own][:, None] ^ codes[None])
-        step = np.clip(np.floor((cosines + 1) * 32).astype(int), 0, 64)
+        counts = np.zeros((65, self.bits + 1), np.int64)
+        for rows in np.array_split(rng.permutation(len(unit))[:1000], 50):
+            step = np.clip(np.floor((unit[rows] @ unit.T + 1) * 32).astype(np.int64), 0, 64)
+            far = np.bitwise_count(codes[rows][:, None] ^ codes[None]).astype(np.int64)
+            counts += np.bincount((step * (self.bits + 1) + far).ravel(), minlength=counts.size).reshape(counts.shape)
         radius = np.full(65, self.bits, np.int64)
         for i in range(65):
-            if (d := distances[step == i]).size >= 2:
-                radius[i] = int(np.quantile(d, KEPT))
+            if (n := counts[i].sum()) >= 2:
+                radius[i] = int(np.searchsorted(np.cumsum(counts[i]), KEPT * n))
             elif i:
                 radius[i] = radius[i - 1]
         self.radius = np.maximum.accumulate(radius[::-1])[::-1]  # closer pairs are not farther apart
