@@ -14,12 +14,13 @@ LEAST_JACCARD = 0.5
 
 
 def candidate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(group_id, lo, hi, jaccard, cosine): entities of one group and type with vectors that are to be merged.
+    """(group_id, lo, hi, jaccard): links between entities of one group and type with vectors that are to be merged.
 
-    Linked are names of Jaccard 0.5 or more whose cosine or Jaccard reaches the threshold. A Jaccard of 0.5
-    takes at least half of the shorter name's words shared, so blocking on the rarest words of a name, as
-    many as leave less than half unshared, loses nothing; word sets that many entities have in common are
-    compared once for all of them.
+    Two entities belong together if their names' Jaccard is 0.5 or more and their cosine or Jaccard reaches
+    the threshold. Equal word sets always do, so each entity is linked to the least of its set, and sets of
+    a Jaccard at the threshold by their least entities; the links have the same connected components as all
+    pairs would. Only sets that need the cosine are compared entity by entity. Blocking on the rarest words
+    of a set, as many as a Jaccard of 0.5 cannot do without, loses nothing.
     """
     usable = entities.where("size(embedding) > 0 AND uuid IS NOT NULL AND name IS NOT NULL")
     words = F.array_sort(F.array_distinct(fields(F.lower("name"))))
@@ -34,16 +35,20 @@ def candidate_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     keyed = each.join(frequency, [*block, "word"]).withColumn("place", F.row_number().over(order))
     keyed = keyed.where(F.col("place") <= F.size("words") - F.ceil(F.size("words") * LEAST_JACCARD) + 1).select(*block, "word", "set_id", "words")
     other = keyed.select(*block, "word", F.col("set_id").alias("set_b"), F.col("words").alias("words_b"))
-    near = keyed.join(other, [*block, "word"]).where("set_id <= set_b AND size(words) <= 2 * size(words_b) AND size(words_b) <= 2 * size(words)")
+    near = keyed.join(other, [*block, "word"]).where("set_id < set_b AND size(words) <= 2 * size(words_b) AND size(words_b) <= 2 * size(words)")
     shared, every = F.size(F.array_intersect("words", "words_b")), F.size(F.array_union("words", "words_b"))
     near = near.select(*block, "set_id", "set_b", (shared / every).alias("jaccard"), "words", "words_b").where(F.col("jaccard") >= LEAST_JACCARD)
-    near = near.dropDuplicates([*block, "set_id", "set_b"])
+    near = cut_lineage(near.dropDuplicates([*block, "set_id", "set_b"]))
+    first = rows.groupBy(*block, "words").agg(F.min("uuid").alias("first"))
+    same = rows.join(first, [*block, "words"]).where("uuid <> first").select("group_id", F.col("first").alias("u"), F.col("uuid").alias("w"), F.lit(1.0).alias("jaccard"))
+    firsts = first.select(*block, F.col("words").alias("words_b"), F.col("first").alias("w"))
+    sure = near.where(F.col("jaccard") >= threshold).join(first.withColumnRenamed("first", "u"), [*block, "words"]).join(firsts, [*block, "words_b"]).select("group_id", "u", "w", "jaccard")
     a = rows.select(*block, "words", F.col("uuid").alias("u"), F.col("embedding").alias("ea"))
     b = rows.select(*block, F.col("words").alias("words_b"), F.col("uuid").alias("w"), F.col("embedding").alias("eb"))
-    pairs = near.join(a, [*block, "words"]).join(b, [*block, "words_b"]).where("u <> w AND (set_id <> set_b OR u < w)")
-    score = cosine(F.col("ea"), F.col("eb"))
-    linked = pairs.select("group_id", F.least("u", "w").alias("lo"), F.greatest("u", "w").alias("hi"), "jaccard", score.alias("cosine"))
-    return linked.where((F.col("cosine") >= threshold) | (F.col("jaccard") >= threshold)).distinct()
+    close = near.where(F.col("jaccard") < threshold).join(a, [*block, "words"]).join(b, [*block, "words_b"])
+    close = close.where(cosine(F.col("ea"), F.col("eb")) >= threshold).select("group_id", "u", "w", "jaccard")
+    linked = same.unionByName(sure).unionByName(close)
+    return linked.select("group_id", F.least("u", "w").alias("lo"), F.greatest("u", "w").alias("hi"), "jaccard").distinct()
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
