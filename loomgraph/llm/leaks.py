@@ -1,8 +1,8 @@
 """Evaluation items in training text: an FM-index of every shard, searched backwards for the items' phrases.
 
 Texts are sequences of normalised words; a word that no phrase has is number 0. The index is a Burrows-Wheeler
-transform sorted as deep as the phrases are long, with ranks from a wavelet tree and every 16th text position
-sampled. A stretch with at most one changed or inserted word in any ten has nine words in sequence, so phrases
+transform sorted as deep as the phrases are long, with ranks from a wavelet tree and the text position of every
+row. A stretch with at most one changed or inserted word in any ten has nine words in sequence, so phrases
 of nine words find all; each place found is then followed word by word in both directions.
 """
 
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 PHRASE = 9
 SPACING = 10  # at most one change in so many words
 SHARD_WORDS = 1_000_000
-SAMPLED = 16
 
 # Letters of other scripts that look like Latin ones.
 _LOOK_ALIKES = str.maketrans(
@@ -116,10 +115,7 @@ class Index:
             self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
             self.zeros.append(int(n - bit.sum()))
             rows = np.concatenate([rows[bit == 0], rows[bit == 1]])
-        at = np.flatnonzero(self.order % SAMPLED == 0)
-        self.sample = np.full(n, -1, np.int32)
-        self.sample[at] = self.order[at]
-        del self.order
+        self.order = self.order.astype(np.int32)
 
     def rank(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each word stands before row at of the transform."""
@@ -131,15 +127,6 @@ class Index:
             start = np.where(bit, self.zeros[k] + ones_start, start - ones_start)
         return at - start
 
-    def word(self, row: np.ndarray) -> np.ndarray:
-        row, word = row.copy(), np.zeros_like(row)
-        for k in range(self.levels):
-            ones = self.ones[k][row]
-            bit = self.ones[k][row + 1] - ones
-            word = word * 2 + bit
-            row = np.where(bit == 1, self.zeros[k] + ones, row - ones)
-        return word
-
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.n, np.int64)
@@ -152,18 +139,9 @@ class Index:
         return low, np.maximum(high, low)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Text positions: back word by word to a sampled one."""
-        out, row, steps = np.full(len(rows), -1, np.int64), rows.copy(), 0
-        live = np.arange(len(rows))
-        while len(live):
-            known = self.sample[row[live]]
-            done = known >= 0
-            out[live[done]] = known[done] + steps
-            live = live[~done]
-            word = self.word(row[live])
-            row[live] = self.before[word] + self.rank(word, row[live])
-            steps += 1
-        return out % self.n
+        """Text positions. Every row keeps its own: a sort no deeper than the phrases does not allow to walk
+        back from row to row to a sampled one, as rows that agree to that depth may change their order."""
+        return self.order[rows].astype(np.int64)
 
 
 def _follow(item: np.ndarray, text: np.ndarray, i: int, j: int, step: int, room: int) -> tuple[int, int, int]:
@@ -223,13 +201,16 @@ def find_leaks(items: Items, ids: list[int], texts: list[list[str]], least_words
         rows = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True) if b > a])
         at = index.locate(rows)
         docs = np.searchsorted(starts, at, side="right") - 1
-        done: set[tuple[int, int, int, int]] = set()
+        done: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for hit, doc, j in sorted(zip(hits.tolist(), docs.tolist(), (at - starts[docs]).tolist(), strict=True)):
             for number, i in places[hit]:
-                if any(d == doc and t == number and j0 <= j < j1 for d, t, j0, j1 in _near(done, doc, number, j)):
+                followed = done.setdefault((doc, number), [])
+                # A place within a stretch that was followed on the same diagonal gives that stretch again.
+                if any(j0 <= j < j1 and abs((j - i) - shift) <= 3 for j0, j1, shift in followed):
                     continue
                 item, whole, words, written = items.texts[number]
                 for i0, i1, j0, j1 in _stretch(items.coded[number], coded[doc][:-1], i, j, size):
+                    followed.append((j0, j1, j0 - i0))
                     if whole:
                         edge = (i0 > 0) + (i1 < len(words))
                         good = i0 <= 1 and i1 >= len(words) - 1 and edge <= 1 + (len(words) > SPACING)
@@ -237,14 +218,9 @@ def find_leaks(items: Items, ids: list[int], texts: list[list[str]], least_words
                         good = written[i1] - written[i0] >= least_words
                     if good:
                         out.add((item, ids[doc], "question" if whole else "passage", j0, j1))
-                        done.add((doc, number, j0, j1))
     return sorted(out)
 
 
-def _near(done: set, doc: int, number: int, j: int) -> list[tuple[int, int, int, int]]:
-    return [d for d in done if d[0] == doc and d[1] == number] if len(done) < 2000 else []
-
-
 def leaked_spans(documents: DataFrame, items: DataFrame, least_words: int = 20, most_items: int = 100_000) -> DataFrame:
     """(item_id, doc_id, part, first_word, end_word): stretches of items in documents, in words of the text.
 
