@@ -1,3 +1,242 @@
-"""The registered queries in SQL."""
+"""The registered queries in SQL, for comparison on the same tables."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from loomgraph.functions.text import CLASS_PARTS, INTENT_WORDS, INTRODUCTIONS, PHI
+from loomgraph.operators.evalqa import CATEGORIES, NO_FACTS
+
+_E = "e AS (SELECT * FROM entities QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY seq) = 1)"
+_G = "g AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY seq) = 1)"
+_P = "p AS (SELECT * FROM episodes QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY seq) = 1)"
+_KNOWN = """k AS (SELECT g.group_id, least(source_uuid, target_uuid) AS lo, greatest(source_uuid, target_uuid) AS hi FROM g
+  WHERE source_uuid <> target_uuid AND EXISTS (SELECT 1 FROM e WHERE e.uuid = source_uuid AND e.group_id = g.group_id)
+  AND EXISTS (SELECT 1 FROM e WHERE e.uuid = target_uuid AND e.group_id = g.group_id))"""
+_LINKED = """l AS (SELECT DISTINCT e.uuid AS entity_uuid, p.uuid AS episode_uuid, p.source, p.created_at
+  FROM entity_episodes x JOIN e ON e.uuid = x.entity_uuid JOIN p ON p.uuid = x.episode_uuid AND p.group_id = e.group_id)"""
+_JOBS = """j AS (SELECT * FROM jobs WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id
+  ORDER BY updated_at DESC NULLS LAST, coalesce(attempts, 0) DESC, coalesce(status, '') DESC) = 1)"""
+_NOW = "TIMESTAMPTZ '2026-06-01 00:00:00+00'"
+_RESULTS = """r AS (SELECT group_id AS query_id, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC NULLS LAST, uuid) AS rank,
+  uuid, source AS title, content AS body, source FROM p)"""
+_SESSION = r"coalesce(TRY_CAST(CASE WHEN regexp_matches(regexp_extract({0}, '.*session_([^/]*)', 1), '^[+-]?[0-9]{{1,9}}$') THEN regexp_extract({0}, '.*session_([^/]*)', 1) END AS INTEGER), 0)"
+_PLAIN = r"trim(regexp_replace(replace(replace(replace(regexp_replace(lower({0}), '\p{{P}}', '', 'g'), ' a ', ' '), ' an ', ' '), ' the ', ' '), '\s+', ' ', 'g'))"
+_COSINE = "coalesce(list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 0)"
+
+
+def _usable(v: str) -> str:
+    return f"(coalesce(len({v}), 0) = 32 AND len(list_filter({v}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0)"
+
+
+def _fields(c: str) -> str:
+    return rf"list_filter(string_split(trim(regexp_replace({c}, '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _class(c: str) -> str:
+    cases = " ".join("WHEN " + " OR ".join(f"contains(upper({c}), '{p}')" for p in parts) + f" THEN '{kind}'" for kind, parts in CLASS_PARTS.items())
+    return f"CASE WHEN coalesce({c}, '') = '' THEN 'unknown' {cases} ELSE 'attributive' END"
+
+
+def _phi() -> str:
+    return ", ".join(f"('{i}', '{c}', {v})" for i, row in PHI.items() for c, v in row.items())
+
+
+def _intent(c: str) -> str:
+    every = _quoted([w for own in INTENT_WORDS.values() for w in own])
+    first = f"list_filter({_fields(f'lower({c})')}, lambda w: w IN ({every}))[1]"
+    return "CASE " + " ".join(f"WHEN {first} IN ({_quoted(own)}) THEN '{i}'" for i, own in INTENT_WORDS.items()) + " ELSE 'WHAT' END"
+
+
+def _jaccard(a: str, b: str) -> str:
+    x, y = f"list_distinct({_fields(f'lower({a})')})", f"list_distinct({_fields(f'lower({b})')})"
+    return f"CASE WHEN len({x}) + len({y}) = 0 THEN 0 ELSE len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) END"
+
+
+def _tokens(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: x <> '')"
+
+
+def _terms(c: str) -> str:
+    parts = _fields(f"regexp_replace({c}, '[''’`]', ' ', 'g')")
+    plain = rf"list_transform({parts}, lambda x: regexp_replace(x, '[^\p{{L}}\p{{Nd}}_]', '', 'g'))"
+    return rf"list_filter({plain}, lambda x: strlen(x) >= 2 OR regexp_matches(x, '^[0-9]+$'))"
+
+
+_SEARCHES = f"""q AS (SELECT query_id, e.name AS text, e.group_id, CASE WHEN {_usable('e.embedding')} THEN e.embedding END AS embedding
+  FROM vector_queries v JOIN e ON e.uuid = v.uuid WHERE kind = 'entities' AND e.name IS NOT NULL
+  UNION ALL SELECT query_id, g.fact, g.group_id, CASE WHEN {_usable('g.embedding')} THEN g.embedding END
+  FROM vector_queries v JOIN g ON g.uuid = v.uuid WHERE kind = 'edges' AND g.fact IS NOT NULL)"""
+
+
+def _bm25(docs: str) -> str:
+    return rf"""d AS ({docs}), post AS (
+  SELECT doc, dl, token, count(*) AS tf FROM (SELECT doc, len({_tokens('text')}) AS dl, unnest({_tokens('text')}) AS token FROM d WHERE text IS NOT NULL) GROUP BY ALL
+), stats AS (SELECT count(*) AS n_docs, avg(CASE WHEN text IS NULL THEN 0 ELSE len({_tokens('text')}) END) AS avgdl FROM d
+), raw AS (SELECT query_id, unnest({_terms('lower(text)')}) AS r, generate_subscripts({_terms('lower(text)')}, 1) AS pos FROM q
+), terms AS (SELECT query_id, pos, term FROM (SELECT query_id, pos, unnest(string_split(r, '_')) AS term FROM raw) WHERE term <> ''
+), vocabulary AS (SELECT DISTINCT token FROM post
+), matched AS (SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM terms) JOIN vocabulary ON starts_with(token, term)
+), hits AS (SELECT term, doc, sum(tf) AS tf, any_value(dl) AS dl FROM matched JOIN post USING (token) GROUP BY term, doc
+), found AS (SELECT term, count(*) AS n FROM hits GROUP BY term
+), scored AS (SELECT query_id, doc, sum(greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM terms JOIN hits USING (term) JOIN found USING (term) CROSS JOIN stats GROUP BY query_id, doc
+), bm AS (SELECT query_id, doc AS uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) - 1 AS rank
+  FROM scored JOIN (SELECT doc, group_id FROM d) USING (doc) JOIN (SELECT query_id, group_id AS asked FROM q) USING (query_id) WHERE group_id = asked
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) <= 20)"""
+
+
+_KNN = f"""vec AS (SELECT group_id, uuid AS id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM e WHERE {_usable('embedding')}
+), near AS (SELECT a.group_id, a.id, b.id AS other, list_inner_product(a.v, b.v) / (a.n * b.n) AS score,
+  row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) / (a.n * b.n) DESC, b.id) AS rank
+  FROM vec a JOIN vec b ON a.group_id = b.group_id AND a.id <> b.id QUALIFY rank <= 20)"""
+
+_WORDS = f"list_sort(list_distinct({_fields('lower(name)')}))"
+_CLUSTERS = f"""rows AS (SELECT group_id, entity_type, uuid, name, CAST(embedding AS DOUBLE[]) AS v, {_WORDS} AS words FROM e WHERE len(embedding) > 0 AND name IS NOT NULL AND len({_WORDS}) > 0
+), pairs AS (SELECT a.uuid AS x, b.uuid AS y, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS jaccard,
+  CASE WHEN len(a.v) = len(b.v) THEN coalesce(list_cosine_similarity(a.v, b.v), 0) ELSE 0 END AS cosine
+  FROM rows a JOIN rows b ON a.group_id = b.group_id AND a.entity_type = b.entity_type AND a.uuid < b.uuid
+), links AS (SELECT x, y FROM pairs WHERE jaccard >= 0.5 AND (jaccard >= 0.85 OR (cosine >= 0.85 AND NOT isnan(cosine)))
+), ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(root, uuid) AS (SELECT x, x FROM ways UNION SELECT r.root, w.y FROM reach r JOIN ways w ON w.x = r.uuid
+), clusters AS (SELECT min(root) AS cluster, uuid FROM reach GROUP BY uuid)"""
+_DEGREE = """deg AS (SELECT group_id, uuid, count(*) AS degree FROM (SELECT DISTINCT group_id, uuid AS edge, unnest([source_uuid, target_uuid]) AS uuid FROM g) WHERE uuid IS NOT NULL GROUP BY ALL)"""
+_CANON = """canon AS (SELECT cluster, uuid AS canonical FROM clusters JOIN e USING (uuid) LEFT JOIN deg USING (group_id, uuid)
+  QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY coalesce(degree, 0) DESC, strlen(name) DESC, seq, uuid) = 1
+), moved AS (SELECT uuid, canonical FROM clusters JOIN canon USING (cluster) WHERE uuid <> canonical)"""
+_MOVED = f"{_CLUSTERS}, {_DEGREE}, {_CANON}"
+_TYPED = "CASE WHEN lower(entity_type) = 'person' THEN 'Person' ELSE entity_type END"
+_INPUTS = f"""own AS (SELECT group_id, community_id, uuid, name, {_TYPED} AS entity_type FROM e WHERE community_id >= 0
+), people AS (SELECT group_id, community_id, count(*) FILTER (entity_type = 'Person') AS people, string_agg(name, '|' ORDER BY name) AS names, string_agg(name, ', ' ORDER BY name) AS roster
+  FROM own GROUP BY ALL HAVING count(*) FILTER (entity_type = 'Person') >= 3
+), ends AS (SELECT group_id, seq, uuid, fact, unnest([source_uuid, target_uuid]) AS e_uuid FROM g WHERE fact IS NOT NULL AND fact <> ''
+), touching AS (SELECT DISTINCT t.group_id, m.community_id, t.seq, t.uuid, t.fact FROM ends t JOIN own m ON m.group_id = t.group_id AND m.uuid = t.e_uuid
+  JOIN people x ON x.group_id = t.group_id AND x.community_id = m.community_id
+), firsts AS (SELECT *, row_number() OVER (PARTITION BY group_id, community_id ORDER BY seq, uuid) AS n FROM touching QUALIFY n <= 5
+), facts AS (SELECT group_id, community_id, string_agg(fact, '|' ORDER BY n) AS facts, string_agg(fact, ' ' ORDER BY n) AS told FROM firsts GROUP BY ALL)"""
+_ANSWERS = f"""a AS (SELECT item_id, category, answer AS gold, lead(answer) OVER (PARTITION BY sample_id ORDER BY item_id) AS prediction FROM eval_items
+), w AS (SELECT *, {_fields(_PLAIN.format("coalesce(prediction, '')"))} AS x, {_fields(_PLAIN.format("coalesce(gold, '')"))} AS y,
+  CASE WHEN prediction IS NULL THEN -1 WHEN gold IS NULL THEN NULL ELSE CAST(prediction = gold AS INTEGER) END AS judge FROM a
+), c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda u: u = t)), len(list_filter(y, lambda u: u = t))))), 0) AS common FROM w
+), s AS (SELECT item_id, category, judge, CASE WHEN common = 0 THEN 0.0 ELSE 2.0 * common / (len(x) + len(y)) END AS f1,
+  CASE WHEN {_PLAIN.format("coalesce(prediction, '')")} = {_PLAIN.format("coalesce(gold, '')")} THEN 1.0 ELSE 0.0 END AS em FROM c)"""
+_CATEGORY = "CASE category " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in CATEGORIES.items()) + " ELSE 'cat-' || category END"
+_ROLL = "count(*) AS n, round(avg(f1), 6) AS avg_f1, round(avg(em), 6) AS avg_em, count(*) FILTER (judge >= 0) AS n_judged, round(coalesce(avg(judge) FILTER (judge >= 0), 0), 6) AS avg_judge"
+
+ORACLE: dict[str, str] = {
+    "group_scan": "SELECT DISTINCT uuid FROM entities WHERE group_id = 'default'",
+    "edge_list": f"WITH {_G} SELECT source_uuid, target_uuid FROM g WHERE group_id = 'default'",
+    "with_embedding": " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS kind, uuid, group_id FROM {k} WHERE embedding IS NOT NULL" for k in ("entities", "edges", "episodes")),
+    "count_by_group": " UNION ALL ".join(f"SELECT group_id, count(DISTINCT uuid) AS n, '{k}' AS kind FROM {k} GROUP BY group_id" for k in ("entities", "edges", "episodes")),
+    "usable_vectors": f"SELECT DISTINCT uuid, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM edges WHERE {_usable('embedding')}",
+    "last_source_name": f"""WITH {_P} SELECT uuid, {_SESSION.format('source')} AS session,
+  CASE WHEN starts_with(string_split(source, '/')[-1], 'session_') THEN '[' || string_split(source, '/')[-1] || '] ' ELSE '' END AS tag,
+  CASE WHEN strlen(source) > 12 THEN '…' || right(source, 9) ELSE source END AS short FROM p WHERE source IS NOT NULL""",
+    "episode_upsert_fold": """SELECT uuid, arg_max_null(content, seq) AS content, arg_min_null(group_id, seq) AS group_id, arg_min_null(source, seq) AS source,
+  len(arg_max_null(embedding, seq)) AS dim FROM episodes GROUP BY uuid""",
+    "entity_upsert_fold": """SELECT group_id, arg_min_null(uuid, seq) AS uuid, arg_min_null(name, seq) AS name, arg_min_null(entity_type, seq) AS entity_type,
+  coalesce(arg_max_null(description, seq) FILTER (len(embedding) > 0), arg_min_null(description, seq)) AS description,
+  len(arg_max_null(embedding, seq) FILTER (len(embedding) > 0)) AS dim, count(*) AS n_arrivals
+  FROM entities WHERE name IS NOT NULL GROUP BY group_id, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')""",
+    "edge_upsert_fold": """SELECT arg_min_null(uuid, seq) AS uuid, source_uuid, target_uuid, name, group_id, arg_max_null(fact, seq) AS fact, arg_min_null(valid_at, seq) AS valid_at,
+  arg_min_null(invalid_at, seq) AS invalid_at, arg_min_null(episodes, seq) AS episodes, count(*) AS n_arrivals
+  FROM edges WHERE source_uuid IS NOT NULL AND target_uuid IS NOT NULL AND name IS NOT NULL GROUP BY source_uuid, target_uuid, name, group_id""",
+    "link_fold": "SELECT DISTINCT entity_uuid, episode_uuid FROM entity_episodes WHERE entity_uuid IS NOT NULL AND episode_uuid IS NOT NULL",
+    "keep_first_edges": "SELECT seq, uuid FROM edges WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_uuid, target_uuid, name, group_id ORDER BY seq) = 1",
+    "chunk_documents": """WITH c AS (SELECT doc_id, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1500) / 1350.0) * 1350) AS BIGINT) + 1, 1350)) AS pos, text FROM documents WHERE text IS NOT NULL
+), w AS (SELECT doc_id, CAST(pos / 1350 AS INTEGER) AS chunk_no, substring(text, pos + 1, 1500) AS chunk FROM c)
+SELECT doc_id, chunk_no, length(chunk) AS n, md5(chunk) AS digest FROM w WHERE strlen(trim(chunk, ' ')) >= 50""",
+    "approx_tokens": "SELECT doc_id, CAST(floor((strlen(text) + 3) / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL",
+    "normalize_answer": f"SELECT item_id, {_PLAIN.format('answer')} AS plain FROM eval_items WHERE answer IS NOT NULL",
+    "token_jaccard": f"""WITH {_E}, m AS (SELECT DISTINCT uuid_a, uuid_b FROM entity_matches)
+SELECT uuid_a, uuid_b, round({_jaccard('a.name', 'b.name')}, 6) AS jaccard FROM m JOIN e a ON a.uuid = uuid_a JOIN e b ON b.uuid = uuid_b WHERE a.name IS NOT NULL AND b.name IS NOT NULL""",
+    "fts_query_compile": f"SELECT item_id, array_to_string(list_transform({_terms('question')}, lambda x: x || '*'), ' OR ') AS compiled FROM eval_items",
+    "intent_class": f"""SELECT item_id, {_intent('question')} AS intent,
+  regexp_matches(lower(trim(question)), '^(?:(?:would|could|might|will) |is it (?:likely|possible))') AS hypothetical FROM eval_items""",
+    "edge_class": f"""WITH c AS (SELECT DISTINCT name, {_class('name')} AS class FROM edges), t(intent, class, phi) AS (VALUES {_phi()}) SELECT name, class, intent, CAST(phi AS DOUBLE) AS phi FROM c JOIN t USING (class)""",
+    "entity_embed_text": f"""WITH {_E} SELECT uuid, coalesce(nullif(description, ''), CASE {" ".join(f"WHEN entity_type = '{k}' THEN '{v}'" for k, v in INTRODUCTIONS.items())} ELSE 'A concept called ' END || name) AS text FROM e WHERE name IS NOT NULL""",
+    "ascii_key": "SELECT translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, count(*) AS n FROM entities WHERE name IS NOT NULL GROUP BY ALL",
+    "cosine_pairs": f"""WITH {_E}, m AS (SELECT DISTINCT uuid_a, uuid_b FROM entity_matches) SELECT uuid_a, uuid_b, round({_COSINE.format('a.embedding', 'b.embedding')}, 6) AS cosine
+FROM m JOIN e a ON a.uuid = uuid_a JOIN e b ON b.uuid = uuid_b WHERE {_usable('a.embedding')} AND {_usable('b.embedding')}""",
+    "vector_topk": f"""WITH {_P}, v AS (SELECT uuid, group_id, CAST(embedding AS DOUBLE[]) AS v FROM p WHERE {_usable('embedding')})
+SELECT query_id, b.uuid, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM vector_queries q JOIN v a ON a.uuid = q.uuid JOIN v b ON a.group_id = b.group_id
+WHERE kind = 'episodes' AND list_cosine_similarity(a.v, b.v) > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.uuid) <= 20""",
+    "knn20": f"WITH {_E}, {_KNN} SELECT group_id, id, other, round(score, 6) AS score, rank FROM near",
+    "mutual_knn": f"WITH {_E}, {_KNN} SELECT a.group_id, a.id AS source_uuid, a.other AS target_uuid FROM near a JOIN near b ON a.id = b.other AND a.other = b.id WHERE a.id < a.other",
+    "neighbors": f"""WITH {_E}, {_G}, n AS (SELECT group_id, source_uuid AS uuid, target_uuid AS neighbour, fact, name AS edge_name FROM g UNION SELECT group_id, target_uuid, source_uuid, fact, name FROM g)
+SELECT n.group_id, n.uuid, n.neighbour, e.name, e.entity_type, n.fact, n.edge_name FROM n JOIN e ON e.uuid = n.neighbour AND e.group_id = n.group_id WHERE n.uuid IS NOT NULL""",
+    "edges_for_entities": f"""WITH {_E}, {_G}, c AS (SELECT uuid, group_id FROM e WHERE lower(entity_type) = 'person')
+SELECT uuid, source_uuid, target_uuid FROM g WHERE (source_uuid, group_id) IN (SELECT (uuid, group_id) FROM c) OR (target_uuid, group_id) IN (SELECT (uuid, group_id) FROM c)""",
+    "degree": f"WITH {_G}, {_DEGREE} SELECT group_id, uuid, degree FROM deg",
+    "multi_edge_weight": f"WITH {_E}, {_G}, {_KNOWN} SELECT group_id, lo, hi, count(*) AS weight FROM k GROUP BY ALL",
+    "adjacency": f"""WITH {_E}, {_G}, {_KNOWN}, w AS (SELECT group_id, lo AS node, hi AS other FROM k UNION SELECT group_id, hi, lo FROM k)
+SELECT group_id, node, CAST(count(*) AS INTEGER) AS degree, md5(string_agg(other, ',' ORDER BY other)) AS digest FROM w GROUP BY group_id, node""",
+    "entities_for_episodes": f"WITH {_E}, {_P}, {_LINKED} SELECT entity_uuid, episode_uuid FROM l",
+    "episodes_for_entities": f"""WITH {_E}, {_P}, {_LINKED} SELECT entity_uuid, episode_uuid, row_number() OVER (PARTITION BY entity_uuid ORDER BY created_at DESC NULLS LAST, episode_uuid) AS rank FROM l
+QUALIFY row_number() OVER (PARTITION BY entity_uuid ORDER BY created_at DESC NULLS LAST, episode_uuid) <= 3""",
+    "entity_source": f"WITH {_E}, {_P}, {_LINKED} SELECT entity_uuid, source FROM l QUALIFY row_number() OVER (PARTITION BY entity_uuid ORDER BY created_at NULLS LAST, episode_uuid) = 1",
+    "edge_source": f"""WITH {_G}, {_P}, x AS (SELECT uuid, CAST(json(episodes) AS VARCHAR[]) AS list FROM g WHERE episodes IS NOT NULL AND episodes <> ''
+), y AS (SELECT uuid AS edge_uuid, unnest(list) AS episode_uuid, generate_subscripts(list, 1) AS pos FROM x)
+SELECT edge_uuid, source FROM y JOIN p ON p.uuid = episode_uuid QUALIFY row_number() OVER (PARTITION BY edge_uuid ORDER BY pos) = 1""",
+    "corpus_stats": f"WITH {_E}, {_G}, {_P} " + " UNION ALL ".join(
+        f"SELECT '{k}' AS corpus, count(*) AS n_docs, round(avg(CASE WHEN {c} IS NULL THEN 0 ELSE len({_tokens(c)}) END), 6) AS avgdl FROM {t}" for k, c, t in (("entities", "name", "e"), ("edges", "fact", "g"), ("episodes", "content", "p"))
+    ),
+    "postings": f"WITH {_G}, t AS (SELECT uuid, unnest({_tokens('fact')}) AS token FROM g WHERE fact IS NOT NULL) SELECT token, count(DISTINCT uuid) AS n_docs, count(*) AS tf FROM t GROUP BY token",
+    "lateral_inhibition": f"""WITH {_G}, {_DEGREE}, r AS (SELECT group_id AS query_id, uuid, CAST(degree AS DOUBLE) AS a, row_number() OVER (PARTITION BY group_id ORDER BY degree DESC, uuid) - 1 AS i FROM deg
+), s AS (SELECT query_id, uuid, a, i, coalesce(sum(CASE WHEN i < 7 THEN a END) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM r)
+SELECT query_id, uuid, round(a - 0.15 * (above - least(i, 7) * a), 6) AS activation FROM s WHERE a - 0.15 * (above - least(i, 7) * a) > 0""",
+    "rrf_fusion": f"""WITH {_E}, {_G}, {_SEARCHES}, {_bm25('SELECT uuid AS doc, fact AS text, group_id FROM g')}, near AS (
+  SELECT query_id, g.uuid, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])) DESC, g.uuid) - 1 AS rank
+  FROM q JOIN g USING (group_id) WHERE q.embedding IS NOT NULL AND {_usable('g.embedding')} AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])) > 0.5
+), parts AS (SELECT query_id, uuid, 1.0 / (rank + 2) AS part FROM bm UNION ALL SELECT query_id, uuid, 0.5 / (rank + 2) FROM near WHERE rank < 20
+), fused AS (SELECT query_id, uuid, sum(part) AS score FROM parts GROUP BY ALL)
+SELECT query_id, 'edge' AS kind, uuid, round(score, 6) AS score FROM fused QUALIFY score >= 0.15 * max(score) OVER (PARTITION BY query_id) AND max(score) OVER (PARTITION BY query_id) >= 0.1""",
+    "token_budget": f"""WITH {_P}, {_RESULTS}, c AS (SELECT query_id, uuid, CAST(sum(floor((strlen(coalesce(title, '') || coalesce(body, '')) + 3) / 4.0)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM r)
+SELECT query_id, uuid, used FROM c WHERE used <= 4000""",
+    "temporal_decay": f"""WITH {_P}, {_RESULTS}, s AS (SELECT *, {_SESSION.format("coalesce(source, '')")} AS s FROM r), m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS most FROM s)
+SELECT query_id, uuid, round(1.0 / rank * CASE WHEN most > 1 AND s > 0 THEN exp(-0.3 * (most - s) / most) ELSE 1 END, 6) AS score FROM m""",
+    "relative_cutoff": f"WITH {_P}, {_RESULTS} SELECT query_id, uuid FROM r WHERE 1.0 / rank >= 0.15",
+    "resolve_clusters": f"WITH RECURSIVE {_E}, {_CLUSTERS} SELECT cluster, uuid FROM clusters",
+    "resolve_canonical": f"WITH RECURSIVE {_E}, {_G}, {_MOVED} SELECT cluster, canonical FROM canon",
+    "merge_edges": f"""WITH RECURSIVE {_E}, {_G}, {_MOVED}, x AS (SELECT g.uuid, g.seq, g.group_id, coalesce(a.canonical, source_uuid) AS source_uuid, coalesce(b.canonical, target_uuid) AS target_uuid, g.name
+  FROM g LEFT JOIN moved a ON a.uuid = source_uuid LEFT JOIN moved b ON b.uuid = target_uuid)
+SELECT uuid, source_uuid, target_uuid, name FROM x WHERE NOT coalesce(source_uuid = target_uuid AND source_uuid IN (SELECT canonical FROM moved), false)
+QUALIFY row_number() OVER (PARTITION BY source_uuid, target_uuid, name, group_id ORDER BY seq, uuid) = 1""",
+    "merge_episodes": f"WITH RECURSIVE {_E}, {_G}, {_MOVED} SELECT DISTINCT coalesce(canonical, entity_uuid) AS entity_uuid, episode_uuid FROM entity_episodes LEFT JOIN moved ON moved.uuid = entity_uuid",
+    "merge_entities": f"WITH RECURSIVE {_E}, {_G}, {_MOVED} SELECT uuid, group_id FROM e WHERE uuid NOT IN (SELECT uuid FROM moved)",
+    "resolve_summary": f"""WITH RECURSIVE {_E}, {_G}, {_CLUSTERS}, dup AS (SELECT uuid FROM clusters WHERE uuid <> cluster)
+SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS clusters, (SELECT count(*) FROM dup) AS entities_merged,
+  (SELECT count(*) FROM g WHERE source_uuid IN (SELECT uuid FROM dup)) + (SELECT count(*) FROM g WHERE target_uuid IN (SELECT uuid FROM dup)) AS edges_retargeted,
+  (SELECT count(*) FROM (SELECT DISTINCT * FROM entity_episodes) WHERE entity_uuid IN (SELECT uuid FROM dup)) AS episodes_relinked""",
+    "curvature_cost_hist": f"""WITH {_E}, {_G}, {_KNOWN}, s AS (SELECT DISTINCT * FROM k), w AS (SELECT group_id, lo AS x, hi AS y FROM s UNION SELECT group_id, hi, lo FROM s
+), c AS (SELECT s.group_id, s.lo, s.hi, a.y AS a, b.y AS b FROM s JOIN w a ON a.group_id = s.group_id AND a.x = s.lo JOIN w b ON b.group_id = s.group_id AND b.x = s.hi
+), d AS (SELECT c.group_id, c.lo, c.hi, CASE WHEN a = b THEN 0 WHEN ab.x IS NOT NULL THEN 1 WHEN lb.x IS NOT NULL OR ha.x IS NOT NULL THEN 2 ELSE 3 END AS cost FROM c
+  LEFT JOIN w ab ON ab.group_id = c.group_id AND ab.x = a AND ab.y = b LEFT JOIN w lb ON lb.group_id = c.group_id AND lb.x = c.lo AND lb.y = b LEFT JOIN w ha ON ha.group_id = c.group_id AND ha.x = c.hi AND ha.y = a)
+SELECT group_id, lo, hi, {", ".join(f"count(*) FILTER (cost = {i}) AS n{i}" for i in range(4))} FROM d GROUP BY ALL""",
+    "community_inputs": f"WITH {_E}, {_G}, {_INPUTS} SELECT group_id, community_id, people, names, coalesce(facts, '') AS facts FROM people LEFT JOIN facts USING (group_id, community_id)",
+    "community_reports": f"WITH {_E}, {_G}, {_INPUTS} SELECT group_id, community_id, 'People: ' || roster || '. Key facts: ' || told AS report FROM people JOIN facts USING (group_id, community_id)",
+    "community_list": f"""WITH {_E}, {_G}, {_INPUTS}, r AS (SELECT group_id, community_id, 'People: ' || roster || '. Key facts: ' || told AS report FROM people JOIN facts USING (group_id, community_id)
+), m AS (SELECT group_id, community_id, count(*) AS size, coalesce(string_agg(name, '|' ORDER BY name), '') AS members FROM own GROUP BY ALL HAVING count(*) >= 2)
+SELECT m.group_id, m.community_id, size, members, coalesce(report, '') AS report FROM m LEFT JOIN r USING (group_id, community_id)""",
+    "community_of": f"WITH {_E} SELECT group_id, uuid, coalesce(community_id, -1) AS community_id FROM e",
+    "token_f1": f"WITH {_ANSWERS} SELECT item_id, round(f1, 6) AS f1, em FROM s",
+    "qa_rollup": f"WITH {_ANSWERS} SELECT {_CATEGORY} AS category, {_ROLL} FROM s GROUP BY category UNION ALL SELECT 'overall', {_ROLL} FROM s",
+    "context_format": f"""WITH {_P}, {_RESULTS}, c AS (SELECT query_id, body, rank, sum(floor((strlen(coalesce(title, '') || coalesce(body, '')) + 3) / 4.0)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM r)
+SELECT query_id, coalesce(string_agg(rank || '. [dialogue] ' || CASE WHEN length(coalesce(body, '')) > 1500 THEN substring(body, 1, 1500) || '...' ELSE coalesce(body, '') END || chr(10), '' ORDER BY rank), '{NO_FACTS}') AS context
+FROM c WHERE used <= 4000 GROUP BY query_id""",
+    "baseline_context": f"""WITH {_P}, {_RESULTS} SELECT query_id, string_agg(rank || '. ' || CASE WHEN length(coalesce(body, '')) > 500 THEN substring(body, 1, 500) || '...' ELSE coalesce(body, '') END || chr(10), '' ORDER BY rank) AS context
+FROM r WHERE rank <= 10 GROUP BY query_id""",
+    "queue_fold": f"WITH {_JOBS} SELECT id, status, attempts, error FROM j",
+    "queue_stats": f"WITH {_JOBS}, z(status) AS (VALUES ('pending'), ('processing'), ('done'), ('failed')) SELECT z.status, count(j.id) AS n FROM z LEFT JOIN j ON j.status = z.status GROUP BY z.status",
+    "queue_next": f"WITH {_JOBS} SELECT id FROM j WHERE status = 'pending' AND (not_before IS NULL OR not_before <= {_NOW}) ORDER BY created_at, id LIMIT 10",
+    "queue_recover": f"WITH {_JOBS} SELECT id, CASE WHEN status = 'processing' AND updated_at < {_NOW} - INTERVAL 5 MINUTE THEN 'pending' ELSE status END AS status FROM j",
+    "queue_requeue": f"WITH {_JOBS} SELECT id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN 0 ELSE attempts END AS attempts FROM j",
+    "queue_fail": f"""WITH {_JOBS}, f AS (SELECT *, status = 'processing' AS hit, coalesce(attempts, 0) + 1 AS next, coalesce(attempts, 0) + 1 >= coalesce(max_attempts, 3) AS last FROM j)
+SELECT id, CASE WHEN hit THEN CASE WHEN last THEN 'failed' ELSE 'pending' END ELSE status END AS status, CASE WHEN hit THEN next ELSE attempts END AS attempts, CASE WHEN hit THEN 'lost' ELSE error END AS error,
+  CASE WHEN hit THEN CASE WHEN last THEN NULL ELSE epoch_us({_NOW}) + CASE WHEN next <= 1 THEN 5 WHEN next = 2 THEN 15 ELSE 30 END * 1000000 END ELSE epoch_us(not_before) END AS not_before FROM f""",
+} | {
+    f"bm25_{k}_plain": f"WITH {_E}, {_G}, {_P}, {_SEARCHES}, {_bm25(f'SELECT uuid AS doc, {c} AS text, group_id FROM {t}')} SELECT query_id, uuid, round(score, 6) AS score FROM bm"
+    for k, c, t in (("entities", "name", "e"), ("edges", "fact", "g"), ("episodes", "content", "p"))
+}
