@@ -68,8 +68,8 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int, stemmed: bool = True)
 
     documents: doc, text, group_id; queries: query_id, text, group_id. Statistics span all groups, the
     group is checked after the match and before the limit. A term matches every token that it begins; its
-    frequency is that of all of them. A term twice in a query counts twice. idf is at least 1e-6. Equal
-    scores are ordered by doc.
+    frequency is that of all of them. A term twice in a query counts twice. idf is at least 1e-6. Scores
+    are rounded to 9 decimals, equal ones are ordered by doc.
     """
     post = postings(documents, stemmed)
     terms = queries.select("query_id", F.posexplode(query_terms(F.lower("text"))).alias("at", "raw"))
@@ -86,7 +86,7 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int, stemmed: bool = True)
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = hits.join(found, "term").crossJoin(F.broadcast(stats)).select("term", "doc", part.alias("part"))  # stats is one row
-    scored = terms.join(weighed, "term").groupBy("query_id", "doc").agg(F.sum("part").alias("score"))
+    scored = terms.join(weighed, "term").groupBy("query_id", "doc").agg(F.round(F.sum("part"), 9).alias("score"))
     own = documents.select("doc", "group_id")
     asked = queries.select("query_id", F.col("group_id").alias("_group"))
     inside = scored.join(own, "doc").join(asked, "query_id").where(F.col("group_id") == F.col("_group"))

@@ -26,7 +26,7 @@ def similar(vectors: DataFrame, queries: DataFrame, threshold: float, k: int) ->
     group_id, so the join is on that key; rows without a vector are in no result.
     """
     q = queries.where(F.size("embedding") > 0).select("query_id", "group_id", F.col("embedding").alias("_q"))
-    scored = _vectors(vectors).join(q, "group_id").select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.col("score") > threshold)
+    scored = _vectors(vectors).join(q, "group_id").select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("_q")), 9).alias("score")).where(F.col("score") > threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 

@@ -314,7 +314,8 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    found = fusion.search(_searches(spark, d), _entities(spark, d), _edges(spark, d), _episodes(spark, d))
+    tables = [cut_lineage(t(spark, d)) for t in (_entities, _edges, _episodes)]  # each is read by many stages
+    found = fusion.search(_searches(spark, d), *tables)
     return found.select("query_id", "rank", "type", "uuid", "title", "body", F.round("score", 6).alias("score"), "source", "valid_at")
 
 

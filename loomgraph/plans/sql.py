@@ -81,7 +81,7 @@ def _bm25(docs: str) -> str:
 ), matched AS (SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM terms) JOIN vocabulary ON starts_with(token, term)
 ), hits AS (SELECT term, doc, sum(tf) AS tf, any_value(dl) AS dl FROM matched JOIN post USING (token) GROUP BY term, doc
 ), found AS (SELECT term, count(*) AS n FROM hits GROUP BY term
-), scored AS (SELECT query_id, doc, sum(greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+), scored AS (SELECT query_id, doc, round(sum(greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM terms JOIN hits USING (term) JOIN found USING (term) CROSS JOIN stats GROUP BY query_id, doc
 ), bm AS (SELECT query_id, doc AS uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) - 1 AS rank
   FROM scored JOIN (SELECT doc, group_id FROM d) USING (doc) JOIN (SELECT query_id, group_id AS asked FROM q) USING (query_id) WHERE group_id = asked
@@ -162,7 +162,7 @@ SELECT uuid_a, uuid_b, round({_jaccard('a.name', 'b.name')}, 6) AS jaccard FROM
 FROM m JOIN e a ON a.uuid = uuid_a JOIN e b ON b.uuid = uuid_b WHERE {_usable('a.embedding')} AND {_usable('b.embedding')}""",
     "vector_topk": f"""WITH {_P}, v AS (SELECT uuid, group_id, CAST(embedding AS DOUBLE[]) AS v FROM p WHERE {_usable('embedding')})
 SELECT query_id, b.uuid, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM vector_queries q JOIN v a ON a.uuid = q.uuid JOIN v b ON a.group_id = b.group_id
-WHERE kind = 'episodes' AND list_cosine_similarity(a.v, b.v) > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.uuid) <= 20""",
+WHERE kind = 'episodes' AND list_cosine_similarity(a.v, b.v) > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.uuid) <= 20""",
     "knn20": f"WITH {_E}, {_KNN} SELECT group_id, id, other, round(score, 6) AS score, rank FROM near",
     "mutual_knn": f"WITH {_E}, {_KNN} SELECT a.group_id, a.id AS source_uuid, a.other AS target_uuid FROM near a JOIN near b ON a.id = b.other AND a.other = b.id WHERE a.id < a.other",
     "neighbors": f"""WITH {_E}, {_G}, n AS (SELECT group_id, source_uuid AS uuid, target_uuid AS neighbour, fact, name AS edge_name FROM g UNION SELECT group_id, target_uuid, source_uuid, fact, name FROM g)
@@ -188,7 +188,7 @@ SELECT edge_uuid, source FROM y JOIN p ON p.uuid = episode_uuid QUALIFY row_numb
 ), s AS (SELECT query_id, uuid, a, i, coalesce(sum(CASE WHEN i < 7 THEN a END) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM r)
 SELECT query_id, uuid, round(a - 0.15 * (above - least(i, 7) * a), 6) AS activation FROM s WHERE a - 0.15 * (above - least(i, 7) * a) > 0""",
     "rrf_fusion": f"""WITH {_E}, {_G}, {_SEARCHES}, {_bm25('SELECT uuid AS doc, fact AS text, group_id FROM g')}, near AS (
-  SELECT query_id, g.uuid, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])) DESC, g.uuid) - 1 AS rank
+  SELECT query_id, g.uuid, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 9) DESC, g.uuid) - 1 AS rank
   FROM q JOIN g USING (group_id) WHERE q.embedding IS NOT NULL AND {_usable('g.embedding')} AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])) > 0.5
 ), parts AS (SELECT query_id, uuid, 1.0 / (rank + 2) AS part FROM bm UNION ALL SELECT query_id, uuid, 0.5 / (rank + 2) FROM near WHERE rank < 20
 ), fused AS (SELECT query_id, uuid, sum(part) AS score FROM parts GROUP BY ALL)
