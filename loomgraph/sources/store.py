@@ -32,13 +32,13 @@ class Store:
             raise SpaceMismatch(f"{self.root} holds {meta['space']}, not {space}")
 
     def _read(self) -> dict:
-        at = self._path(f"{self.root}/_meta.json")
+        at = self._path(f"{self.root}/store.json")
         if not self._fs.exists(at):
             return {}
         return json.loads("\n".join(r.value for r in self.spark.read.text(at.toString()).collect()))
 
     def _write(self, meta: dict) -> None:
-        out = self._fs.create(self._path(f"{self.root}/_meta.json"), True)
+        out = self._fs.create(self._path(f"{self.root}/store.json"), True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
 
