@@ -98,7 +98,7 @@ class _Builder(HTMLParser):
         if tag == "span" and any(k == "class" and v and "math" in v for k, v in attrs):
             node.tag = "math"
         self.stack[-1].children.append(node)
-        if tag not in _VOID:
+        if tag not in _VOID and len(self.stack) < 200:  # deeper nodes are siblings
             self.stack.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -296,7 +296,7 @@ def scan_markup(text: str | None) -> tuple[set[tuple[str, str]], str]:
     s.block(rf"(?:^{wiki_item}\n?)+", "wiki", "list", lambda m: "\n\n" + _items(m[0], wiki_mark) + "\n\n", re.M)
     # The heading of one # after blank lines is Markdown's; lists of one # are known by wiki signs above.
     s.block(r"^[ \t]{0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", "markdown", "heading", lambda m: f"\n\n{m[1]} {m[2]}\n\n", re.M)
-    s.block(r"^([^\n]*[^\s\ue001][^\n]*)\n(={3,}|-{3,})[ \t]*$", "markdown", "heading", lambda m: f"\n\n{'#' if m[2][0] == '=' else '##'} {m[1].strip()}\n\n", re.M)
+    s.block(r"^(?=[^\n]*[^\s\ue001])([^\n]+)\n(={3,}|-{3,})[ \t]*$", "markdown", "heading", lambda m: f"\n\n{'#' if m[2][0] == '=' else '##'} {m[1].strip()}\n\n", re.M)
     s.block(_MD_LIST, "markdown", "list", lambda m: "\n\n" + _items(re.sub(r"\[[ xX]\][ \t]+", "", m[0]), r"^[ \t]*(?:[-*+]|\d{1,3}[.)])[ \t]+") + "\n\n", re.M)
     s.block(r"^[ \t]*(={1,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$", "wiki", "heading", lambda m: f"\n\n{'#' * len(m[1])} {_stripped(m[2])}\n\n", re.M)
     s.block(r"<(h[1-6])\b[^>]*>(.*?)(?:</\1>|$)", "html", "heading", lambda m: f"\n\n{'#' * int(m[1][1])} {' '.join(_TAG.sub('', m[2]).split())}\n\n", re.S | re.I | re.M)
