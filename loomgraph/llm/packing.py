@@ -123,11 +123,11 @@ def pack_documents(counts: DataFrame, windows: DataFrame, shard_documents: int =
     document (doc_id, n_tokens) lies, for each capacity in windows (window_id, n_tokens).
 
     Documents without tokens take no room and have no row; windows without a positive capacity are left
-    out, as are null sizes. Documents are spread by the hash of their id over shards of about
+    out, as are null sizes and null doc_ids. Documents are spread by the hash of their id over shards of about
     shard_documents, each packed in sequence; what remains partly filled is merged over up to 64 shards.
     """
     sizes = windows.where("n_tokens > 0").select("window_id", F.col("n_tokens").cast("bigint").alias("n_window")).dropDuplicates(["window_id"])
-    counts = counts.where("n_tokens > 0").select("doc_id", "n_tokens")
+    counts = counts.where("doc_id IS NOT NULL AND n_tokens > 0").select("doc_id", "n_tokens")
     shards = max(1, -(-counts.count() // shard_documents))
     order = F.xxhash64("doc_id")
     items = counts.withColumn("_order", order).withColumn("shard", F.pmod(F.col("_order"), F.lit(shards)))
