@@ -101,7 +101,7 @@ LINES = {
 
 def test_scans(spark):
     words = "the compiler was deployed before anyone looked at scheduler most questions about unit test come back to endpoint and newer code is one it took weeks until done a self made"
-    clean = [(1, f"n{i}", f"{words}. {words}", "notes/x.md", "c") for i in range(5)]
+    clean = [(1, f"n{i}", f"{words}. {words}", "notes/x.md", "c") for i in range(20)]
     scanned = [(1, f"s{i}", "\n".join(LINES), f"scans/baposadrox_{i}.pdf", "c") for i in range(3)]
     odd = [(1, "e1", "", "scans/a_1.pdf", "c"), (1, "e2", None, "scans/a_2.pdf", "c"), (1, "e3", "word " * 40_000, "scans/a_3.pdf", "c"), (1, None, "x", None, "c"), (1, "e4", "\n\n-\n", None, "c")]
     episodes = spark.createDataFrame(clean + scanned + scanned[:1] + odd, "seq bigint, uuid string, content string, source string, heads string")
