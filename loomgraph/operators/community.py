@@ -2,58 +2,103 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import cut_lineage
 
 
-def _local_moves(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """(group_id, node, com): nodes move to the neighbouring community of the greatest gain in modularity.
-
-    All nodes decide at once on the last round's communities; in even rounds only moves to a smaller label
-    count, in odd ones to a larger, so that two nodes do not change places for ever. edges are both ways.
+def _proposals(inner: DataFrame, state: DataFrame, total: DataFrame, resolution: float) -> DataFrame:
+    """state with to and up, the move from trial of the greatest gain (null if none gains), and its part of the modularity."""
+    k = state.select("group_id", "node", "k", F.col("trial").alias("mine"))
+    sizes = k.groupBy("group_id", F.col("mine").alias("c")).agg(F.sum("k").alias("tot"))
+    links = inner.join(k.select("group_id", F.col("node").alias("d"), F.col("mine").alias("c")), ["group_id", "d"]).groupBy("group_id", F.col("s").alias("node"), "c").agg(F.sum("w").alias("w"))
+    stay = k.select("group_id", "node", F.col("mine").alias("c"), F.lit(0.0).alias("w"))
+    options = links.unionByName(stay).groupBy("group_id", "node", "c").agg(F.sum("w").alias("w"))
+    options = options.join(k, ["group_id", "node"]).join(sizes, ["group_id", "c"]).join(total, "group_id")
+    at_home = F.col("c") == F.col("mine")
+    expected = lambda tot: resolution * F.col("k") * tot / F.col("m2")
+    gain = F.col("w") - expected(F.col("tot") - F.when(at_home, F.col("k")).otherwise(0.0))
+    best = options.groupBy("group_id", "node").agg(
+        F.min(F.when(~at_home, F.struct((-F.round(gain, 9)).alias("g"), "c"))).alias("b"),
+        F.max(F.when(at_home, F.round(gain, 9))).alias("home"),
+        F.max(F.when(at_home, F.col("w") - expected(F.col("tot")))).alias("part"),
+    )
+    up = F.round(-F.col("b.g") - F.col("home"), 9)
+    return state.join(best.select("group_id", "node", "part", F.when(up > 0, F.col("b.c")).alias("new_to"), F.when(up > 0, up).alias("new_up")), ["group_id", "node"])
+
+
+def _next_trial(view: DataFrame, number: int) -> DataFrame:
+    """The state after a round: trials that raised their group's modularity are taken, others taken back, and new moves chosen."""
+    score = view.groupBy("group_id").agg(F.round(F.sum("part"), 9).alias("new_q"))
+    grew = F.col("q").isNull() | (F.col("new_q") > F.col("q"))
+    taken = lambda new, old: F.when(F.col("grew"), F.col(new)).otherwise(F.col(old))
+    rows = view.join(score, "group_id").withColumn("grew", grew).select(
+        "group_id", "node", "k", taken("trial", "com").alias("com"), taken("new_to", "to").alias("to"), taken("new_up", "up").alias("up"), taken("new_q", "q").alias("q"),
+        F.when(F.col("grew"), F.greatest(F.col("one_in") / 2, F.lit(2))).otherwise(F.col("one_in") * 2).cast("int").alias("one_in"),
+    )
+    moves = rows.where("to IS NOT NULL")
+    order = F.struct((-F.col("up")).alias("up"), F.col("node").alias("node"))
+    first = moves.select("group_id", F.explode(F.array("com", "to")).alias("c"), order.alias("o")).groupBy("group_id", "c").agg(F.min("o").alias("o"))
+    first = first.select("group_id", "c", F.col("o.node").alias("first"))
+    left = first.select("group_id", F.col("c").alias("com"), F.col("first").alias("leaves"))
+    right = first.select("group_id", F.col("c").alias("to"), F.col("first").alias("enters"))
+    alone = F.coalesce((F.col("leaves") == F.col("node")) & (F.col("enters") == F.col("node")), F.lit(False))
+    drawn = (F.col("one_in") <= 4) & (F.pmod(F.xxhash64("group_id", "node", F.lit(number)), F.col("one_in")) == 0)
+    # 16: not even the moves apart from each other raised it, as their gain is lost in rounding.
+    going = moves.where("one_in < 16").select("group_id").distinct().withColumn("going", F.lit(True))
+    out = rows.join(left, ["group_id", "com"], "left").join(right, ["group_id", "to"], "left").join(going, "group_id", "left")
+    trial = F.when(F.col("to").isNotNull() & (alone | drawn), F.col("to")).otherwise(F.col("com"))
+    return out.select("group_id", "node", "k", "com", "to", "up", "q", "one_in", trial.alias("trial"), F.coalesce("going", F.lit(False)).alias("going"))
+
+
+def _local_moves(edges: DataFrame, resolution: float) -> DataFrame:
+    """(group_id, node, com): nodes move to the neighbouring community of the greatest gain until no move gains.
+
+    In a round, half of the nodes that would gain move at once, drawn by hash, and with them the moves that
+    are the best of both their communities. If that does not raise a group's modularity, the round is taken
+    back for the group and a quarter is drawn, then none: moves that share no community add up, so the
+    modularity grows with every round that counts and the rounds end. A group without a gaining move is left
+    out of further rounds. edges are both ways.
     """
     degree = cut_lineage(edges.groupBy("group_id", F.col("s").alias("node")).agg(F.sum("w").alias("k")))
-    total = degree.groupBy("group_id").agg(F.sum("k").alias("m2"))
-    state = cut_lineage(degree.select("group_id", "node", "k", F.col("node").alias("com")))
-    for i in range(rounds):
-        sizes = state.groupBy("group_id", "com").agg(F.sum("k").alias("tot"))
-        to = state.select("group_id", F.col("node").alias("d"), F.col("com").alias("c"))
-        links = edges.where("s <> d").join(to, ["group_id", "d"]).groupBy("group_id", F.col("s").alias("node"), "c").agg(F.sum("w").alias("w"))
-        own = state.select("group_id", "node", "k", F.col("com").alias("mine"))
-        stay = own.select("group_id", "node", F.col("mine").alias("c"), F.lit(0.0).alias("w"))
-        options = links.unionByName(stay).groupBy("group_id", "node", "c").agg(F.sum("w").alias("w"))
-        options = options.join(own, ["group_id", "node"]).join(sizes.withColumnRenamed("com", "c"), ["group_id", "c"]).join(total, "group_id")
-        outside = F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * outside / F.col("m2"), 9)
-        allowed = (F.col("c") == F.col("mine")) | (F.col("c") < F.col("mine") if i % 2 == 0 else F.col("c") > F.col("mine"))
-        best = options.where(allowed).groupBy("group_id", "node").agg(
-            F.min(F.struct((-gain).alias("g"), (F.col("c") != F.col("mine")).alias("moved"), "c")).alias("b"), F.first("k").alias("k"), F.first("mine").alias("mine")
-        )
-        new = cut_lineage(best.select("group_id", "node", "k", F.col("b.c").alias("com"), "mine"))
-        changed = not new.where("com <> mine").isEmpty()
-        state = new.select("group_id", "node", "k", "com")
-        if not changed and i:
-            break
-    return state.select("group_id", "node", "com")
-
-
-def louvain(weights: DataFrame, nodes: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 8) -> DataFrame:
+    total = cut_lineage(degree.groupBy("group_id").agg(F.sum("k").alias("m2")))
+    inner = cut_lineage(edges.where("s <> d"))
+    none = lambda kind: F.lit(None).cast(kind)
+    state = degree.select("group_id", "node", "k", F.col("node").alias("com"), none("string").alias("to"), none("double").alias("up"), none("double").alias("q"), F.lit(2).alias("one_in"), F.col("node").alias("trial"))
+    ended, number = [], 0
+    while True:
+        view = cut_lineage(_proposals(inner, state, total, resolution))
+        after = cut_lineage(_next_trial(view, number))
+        going = after.agg(F.count_if("going").alias("going"), F.count_if(~F.col("going")).alias("ended")).first()
+        if going.ended or not going.going:
+            ended.append(after.where("NOT going").select("group_id", "node", "com"))
+        if not going.going:
+            return reduce(DataFrame.unionByName, ended)
+        if going.ended:
+            groups = after.where("going").select("group_id").distinct()
+            inner = cut_lineage(inner.join(groups, "group_id", "left_semi"))
+        state, number = after.where("going").drop("going"), number + 1
+
+
+def louvain(weights: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(group_id, uuid, community_id) of weights (group_id, lo, hi, weight) and nodes (group_id, uuid).
 
     Communities of each group are numbered from 0 by size, then smallest member; isolated nodes are their
-    own. Groups of fewer than two nodes get none. All steps are joins and aggregations, so no group is
-    gathered in a task; results do not depend on the order of rows.
+    own. Groups of fewer than two nodes get none. Levels go on until no community merges, moves within a
+    level until none gains. All steps are joins and aggregations, so no group is gathered in a task; results
+    do not depend on the order of rows.
     """
     pairs = weights.select("group_id", F.col("lo").alias("s"), F.col("hi").alias("d"), F.col("weight").cast("double").alias("w"))
     edges = cut_lineage(pairs.unionByName(pairs.select("group_id", F.col("d").alias("s"), F.col("s").alias("d"), "w")))
     place = cut_lineage(nodes.select("group_id", "uuid").distinct().withColumn("com", F.col("uuid")))
-    for _ in range(levels):
-        moved = cut_lineage(_local_moves(edges, resolution, rounds))
-        place = cut_lineage(place.join(moved.select("group_id", F.col("node").alias("com"), F.col("com").alias("up")), ["group_id", "com"], "left").select("group_id", "uuid", F.coalesce("up", "com").alias("com")))
+    while True:
+        moved = cut_lineage(_local_moves(edges, resolution))
         if moved.where("node <> com").isEmpty():
             break
+        place = cut_lineage(place.join(moved.select("group_id", F.col("node").alias("com"), F.col("com").alias("up")), ["group_id", "com"], "left").select("group_id", "uuid", F.coalesce("up", "com").alias("com")))
         a, b = moved.select("group_id", F.col("node").alias("s"), F.col("com").alias("x")), moved.select("group_id", F.col("node").alias("d"), F.col("com").alias("y"))
         edges = cut_lineage(edges.join(a, ["group_id", "s"]).join(b, ["group_id", "d"]).groupBy("group_id", F.col("x").alias("s"), F.col("y").alias("d")).agg(F.sum("w").alias("w")))
     sizes = place.groupBy("group_id", "com").agg(F.count("*").alias("n"), F.min("uuid").alias("first"))

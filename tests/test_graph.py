@@ -80,6 +80,15 @@ def test_louvain(spark):
     assert community.modularity(weighted, found).first().modularity > 0.5
 
 
+def test_louvain_goes_on_until_nothing_merges(spark):
+    rng = np.random.default_rng(3)
+    links = [(f"{i:03}", f"{j:03}") for i in range(120) for j in range(i) if rng.random() < (0.35 if i % 4 == j % 4 else 0.03)]
+    weighted = pairs(spark, links).withColumn("weight", F.lit(1))
+    found = community.louvain(weighted, weighted.select("group_id", F.explode(F.array("lo", "hi")).alias("uuid")).distinct())
+    of = {r.uuid: r.community_id for r in found.collect()}
+    assert {frozenset(u for u in of if of[u] == c) for c in of.values()} == {frozenset(f"{i:03}" for i in range(k, 120, 4)) for k in range(4)}
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}") for i in range(300)] + [("z1", "z2")], "lo string, hi string")
     got = graph.components(chain).groupBy("component").count().collect()
