@@ -76,11 +76,16 @@ def letters(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
-def sounded(word: str) -> str:
-    """Spellings that sound alike as one: ph and f, y and i, th and t, c and k, w and v, doubled letters."""
+def folded(word: str) -> str:
+    """Spellings that sound alike as one: ph and f, y and i, th and t, c and k, w and v."""
     for a, b in (("ph", "f"), ("th", "t"), ("ck", "k"), ("y", "i"), ("ß", "s"), ("c", "k"), ("w", "v")):
         word = word.replace(a, b)
-    return re.sub(r"(.)\1+", r"\1", word)
+    return word
+
+
+def sounded(word: str) -> str:
+    """Folded, and doubled letters as one."""
+    return re.sub(r"(.)\1+", r"\1", folded(word))
 
 
 def _one_edit(word: str) -> set[str]:
@@ -130,7 +135,7 @@ def business_word(word: str) -> str | None:
     return _near(word, _NEAR_BUSINESS) if len(word) >= 5 else None
 
 
-NAME = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "part", "core")])
+NAME = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "part", "core", "folded", "plain")])
 
 
 def _undotted(plain: str) -> str:
@@ -148,7 +153,7 @@ def parse_organisation(plain: str) -> tuple[str, str, str] | None:
             core.append(w)
     if len(core) != 1 or len(core[0]) < 3:
         return None
-    return "organisation", " ".join(sorted(lines)), sounded(core[0])
+    return "organisation", " ".join(sorted(lines)), core[0]
 
 
 def parse_person(plain: str, sure: bool) -> tuple[str, str, str] | None:
@@ -162,8 +167,8 @@ def parse_person(plain: str, sure: bool) -> tuple[str, str, str] | None:
     initials = [w for w in words if len(w) == 1]
     if len(full) == 1:
         if initials:
-            return "person", f":{initials[0]}", sounded(full[0])
-        return ("person", "", sounded(full[0])) if (sure or titled or len(words) == 1) and len(full[0]) >= 4 else None
+            return "person", f":{initials[0]}", full[0]
+        return ("person", "", full[0]) if (sure or titled or len(words) == 1) and len(full[0]) >= 4 else None
     if len(full) > 3:
         return None
     known = [(i, g) for i, w in enumerate(full) if (g := given_name(w))]
@@ -176,15 +181,15 @@ def parse_person(plain: str, sure: bool) -> tuple[str, str, str] | None:
             surname = rest[-1]
         if full[i] in _SHARED:
             given = "/".join(sorted(_SHARED[full[i]]))
-        return "person", given, sounded(surname)
+        return "person", given, surname
     if not sure or len(full) != 2:
         return None
     surname, given = (full[0], full[1]) if comma[1] else (full[1], full[0])
-    return "person", sounded(given), sounded(surname)
+    return "person", sounded(given), surname
 
 
 def parse_name(name: str | None, entity_type: str | None) -> tuple[str, str, str] | None:
-    """(kind, part, core), or None for what is no name of a person or organisation."""
+    """(kind, part, core in plain letters), or None for what is no name of a person or organisation."""
     if not name or not name.strip():
         return None
     plain = " ".join(letters(name).split()).strip(" .")
@@ -255,7 +260,7 @@ def _shard_neighbours(most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(pdf.core[pdf.entry].tolist())
         group, kind = pdf.group_id.iloc[0], pdf.kind.iloc[0]
-        rows = [(group, kind, core, other) for core in pdf.core for other, _ in trie.search(core, most) if core != other]
+        rows = [(group, kind, core, other) for core in pdf.core[pdf.asks] for other, _ in trie.search(core, most) if core != other]
         return pd.DataFrame(rows, columns=["group_id", "kind", "core", "other"])
 
     return run
@@ -267,13 +272,15 @@ def trie_join(cores: DataFrame, most: int = 1, shard_names: int = SHARD_NAMES) -
     Shards are keyed by the first and by the last three letters, for cores of up to seven letters by the
     first and the last one: the single edit leaves one of the ends as it is. Cores of one or two letters have
     a shard of their own. A shard of more than
-    shard_names cores is split into several tries, each searched for all cores of the shard.
+    shard_names cores is split into several tries, each searched for all cores of the shard. Of cores with a
+    column asks, only those where it is true are searched for; all are found.
     """
+    asks = F.col("asks") if "asks" in cores.columns else F.lit(True).alias("asks")
     size = F.length("core")
     cut = lambda n: F.array(F.concat(F.lit(f"<{n}"), F.substring("core", 1, n)), F.concat(F.lit(f">{n}"), F.expr(f"right(core, {n})")))
     ends = F.concat(F.when(size <= 7, cut(1)).otherwise(F.array().cast("array<string>")), F.when(size >= 7, cut(3)).otherwise(F.array().cast("array<string>")), F.when(size <= 2, F.array(F.lit("="))).otherwise(F.array().cast("array<string>")))
-    keyed = cut_lineage(cores.select("group_id", "kind", "core").distinct()).withColumn("end", F.explode(ends))
-    sizes = keyed.groupBy("group_id", "kind", "end").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = cut_lineage(cores.select("group_id", "kind", "core", asks).distinct()).withColumn("end", F.explode(ends))
+    sizes = keyed.groupBy("group_id", "kind", "end").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").drop("asked")
     parts = F.ceil(F.col("n") / shard_names).cast("int")
     split = (
         keyed.join(sizes, ["group_id", "kind", "end"])
@@ -287,13 +294,30 @@ def trie_join(cores: DataFrame, most: int = 1, shard_names: int = SHARD_NAMES) -
 
 @F.pandas_udf(NAME)
 def parsed(name: pd.Series, entity_type: pd.Series) -> pd.DataFrame:
-    rows = [parse_name(n, t) or (None, None, None) for n, t in zip(name, entity_type, strict=True)]
-    return pd.DataFrame(rows, columns=["kind", "part", "core"])
+    found = [parse_name(n, t) for n, t in zip(name, entity_type, strict=True)]
+    rows = [(f[0], f[1], sounded(f[2]), folded(f[2]), f[2]) if f else (None,) * 5 for f in found]
+    return pd.DataFrame(rows, columns=NAME.names)
 
 
 _SEP = "\u001f"
 
 
+def near_cores(named: DataFrame) -> DataFrame:
+    """(group_id, kind, core, other): cores within one edit as sounded, as folded only, or in plain letters.
+
+    Folding letter by letter brings no two words apart, but where several letters become one, an edit that
+    makes or breaks them counts more than once; only spellings with such letters are searched for again.
+    """
+    spelt = [named.select("group_id", F.concat("kind", F.lit(_SEP + form)).alias("kind"), F.col(form).alias("form"), (F.length(form) != F.length(shorter)).alias("asks"), F.col("core").alias("own")) for form, shorter in (("folded", "core"), ("plain", "folded"))]
+    spelt = cut_lineage(spelt[0].unionByName(spelt[1]).distinct())
+    pairs = trie_join(spelt.withColumnRenamed("form", "core")).select("group_id", "kind", "core", "other")
+    a, b = spelt.select("group_id", "kind", F.col("form").alias("core"), F.col("own").alias("x")), spelt.select("group_id", "kind", F.col("form").alias("other"), F.col("own").alias("y"))
+    again = pairs.join(a, ["group_id", "kind", "core"]).join(b, ["group_id", "kind", "other"]).where("x <> y")
+    kind = F.substring_index("kind", _SEP, 1).alias("kind")
+    both = again.select("group_id", kind, F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"))
+    return trie_join(named).unionByName(both.select("group_id", "kind", F.col("p.x").alias("core"), F.col("p.y").alias("other"))).distinct()
+
+
 def name_groups(entities: DataFrame) -> DataFrame:
     """(group_id, cluster, uuid): entities of one workspace whose names denote the same bearer.
 
@@ -307,7 +331,7 @@ def name_groups(entities: DataFrame) -> DataFrame:
     named = cut_lineage(named)
     keys = named.select("group_id", "kind", "part", "core").distinct()
     keys = cut_lineage(keys.withColumn("key", F.concat_ws(_SEP, "group_id", "kind", "part", "core")))
-    near = cut_lineage(trie_join(keys))
+    near = cut_lineage(near_cores(named))
     full = keys.where("part <> '' AND NOT startswith(part, ':') AND NOT contains(part, '/')")
     partial = keys.join(full.select("key"), "key", "left_anti")
     a, b = full.select("group_id", "kind", "core", "part", F.col("key").alias("a")), full.select("group_id", "kind", F.col("core").alias("other"), "part", F.col("key").alias("b"))

@@ -158,6 +158,12 @@ def test_names(spark):
     assert names.name_pairs(df.limit(0)).count() == 0
 
 
+def test_names_with_an_edit_that_doubles_a_letter(spark):
+    sets = [("Wilhelmina Veretopex", "Wilhelmina Veetopex"), ("Thomas Gavetalam", "Thomas Gavetaam"), ("Mina Lepovovot", "Mina Lepovvoot"), ("Robert Daphelor", "Robert Dapehlor"), ("Hettie Tredrirogax", "Hettie Tredrrogax")]
+    df = spark.createDataFrame([entity(f"{i}{j}", n) for i, s in enumerate(sets) for j, n in enumerate(s)] + [entity("far", "Thomas Gavetimor")], ENTITY)
+    assert {tuple(r) for r in names.name_pairs(df).collect()} == {(f"{i}0", f"{i}1") for i in range(len(sets))}
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 32))
