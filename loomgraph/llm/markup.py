@@ -3,7 +3,8 @@
 Blocks are read from the outside in: code, formulas, tables, lists and headings are taken out one after
 another, so that signs within them are not read again; what is left is searched for inline residue. HTML is
 parsed into a tree. Its body is the subtree of the largest sum of child densities, density being characters
-for each tag corrected for links, and on the way to it nodes thinner than any on the path are left out.
+for each tag corrected for links, and on the way to it nodes thinner than any on the path are left out. Blocks
+taken out before count with the length of their text, and no node that holds one is left out.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -76,13 +77,20 @@ def is_source_code(text: str) -> bool:
     return code >= 0.9 * len(lines) and any(_SURE_CODE.match(x) for x in lines) and not re.search(r"^(?:```|~~~|\\begin|<pre|\{\{code)", text, re.M)
 
 
+_HELD = re.compile("\ue000(\\d+)\ue001")
+
+
+def _width(text: str) -> int:
+    return len(text.strip())
+
+
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "holds", "link_chars", "link_tags", "tag", "tags")
 
     def __init__(self, tag: str) -> None:
         self.tag, self.children = tag, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.density = 0.0
+        self.density, self.holds = 0.0, False
 
 
 class _Builder(HTMLParser):
@@ -111,24 +119,26 @@ class _Builder(HTMLParser):
         self.stack[-1].children.append(data)
 
 
-def parse_html(text: str) -> Node:
-    """The tree of a text, unclosed and stray tags included; texts without tags are one node."""
+def parse_html(text: str, width: Callable[[str], int] = _width) -> Node:
+    """The tree of a text, unclosed and stray tags included; texts without tags are one node. width is the length a string counts with."""
     builder = _Builder()
     builder.feed(text)
     builder.close()
-    _measure(builder.root)
+    _measure(builder.root, width)
     return builder.root
 
 
-def _measure(root: Node) -> None:
+def _measure(root: Node, width: Callable[[str], int]) -> None:
     order = [root]
     for node in order:
         order += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(c.strip())
+                node.chars += width(c)
+                node.holds = node.holds or _HELD.search(c) is not None
             else:
+                node.holds = node.holds or c.holds
                 node.chars += c.chars
                 node.link_chars += c.chars if c.tag == "a" else c.link_chars
                 node.tags += 1 + c.tags
@@ -148,13 +158,13 @@ def text_density(node: Node, body: Node) -> float:
     return c / t * (math.log(ratio) / math.log(base) if ratio > 0 and base > 1.0 else max(0.0, math.log(max(ratio, 1e-9))))
 
 
-def body_nodes(root: Node) -> list[Node | str]:
-    """The content: the subtree of maximal density sum, and beside the way to it what is not thinner than any node on it."""
+def body_nodes(root: Node, width: Callable[[str], int] = _width) -> list[Node | str]:
+    """The content: the subtree of maximal density sum, and beside the way to it what holds a block or is not thinner than any node on it."""
     best, path, most = root, [root], -math.inf
     stack = [(root, [root])]
     while stack:
         node, way = stack.pop()
-        total = sum(c.density for c in node.children if isinstance(c, Node)) + sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        total = sum(c.density for c in node.children if isinstance(c, Node)) + sum(width(c) for c in node.children if isinstance(c, str))
         if total > most:
             best, path, most = node, way, total
         stack += [(c, [*way, c]) for c in node.children if isinstance(c, Node)]
@@ -167,7 +177,7 @@ def body_nodes(root: Node) -> list[Node | str]:
             if c is below:
                 if below is best:
                     out.append(best)
-            elif isinstance(c, str) or c.density >= least or c.tag in ("pre", "table", "ul", "ol", "math"):
+            elif isinstance(c, str) or c.holds or c.density >= least or c.tag in ("pre", "table", "ul", "ol", "math"):
                 out.append(c)
     return out
 
@@ -210,11 +220,13 @@ class _Scan:
     def __init__(self, text: str) -> None:
         self.text, self.found, self.kept = text, set(), []
         self.seen: set[str] = set()
+        self.widths: list[int] = []
 
     def block(self, pattern: str | re.Pattern, markup: str, element: str, clean, flags: int = re.M | re.S) -> None:
         def swap(m: re.Match) -> str:
             self.found.add((markup, element))
             self.kept.append(clean(m))
+            self.widths.append(self.width(self.kept[-1]))
             return f"\ue000{len(self.kept) - 1}\ue001"
 
         self.text = re.sub(pattern, swap, self.text, flags=flags) if isinstance(pattern, str) else pattern.sub(swap, self.text)
@@ -226,6 +238,11 @@ class _Scan:
             if clean is not None:
                 self.text = own.sub(clean, self.text)
 
+    def width(self, text: str) -> int:
+        """The length of a text with what was taken out of it."""
+        held = _HELD.findall(text)
+        return _width(_HELD.sub("", text)) + sum(self.widths[int(i)] for i in held)
+
     def restored(self) -> str:
         text = self.text
         for _ in range(8):
@@ -323,7 +340,7 @@ def scan_markup(text: str | None) -> tuple[set[tuple[str, str]], str]:
     s.inline(r"^[ \t]*>+[ \t](?=\S)", "markdown", "")
     if _TAG.search(s.text):
         s.seen.add("html")
-        s.text = "".join(render(n) for n in body_nodes(parse_html(s.text)))
+        s.text = "".join(render(n) for n in body_nodes(parse_html(s.text, s.width), s.width))
     s.inline(_ENTITY, "html", lambda m: html.unescape(m[0]))
     found = s.found | {(k, "none") for k in s.seen - {k for k, _ in s.found}}
     return found, s.restored()

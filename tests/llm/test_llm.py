@@ -228,6 +228,16 @@ def test_density_prefers_text_to_links():
     assert "Body text" in body and "three" not in body
 
 
+def test_blocks_in_thin_nodes_are_kept():
+    body = "".join(f"<p>{'word ' * 80}</p>" for _ in range(5))
+    for block, clean in (("<h2>Top</h2><table><tr><td>cell</td></tr></table>", ("## Top", "| cell |")), ("<ul><li>item</li></ul>", ("- item",)), ("<pre>x = 1</pre>", ("x = 1",)), ("<section><math><mi>y</mi></math></section>", ("$y$",))):
+        text = markup.scan_markup(f"<html><body><div><a href=x>one</a></div><div>{block}</div><div>{body}</div></body></html>")[1]
+        assert all(c in text for c in clean) and "word word" in text and "one" not in text
+    table = f"<table>{'<tr><td>' + 'cell ' * 400 + '</td></tr>'}</table>"
+    root = markup.parse_html("<div>\ue0000\ue001</div><p>short</p>", lambda c: 2000 if "\ue000" in c else len(c))
+    assert root.children[0].chars == 2000 and "cell cell" in markup.scan_markup(f"<div>{table}</div><p>short</p>")[1]
+
+
 def test_packing(spark):
     rng = random.Random(4)
     sizes = [rng.randrange(0, 90) for _ in range(600)] + [512, 100, 200, 1000, 0]
