@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,7 @@ _FORMS = [
         r"(?P<M>M)\.?(?: F)?,? (?P<y>4)",
     )
 ]
+MOST_TOKENS = 64  # no form has so many: a text of more denotes no instant
 _FROM, _TO = 1_262_304_000, 1_893_456_000  # 2010 and 2030, the range of bare numbers
 
 
@@ -104,6 +106,10 @@ def _tokens(mask: str) -> tuple[tuple[int, int, str], ...]:
     return tuple((m.start(), m.end(), m.group()) for m in _TOKEN.finditer(mask))
 
 
+def _too_long(mask: str) -> bool:
+    return len(mask) > MOST_TOKENS and next(islice(_TOKEN.finditer(mask), MOST_TOKENS, None), None) is not None
+
+
 @lru_cache(maxsize=65536)
 def _parser(symbols: str) -> dict[str, int] | None:
     """Field name to token number, or None where the shape denotes no instant."""
@@ -217,7 +223,7 @@ def parse_instants(texts: Sequence, zones: Sequence, orders: Sequence) -> tuple[
     order = np.argsort(codes, kind="stable")
     bounds = np.searchsorted(codes[order], np.arange(len(masks) + 1))
     for number, mask in enumerate(masks):
-        if "9" not in mask or len(mask) > 64:
+        if "9" not in mask or _too_long(mask):
             continue
         rows = order[bounds[number] : bounds[number + 1]]
         own = [clean[i] for i in rows]

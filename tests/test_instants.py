@@ -87,3 +87,9 @@ def test_operator(spark):
     assert found == {("a", "valid_at"): 1577804400000000, ("b", "valid_at"): 1577836800000000, ("c", "valid_at"): 1609459200000000}
     assert normalise_instants(edges.limit(0), zones).count() == 0
     assert normalise_instants(edges, zones.limit(0)).count() == 3
+
+
+def test_long_texts_that_a_form_matches():
+    texts = ["Wednesday, 12 September 2018 at 10:15:30.123456 -03:00 [America/Argentina/Buenos_Aires]", "9" * 200, "a 9 " * 50_000, "x" * 100_000 + "9"]
+    micros, ok = parse_instants(texts, [None] * 4, [None] * 4)
+    assert ok.tolist() == [True, False, False, False] and micros[0] == int(datetime(2018, 9, 12, 13, 15, 30, tzinfo=timezone.utc).timestamp()) * 1_000_000 + 123_456
