@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED_DOCUMENTS = 4_000  # the models are fitted on at most so many labelled documents
-LABELLED_CHARACTERS = 20_000_000  # and so much of their text
+LABELLED_CHARACTERS = 20_000_000  # and so much of their text, in whole documents
+UNLABELLED_CHARACTERS = 5_000_000  # and so much text of others
 TERM_WORDS = 4
 BEAM = 8
 
@@ -250,13 +251,27 @@ def _predict(batches: Iterator[pd.DataFrame], sent, names: list[str]) -> Iterato
         yield pd.DataFrame(out, columns=["doc_id", "subject"])
 
 
+def _first_by_hash(rows: DataFrame, most: int, characters: int) -> DataFrame:
+    """The first documents by the hash of their id: at most `most`, until their text fills characters, but two at least."""
+    key = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"))
+    last, total = None, 0
+    for n, row in enumerate(rows.select(key.alias("key"), F.length("text").alias("size")).orderBy("key").limit(most).collect()):
+        if total >= characters and n >= 2:
+            break
+        last, total = row.key, total + row.size
+    if last is None:
+        return rows.limit(0)
+    return rows.where((F.xxhash64("doc_id") < last.h) | ((F.xxhash64("doc_id") == last.h) & (F.col("doc_id") <= last.id)))
+
+
 def document_subjects(
     documents: DataFrame, labels: DataFrame, subjects: DataFrame, most_labelled: int = LABELLED_DOCUMENTS, unlabelled: int = 1_000
 ) -> DataFrame:
     """(doc_id, subject): the subjects of every document, none for one without an on-subject sentence.
 
     Fitted on at most most_labelled labelled documents and `unlabelled` others, chosen by the hash of their
-    id; every document is then classified. Labels of unknown documents or subjects are ignored, null and
+    id until their text fills LABELLED_CHARACTERS and UNLABELLED_CHARACTERS; the document that fills it is
+    taken whole. Every document is then classified. Labels of unknown documents or subjects are ignored, null and
     empty texts have no subject, and without usable labels no document has one.
     """
     spark = documents.sparkSession
@@ -264,12 +279,11 @@ def document_subjects(
     texts = documents.where("doc_id IS NOT NULL AND trim(text) <> ''").select("doc_id", "text", "source").dropDuplicates(["doc_id"])
     own = labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    short = F.length("text") <= LABELLED_CHARACTERS // most_labelled
-    rows = texts.where(short).join(chosen, "doc_id").select("text", "source", "subjects").collect()
+    rows = _first_by_hash(texts.join(chosen, "doc_id"), most_labelled, LABELLED_CHARACTERS).select("text", "source", "subjects").collect()
     empty = spark.createDataFrame([], "doc_id bigint, subject string")
     if not rows:
         return empty
-    others = texts.where(short).join(own, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(unlabelled).collect()
+    others = _first_by_hash(texts.join(own, "doc_id", "left_anti"), unlabelled, UNLABELLED_CHARACTERS).select("text").collect()
     rows = sorted(rows, key=lambda r: r.text)
     number = {name: i for i, name in enumerate(names)}
     fitted = fit_subjects(

@@ -331,6 +331,17 @@ def test_subjects(spark):
     assert subjects.document_subjects(docs.limit(0), labels, names_).count() == 0
 
 
+def test_subjects_of_long_texts(spark, monkeypatch):
+    rows = subject_corpus(80)
+    docs = spark.createDataFrame([(i, (t + "\n") * 20, s) for i, t, s, _ in rows], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, s) for i, _, _, own in rows[:60] for s in own], "doc_id bigint, subject string")
+    names_ = spark.createDataFrame([(s, i) for i, s in enumerate(("alpha", "beta", "gamma", "delta"))], "subject string, sort_no int")
+    assert docs.where(F.length("text") <= 5_000).isEmpty() and not subjects.document_subjects(docs, labels, names_).isEmpty()
+    sizes = [len(t) for t in sorted((r.text for r in docs.collect()), key=len)]
+    assert 2 <= subjects._first_by_hash(docs, 50, 3 * sizes[0]).count() <= 4
+    assert subjects._first_by_hash(docs, 50, 1).count() == 2 and subjects._first_by_hash(docs, 50, 10**9).count() == 50
+
+
 def test_sql_agrees(spark, small):
     import glob
     import os
