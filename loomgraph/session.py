@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,12 +31,14 @@ def build_session(app: str = "loomgraph", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where none is set, as in
-    tests, a temporary one takes its place."""
+    """The cluster names the shared folder in spark.checkpoint.dir; a temporary one takes its place only
+    where none is set and all runs on this machine, as in tests. Other executors could not read it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
 
 
@@ -44,7 +47,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     They survive lost executors, and unlike a checkpointed plan they carry exact sizes and neither
     statistics nor constraints of what they were made from, so that plans of many rounds stay small. The
-    files go when the driver's JVM ends.
+    files go with release(), else when the driver's JVM ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -52,7 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"rows-{uuid.uuid4().hex}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
+    rows = spark.read.schema(df.schema).parquet(path.toString())
+    rows._cut_path = path
+    return rows
+
+
+def release(*cuts: DataFrame) -> None:
+    """Deletes the files of cut tables of which all consumers have been written."""
+    for df in cuts:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
