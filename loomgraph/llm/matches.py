@@ -1,4 +1,4 @@
-"""Pairwise matches to groups: contraction by minima, a breadth-first peel of the giant component, minima again.
+"""Pairwise matches to groups: a breadth-first peel of the giant component, minimum propagation on the rest.
 
 Every vertex gets a long that keeps the order of the uuids, so that all rounds shuffle pairs of longs.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.vectors import cosine, usable
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, release
 
 DIM = 32
 
@@ -59,34 +59,41 @@ def _relabel(edges: DataFrame, level: DataFrame) -> DataFrame:
 
 
 def _minimum_round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One step of minimum propagation: every vertex moves to its least neighbour and on to that one's."""
-    least = cut_lineage(_both_ways(edges).groupBy("s").agg(F.min("d").alias("d")).select(F.col("s").alias("v"), F.least("s", "d").alias("to")))
+    """Minimum propagation: every vertex moves to its least neighbour, on to that one's, and so to the end.
+
+    The ways to the least neighbours only go down, so they end at vertices less than all around them, of which
+    there is one for two at most. They are followed in steps of doubled length.
+    """
+    least = _both_ways(edges).groupBy("s").agg(F.min("d").alias("d")).select(F.col("s").alias("v"), F.least("s", "d").alias("to"))
     onward = least.select(F.col("v").alias("to"), F.col("to").alias("on"))
-    level = cut_lineage(least.join(onward, "to").select("v", F.col("on").alias("to")))
+    level = cut_lineage(least.join(onward, "to").select("v", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")))
+    while not level.where("moved").isEmpty():
+        last, onward = level, level.select(F.col("v").alias("to"), F.col("to").alias("on"))
+        level = cut_lineage(level.drop("moved").join(onward, "to").select("v", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")))
+        release(last)
+    level = level.select("v", "to")
     return cut_lineage(_relabel(edges, level)), level
 
 
-def _peel(edges: DataFrame, most_hops: int) -> tuple[DataFrame, DataFrame] | None:
-    """Breadth-first from the vertex of highest degree; the reached vertices move to the least of them.
+def peel(edges: DataFrame, most_hops: int) -> tuple[DataFrame, DataFrame]:
+    """(edges that remain, the reached vertices v with the least of them) of a breadth-first search from the
+    vertex of highest degree.
 
     If the search ends within most_hops, its component is whole and is taken away by an anti-join; else
     what it has reached stays in the graph as one vertex.
     """
     ways = cut_lineage(_both_ways(edges))
-    hub = ways.groupBy("s").count().orderBy(F.desc("count"), "s").limit(1).select(F.col("s").alias("v"))
-    frontier, levels, ended = cut_lineage(hub), [], False
-    if frontier.isEmpty():
-        return None
+    frontier = cut_lineage(ways.groupBy("s").count().orderBy(F.desc("count"), "s").limit(1).select(F.col("s").alias("v")))
+    levels = [frontier]
     for _ in range(most_hops):
-        levels.append(frontier)
         near = levels[-1] if len(levels) == 1 else levels[-1].unionByName(levels[-2])
         reached = frontier.join(ways, frontier.v == ways.s).select(F.col("d").alias("v")).distinct()
         frontier = cut_lineage(reached.join(near, "v", "left_anti"))
-        if frontier.isEmpty():
-            ended = True
+        if ended := frontier.isEmpty():
             break
-    else:
         levels.append(frontier)
+    else:
+        ended = False
     visited = levels[0]
     for more in levels[1:]:
         visited = visited.unionByName(more)
@@ -95,18 +102,22 @@ def _peel(edges: DataFrame, most_hops: int) -> tuple[DataFrame, DataFrame] | Non
     if ended:
         rest = edges.join(level.select(F.col("v").alias("s")), "s", "left_anti")
     else:
-        others = ways.select(F.col("s").alias("v")).distinct().join(level, "v", "left_anti")
+        others = ways.select(F.col("s").alias("v")).distinct().join(level.select("v"), "v", "left_anti")
         rest = _relabel(edges, level.unionByName(others.select("v", F.col("v").alias("to"))))
-    return cut_lineage(rest), level
+    rest = cut_lineage(rest)
+    release(ways, *levels, frontier)
+    return rest, level
 
 
-def connected_groups(pairs: DataFrame, shorten: int = 4, most_hops: int = 12) -> DataFrame:
+def connected_groups(pairs: DataFrame, most_hops: int = 12) -> DataFrame:
     """(group_uuid, uuid) for every vertex of pairs (a, b); group_uuid is the smallest uuid of the group.
 
-    shorten rounds of minimum propagation first contract long chains, so that the breadth-first peel of
-    the giant component and the rounds on what remains are few even for chains of thousands of links.
-    Rounds only stop when no edge is left, so the result is exact whatever the parameters. Repeated
-    pairs, loops and nulls change nothing; no pairs give no rows.
+    The component of the vertex of highest degree, which is the giant one where there is one, is peeled off
+    the whole graph by breadth-first joins and taken away by an anti-join; the others are labelled by minimum
+    propagation, in rounds that at least halve the vertices whatever their order. A search that has not ended after most_hops, as
+    on long chains, leaves what it has reached as one vertex to these rounds, which only stop when no edge is
+    left, so the result is exact whatever the parameter. Repeated pairs, loops and nulls change nothing; no
+    pairs give no rows.
     """
     links = pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut_lineage(links)
@@ -114,27 +125,27 @@ def connected_groups(pairs: DataFrame, shorten: int = 4, most_hops: int = 12) ->
     vertices = cut_lineage(names.repartitionByRange("uuid").sortWithinPartitions("uuid").withColumn("v", F.monotonically_increasing_id()))
     a, b = vertices.select(F.col("uuid").alias("a"), F.col("v").alias("s")), vertices.select(F.col("uuid").alias("b"), F.col("v").alias("d"))
     edges = cut_lineage(links.join(a, "a").join(b, "b").select("s", "d"))
+    release(links)
+    if edges.isEmpty():
+        return vertices.select(F.col("uuid").alias("group_uuid"), "uuid").limit(0)
+    rest, peeled = peel(edges, most_hops)
+    release(edges)
     levels: list[DataFrame] = []
-    peel_level = None
-    for _ in range(shorten):
-        if edges.isEmpty():
-            break
-        edges, level = _minimum_round(edges)
-        levels.append(level)
-    if (peeled := _peel(edges, most_hops)) is not None:
-        edges, peel_level = peeled
-        levels.append(peel_level)
-    while not edges.isEmpty():
-        edges, level = _minimum_round(edges)
+    while not rest.isEmpty():
+        last, (rest, level) = rest, _minimum_round(rest)
+        release(last)
         levels.append(level)
-    if not levels:
-        return vertices.select(F.col("uuid").alias("group_uuid"), "uuid").limit(0)
-    total = levels[-1]
+    total = levels[-1] if levels else None
     for level in reversed(levels[:-1]):
-        last = total.select(F.col("v").alias("to"), F.col("to").alias("end"))
-        moved = level.join(last, "to", "left").select("v", F.coalesce("end", "to").alias("to"))
-        # The peel's level has the reached vertices alone; the others keep what later rounds gave them.
-        total = moved.unionByName(total.join(level, "v", "left_anti")) if level is peel_level else moved
+        end = total.select(F.col("v").alias("to"), F.col("to").alias("end"))
+        total = level.join(end, "to", "left").select("v", F.coalesce("end", "to").alias("to"))
+    if total is None:
+        total = peeled
+    else:
+        # The peeled vertices move on with the one they stay as; the others have what the rounds gave them.
+        end = total.select(F.col("v").alias("to"), F.col("to").alias("end"))
+        moved = peeled.join(end, "to", "left").select("v", F.coalesce("end", "to").alias("to"))
+        total = moved.unionByName(total.join(peeled.select("v"), "v", "left_anti"))
     ends = vertices.select(F.col("uuid").alias("group_uuid"), F.col("v").alias("to"))
     return vertices.join(total, "v").join(ends, "to").select("group_uuid", "uuid")
 

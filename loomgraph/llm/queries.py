@@ -14,7 +14,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.field_sources(cut_lineage(p1_found(spark, d)), table(spark, d, "entities"))
+    # The listing settles ties and undated groups by uuid, so its rule is trusted before what is learned.
+    return survivors.field_sources(cut_lineage(p1_found(spark, d)), table(spark, d, "entities"), trust=("time", "uuid", "learned"))
 
 
 def p2_survivors(spark: SparkSession, d: str) -> DataFrame:

@@ -37,16 +37,27 @@ def groups_by_union_find(pairs):
     return {x: find(x) for x in parent}
 
 
-def test_groups_against_union_find(spark, shorten=1, hops=2):
+@pytest.mark.parametrize("hops", [12, 1])
+def test_groups_against_union_find(spark, hops):
     rng = random.Random(5)
-    pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)] + [("hub", f"s{i:02}") for i in range(40)]
+    pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(120)] + [("hub", f"s{i:02}") for i in range(40)]
     pairs += [(f"r{rng.randrange(60):02}", f"r{rng.randrange(60):02}") for _ in range(45)]
     rng.shuffle(pairs)
     df = spark.createDataFrame(pairs + pairs[:9], "a string, b string")
-    got = {r.uuid: r.group_uuid for r in matches.connected_groups(df, shorten, hops).collect()}
+    got = {r.uuid: r.group_uuid for r in matches.connected_groups(df, hops).collect()}
     assert got == groups_by_union_find([p for p in pairs if p[0] != p[1]])
 
 
+def test_peel_takes_the_giant_component(spark):
+    giant = [(0, i) for i in range(1, 50)] + [(i, i + 100) for i in range(1, 50)]
+    small = [(1000 + 2 * i, 1001 + 2 * i) for i in range(20)]
+    edges = spark.createDataFrame(giant + small, "s bigint, d bigint")
+    rest, level = matches.peel(edges, 12)
+    assert {tuple(r) for r in rest.collect()} == set(small) and {tuple(r) for r in level.collect()} == {(v, 0) for e in giant for v in e}
+    rest, level = matches.peel(spark.createDataFrame([(i, i + 1) for i in range(20)], "s bigint, d bigint"), 3)
+    assert level.count() == 5 and rest.count() == 16  # from 1, which is the first of degree two
+
+
 def test_which_matches_count(spark):
     entities = spark.createDataFrame([entity(u, v=v) for u, v in {"a": vec(1), "b": vec(1, 0.1), "c": vec(0, 1), "d": None, "e": vec(1), "f": vec(1), "z": [1.0]}.items()] + [entity("a", v=vec(1), seq=9), entity(None)], ENTITY)
     rows = [("a", "b", None), ("c", "a", None), ("d", "a", None), ("e", "f", 0.9), ("f", "e", 0.1), ("e", "e", 1.0), ("e", "gone", 1.0), (None, "a", 1.0), ("c", "d", float("nan")), ("z", "a", None), ("c", "e", 0.89)]
@@ -57,6 +68,9 @@ def test_which_matches_count(spark):
     assert matches.match_groups(table, entities.limit(0)).count() == 0
 
 
+LISTED = ("time", "uuid", "learned")
+
+
 def test_survivors(spark):
     ts = lambda s: pd.Timestamp(s).to_pydatetime()
     rows = [
@@ -66,27 +80,37 @@ def test_survivors(spark):
     ]
     entities = spark.createDataFrame(rows + rows, ENTITY)
     groups = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("d", "e"), ("f", "f"), ("f", "g")], "group_uuid string, uuid string")
-    got = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(groups, entities).collect()}
+    got = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(groups, entities, trust=LISTED).collect()}
     assert got == {("a", "name"): "a", ("a", "description"): "b", ("a", "entity_type"): "a", ("d", "name"): "d", ("d", "entity_type"): "d", ("f", "name"): "g", ("f", "entity_type"): "g"}
     # The dated group f teaches that B follows A; the undated group d holds both.
     assert {tuple(r) for r in survivors.learn_transitions(survivors.group_members(groups, entities)).collect()} == {("name", "a", "b"), ("description", "first", "second")}
     swapped = groups.where("group_uuid <> 'd'").unionByName(spark.createDataFrame([("d", "d"), ("d", "e")], "group_uuid string, uuid string"))
-    chosen = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(swapped, entities, undated="currency").collect()}
+    chosen = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(swapped, entities).collect()}
     assert chosen[("d", "name")] == "d"
     record = {r.group_uuid: r for r in survivors.surviving_records(groups, entities).collect()}
     assert (record["a"]["name"], record["a"].description, record["d"].description) == ("Old", "second", None)
-    assert survivors.field_sources(groups.limit(0), entities).count() == 0
-    assert survivors.field_sources(groups, entities.limit(0), undated="currency").count() == 0
+    assert survivors.field_sources(groups.limit(0), entities, trust=LISTED).count() == 0
+    assert survivors.field_sources(groups, entities.limit(0)).count() == 0
 
 
 def test_currency_prefers_the_later_value(spark):
     ts = lambda s: pd.Timestamp(s).to_pydatetime()
     rows = [entity("a", "late", at=ts("2021-01-01")), entity("b", "early", at=ts("2020-01-01")), entity("c", "early"), entity("d", "late")]
     groups = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "c"), ("c", "d")], "group_uuid string, uuid string")
-    got = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(groups, spark.createDataFrame(rows, ENTITY), undated="currency").collect()}
+    got = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(groups, spark.createDataFrame(rows, ENTITY)).collect()}
     assert got[("c", "name")] == "d"
 
 
+def test_learned_order_over_steps_and_cycles(spark):
+    steps = spark.createDataFrame([("name", a, b) for a, b in ["pq", "qr", "xy", "yz", "zx", "zw"]], "field string, earlier string, later string")
+    tied = [("g1", "p", "1"), ("g1", "r", "2"), ("g2", "x", "2"), ("g2", "z", "1"), ("g3", "x", "1"), ("g3", "w", "2"), ("g4", "o", "2"), ("g4", "p", "1"), ("g5", "q", "3"), ("g5", "r", "4"), ("g5", "w", "9")]
+    df = spark.createDataFrame([(g, "name", v, u) for g, v, u in tied], "group_uuid string, field string, value string, uuid string")
+    got = {r.group_uuid: r.uuid for r in survivors.topological_latest(df, steps).collect()}
+    # r follows p over q; x and z form a cycle; w follows the cycle; o and p, r and w are not ordered.
+    assert got == {"g1": "2", "g2": "1", "g3": "2", "g4": "1", "g5": "4"}
+    assert survivors.topological_latest(df.limit(0), steps).count() == 0 and survivors.topological_latest(df, steps.limit(0)).count() == 5
+
+
 LINES = {
     "The compiler was deployed before anyone looked at the sched-": "broken_word",
     "uler.": None,
