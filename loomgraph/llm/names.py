@@ -1,14 +1,15 @@
 """Spellings of one person or organisation: names sharded into tries, walked with Levenshtein automata.
 
-A name is taken apart into its core (surname, or the proper word of an organisation) and what tells bearers
-of one core apart (given name or its initial, line of business). Two cores within one edit share their first
-or their last letters, so each workspace's cores are sharded by both ends; every shard is a trie that all its
-cores are searched in. Only cores of the same workspace whose other parts agree, in any order of the parts,
-are linked.
+A name is taken apart into its core (surname, or the proper words of an organisation in any order) and what
+tells bearers of one core apart (given name or its initial, line of business). Of two cores within one edit the
+first or the last half is the same, so each workspace's cores are sharded by both halves; every shard is a trie of
+what remains, in which all its cores are searched for. Only cores of the same workspace whose other parts agree,
+in any order of the parts, are linked.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.automata import build_trie, search
 from loomgraph.llm.matches import connected_groups
 from loomgraph.llm.survivors import STAND_INS
 from loomgraph.session import cut_lineage, distinct_records
 
-SHARD_NAMES = 2_000
+SHARD_NAMES = 2_000  # cores of a shard from which on it is split
+UNLISTED_LETTERS = 6  # letters from which on given names that are in no list may differ by one edit
+CLASS_BLOCK = 1_000  # spellings of one bearer that are paired in one task
 
 # Given names with the short forms that they go by.
 SHORT_FORMS = {
@@ -30,13 +34,13 @@ SHORT_FORMS = {
     "charlotte": "lottie charlie lotte", "christopher": "chris kit topher", "dorothea": "dora dot dottie thea dorothy",
     "edward": "ed eddie ned ted teddy", "elizabeth": "liz beth betty lizzie eliza bess libby", "francesca": "fran franny cesca",
     "frederick": "fred freddie freddy", "gabriela": "gaby gabi gabby gabriella", "gregory": "greg", "henrietta": "hettie etta hetty",
-    "isabella": "bella izzy isa", "johannes": "hannes johann hans jo", "josephine": "josie jo", "katherine": "kathy kate katie kat kitty",
+    "isabella": "bella izzy isa", "johannes": "hannes johann hans jo", "josephine": "josie jo", "katherine": "kathy kate katie kat kitty catherine cathy",
     "lawrence": "larry laurie", "leonard": "leo len lenny", "margaret": "maggie peggy meg marge", "maximilian": "max",
     "michael": "mike mick mickey", "nikolai": "kolya nick niko", "oliver": "ollie", "philippa": "pip pippa", "rebecca": "becky becca",
     "richard": "dick rick rich ricky", "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "stephen": "steve steph steven",
     "susanna": "sue susie suzy", "theodore": "theo ted teddy", "thomas": "tom tommy", "ulrike": "ulli uli rike", "victoria": "vicky vic tori",
     "wilhelmina": "mina willa minnie billie", "william": "bill will billy willy liam", "yvonne": "vonnie evie", "zacharias": "zach zack",
-    "andrew": "andy drew", "catherine": "cathy", "daniel": "dan danny", "david": "dave davy", "james": "jim jimmy jamie", "jennifer": "jen jenny",
+    "andrew": "andy drew", "daniel": "dan danny", "david": "dave davy", "james": "jim jimmy jamie", "jennifer": "jen jenny",
     "john": "jack johnny", "joseph": "joe joey", "matthew": "matt", "nicholas": "nick nicky", "patricia": "pat patty trish", "peter": "pete",
     "ronald": "ron", "timothy": "tim",
 }
@@ -57,6 +61,8 @@ BUSINESS = {
     "college": "coll", "hospital": "hosp", "museum": "mus", "society": "soc", "agency": "agcy", "foundation": "fdn found", "ministry": "min",
 }
 _FILLERS = frozenset("the and of for und der die das y de la".split())
+# Particles before a surname, which many leave out.
+_PARTICLES = frozenset("de la del las los da do dos di du van von der den ten ter zu zur al el bin ibn".split())
 PERSON_TYPES = frozenset("person people human individual per".split())
 ORGANISATION_TYPES = frozenset("organization organisation org company corporation firm business institution".split())
 
@@ -143,7 +149,8 @@ def _undotted(plain: str) -> str:
     return re.sub(r"\b[a-z](?:\.[a-z])+\b\.?", lambda m: m.group().replace(".", ""), plain)
 
 
-def parse_organisation(plain: str) -> tuple[str, str, str] | None:
+def parse_organisation(plain: str, sure: bool = True) -> tuple[str, str, str] | None:
+    """The proper words in alphabetical order are the core; one alone if only a line of business shows the kind."""
     words = [w for w in re.split(r"[^\w]+|_", _undotted(plain)) if w and w not in LEGAL and w not in _FILLERS]
     lines, core = set(), []
     for w in words:
@@ -151,45 +158,50 @@ def parse_organisation(plain: str) -> tuple[str, str, str] | None:
             lines.add(b)
         elif not w.isdigit():
             core.append(w)
-    if len(core) != 1 or len(core[0]) < 3:
+    if not core or len("".join(core)) < 3 or (len(core) > 1 and not sure):
         return None
-    return "organisation", " ".join(sorted(lines)), core[0]
+    return "organisation", " ".join(sorted(lines)), " ".join(sorted(core))
 
 
 def parse_person(plain: str, sure: bool) -> tuple[str, str, str] | None:
-    """part is 'given', or 'i' after a colon for an initial, or empty for a surname alone."""
-    comma = plain.partition(",")
-    words = [w for w in re.split(r"[^\w']+|_", plain) if w and w not in TITLES]
-    titled = len(words) < len([w for w in re.split(r"[^\w']+|_", plain) if w])
+    """part is 'given', or 'i' after a colon for an initial, or empty for a surname alone. A given name that is
+    in no list stands after a tilde."""
+    before, comma, _ = plain.partition(",")
+    split = lambda text: [w for w in re.split(r"[^\w']+|_", text) if w]
+    words = [w for w in split(plain) if w not in TITLES]
+    titled = len(words) < len(split(plain))
     if not words or any(c.isdigit() for w in words for c in w):
         return None
-    full = [w for w in words if len(w) > 1]
+    full = [w for w in words if len(w) > 1 and w not in _PARTICLES] or [w for w in words if len(w) > 1]
     initials = [w for w in words if len(w) == 1]
     if len(full) == 1:
         if initials:
             return "person", f":{initials[0]}", full[0]
         return ("person", "", full[0]) if (sure or titled or len(words) == 1) and len(full[0]) >= 4 else None
-    if len(full) > 3:
+    if len(full) > 3 and not sure:
         return None
     known = [(i, g) for i, w in enumerate(full) if (g := given_name(w))]
+    surnames = len([w for w in split(before) if w in full]) if comma else 0
     if known:
-        i, given = known[-1] if comma[1] and len(known) == 1 else known[0]
+        i, given = known[-1] if comma and len(known) == 1 else known[0]
         rest = full[:i] + full[i + 1 :]
-        if comma[1]:
-            surname = rest[0]
-        else:
-            surname = rest[-1]
+        surname = rest[max(0, surnames - 1) if i >= surnames else 0] if comma else rest[-1]
         if full[i] in _SHARED:
             given = "/".join(sorted(_SHARED[full[i]]))
         return "person", given, surname
-    if not sure or len(full) != 2:
+    if not sure:
         return None
-    surname, given = (full[0], full[1]) if comma[1] else (full[1], full[0])
-    return "person", sounded(given), surname
+    if 0 < surnames < len(full):
+        return "person", f"~{sounded(full[surnames])}", full[surnames - 1]
+    return "person", f"~{sounded(full[0])}", full[-1]
 
 
 def parse_name(name: str | None, entity_type: str | None) -> tuple[str, str, str] | None:
-    """(kind, part, core in plain letters), or None for what is no name of a person or organisation."""
+    """(kind, part, core in plain letters), or None for what is no name of a person or organisation.
+
+    The kind of a name without a type is told by a listed given name, a title, a legal form or a line of
+    business; two capitalised words without any of these may be a person, of kind 'person?'.
+    """
     if not name or not name.strip():
         return None
     plain = " ".join(letters(name).split()).strip(" .")
@@ -210,86 +222,91 @@ def parse_name(name: str | None, entity_type: str | None) -> tuple[str, str, str
     if person is not None and person[1]:
         return person
     if any(w in _BUSINESS for w in words):
-        return parse_organisation(plain)
+        return parse_organisation(plain, False)
+    if person is None and re.fullmatch(r"\s*[^\W\d_]{2,},?\s+[^\W\d_]{3,}\s*", name) and all(w[0].isupper() and not w.isupper() for w in name.split()):
+        found = parse_person(plain, True)
+        return found and ("person?", *found[1:])
     return person
 
 
-class Trie:
-    """Words in a trie; search walks it with the automaton of words within some edits of the one asked for."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.word: list[str | None] = [None]
-        for word in words:
-            node = 0
-            for c in word:
-                step = self.next[node].get(c)
-                if step is None:
-                    step = self.next[node][c] = len(self.next)
-                    self.next.append({})
-                    self.word.append(None)
-                node = step
-            self.word[node] = word
-
-    def search(self, word: str, most: int) -> list[tuple[str, int]]:
-        """(word, edits) of all words within most edits; exchanged neighbours are one edit.
-
-        The automaton's state is the row of edit distances of the letters walked so far to each beginning
-        of the word, with that of one letter before for exchanges; a branch whose states all exceed most
-        is dead.
-        """
-        n, out = len(word), []
-        stack: list[tuple[int, list[int], list[int] | None, str]] = [(0, list(range(n + 1)), None, "")]
-        while stack:
-            node, row, before, last = stack.pop()
-            if (found := self.word[node]) is not None and row[n] <= most:
-                out.append((found, row[n]))
-            for c, step in self.next[node].items():
-                new = [row[0] + 1]
-                for i in range(1, n + 1):
-                    cost = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c))
-                    if before is not None and i > 1 and word[i - 1] == last and word[i - 2] == c:
-                        cost = min(cost, before[i - 2] + 1)
-                    new.append(cost)
-                if min(new) <= most:
-                    stack.append((step, new, row, c))
-        return out
-
-
-def _shard_neighbours(most: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie(pdf.core[pdf.entry].tolist())
-        group, kind = pdf.group_id.iloc[0], pdf.kind.iloc[0]
-        rows = [(group, kind, core, other) for core in pdf.core[pdf.asks] for other, _ in trie.search(core, most) if core != other]
-        return pd.DataFrame(rows, columns=["group_id", "kind", "core", "other"])
+def _permuted(core: str) -> list[str]:
+    """The words of a core in all orders, of more than four as they are."""
+    words = core.split(" ")
+    return [core] if len(words) == 1 or len(words) > 4 else sorted({" ".join(p) for p in itertools.permutations(words)})
+
+
+def halves(core: str) -> list[tuple[str, str]]:
+    """The shards of a core, each with the rest of the core that its trie holds.
+
+    Where two cores are one edit apart and the shorter has n letters, the first or the last (n - 1) // 2
+    letters of both are the same; the shorter may have one letter less than this one. What ends alike is held
+    from the end to the beginning.
+    """
+    n, back = len(core), core[::-1]
+    out = []
+    for h in {max(0, (n - 1) // 2), max(0, (n - 2) // 2)}:
+        out.append((f"<{core[:h]}", core[h:]))
+        if h:
+            out.append((f">{back[:h]}", back[h:]))
+    return out
+
+
+SHARDED = T.StructType([T.StructField(c, t) for c, t in (("shard", T.StringType()), ("core", T.StringType()), ("rest", T.StringType()), ("form", T.StringType()), ("asks", T.BooleanType()))])
+
+
+@F.pandas_udf(T.ArrayType(SHARDED))
+def _sharded(core: pd.Series, form: pd.Series, asks: pd.Series) -> pd.Series:
+    out = []
+    for own, f, a in zip(core, form, asks, strict=True):
+        rows = {}
+        for text in _permuted(f):
+            for shard, rest in halves(text):
+                rows[shard, rest] = (shard, own, rest, text, bool(a) and text == f)
+        out.append([dict(zip(SHARDED.names, r, strict=True)) for r in rows.values()])
+    return pd.Series(out)
+
+
+def _search_shards(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for group, kind, members in zip(pdf.group_id, pdf.kind, pdf.members, strict=True):
+                owners: dict[str, list[str]] = {}
+                for m in members:
+                    if m["entry"]:
+                        owners.setdefault(m["rest"], []).append(m["core"])
+                trie = build_trie(owners)
+                for m in members:
+                    if m["asks"]:
+                        out += [(group, kind, m["core"], other) for rest, _ in search(trie, m["rest"], most) for other in owners[rest] if other != m["core"]]
+            yield pd.DataFrame(sorted(set(out)), columns=["group_id", "kind", "core", "other"])
 
     return run
 
 
-def trie_join(cores: DataFrame, most: int = 1, shard_names: int = SHARD_NAMES) -> DataFrame:
-    """(group_id, kind, core, other): distinct cores within `most` = 1 edits in the same group and kind.
+def trie_join(cores: DataFrame, shard_names: int = SHARD_NAMES) -> DataFrame:
+    """(group_id, kind, core, other), both ways: distinct cores of which forms are within one edit in the same
+    group and kind.
 
-    Shards are keyed by the first and by the last three letters, for cores of up to seven letters by the
-    first and the last one: the single edit leaves one of the ends as it is. Cores of one or two letters have
-    a shard of their own. A shard of more than
-    shard_names cores is split into several tries, each searched for all cores of the shard. Of cores with a
-    column asks, only those where it is true are searched for; all are found.
+    cores has group_id, kind and core, and may have form, the spelling searched with in place of the core
+    itself, and asks, false for forms that are only found. A form of several words is found in any order of
+    them. Each shard is one row of its cores, so that tasks get many shards at once; one of more than shard_names
+    cores is split on both sides, into tries and into blocks of what is searched for, and each block meets each trie.
     """
+    form = F.col("form") if "form" in cores.columns else F.col("core").alias("form")
     asks = F.col("asks") if "asks" in cores.columns else F.lit(True).alias("asks")
-    size = F.length("core")
-    cut = lambda n: F.array(F.concat(F.lit(f"<{n}"), F.substring("core", 1, n)), F.concat(F.lit(f">{n}"), F.expr(f"right(core, {n})")))
-    ends = F.concat(F.when(size <= 7, cut(1)).otherwise(F.array().cast("array<string>")), F.when(size >= 7, cut(3)).otherwise(F.array().cast("array<string>")), F.when(size <= 2, F.array(F.lit("="))).otherwise(F.array().cast("array<string>")))
-    keyed = cut_lineage(cores.select("group_id", "kind", "core", asks).distinct()).withColumn("end", F.explode(ends))
-    sizes = keyed.groupBy("group_id", "kind", "end").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").drop("asked")
-    parts = F.ceil(F.col("n") / shard_names).cast("int")
-    split = (
-        keyed.join(sizes, ["group_id", "kind", "end"])
-        .withColumn("parts", parts)
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("entry", F.pmod(F.xxhash64("core"), F.col("parts")) == F.col("shard"))
-    )
-    schema = "group_id string, kind string, core string, other string"
-    return split.groupBy("group_id", "kind", "end", "shard").applyInPandas(_shard_neighbours(most), schema).distinct()
+    distinct = cores.select("group_id", "kind", "core", form, asks).groupBy("group_id", "kind", "core", "form").agg(F.max("asks").alias("asks"))
+    keyed = cut_lineage(distinct.select("group_id", "kind", F.explode(_sharded("core", "form", "asks")).alias("s")).select("group_id", "kind", "s.*"))
+    key = ["group_id", "kind", "shard"]
+    sizes = keyed.groupBy(*key).agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").select(*key, F.ceil(F.col("n") / shard_names).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("core", "form"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.array(F.struct(F.col("own").alias("trie"), i.alias("block")), F.struct(i.alias("trie"), F.col("own").alias("block"))))
+    spread = keyed.join(sizes, key).withColumn("own", own).withColumn("cell", F.explode(F.array_distinct(F.flatten(cells))))
+    member = F.struct("core", "rest", (F.col("cell.trie") == F.col("own")).alias("entry"), (F.col("asks") & (F.col("cell.block") == F.col("own"))).alias("asks"))
+    shards = spread.groupBy(*key, "cell").agg(F.collect_list(member).alias("members"))  # at most about twice shard_names
+    found = shards.select("group_id", "kind", "members").mapInPandas(_search_shards(1), "group_id string, kind string, core string, other string")
+    both = F.explode(F.array(F.struct("core", "other"), F.struct(F.col("other").alias("core"), F.col("core").alias("other"))))
+    return found.select("group_id", "kind", both.alias("p")).select("group_id", "kind", "p.*").distinct()
 
 
 @F.pandas_udf(NAME)
@@ -308,39 +325,46 @@ def near_cores(named: DataFrame) -> DataFrame:
     Folding letter by letter brings no two words apart, but where several letters become one, an edit that
     makes or breaks them counts more than once; only spellings with such letters are searched for again.
     """
-    spelt = [named.select("group_id", F.concat("kind", F.lit(_SEP + form)).alias("kind"), F.col(form).alias("form"), (F.length(form) != F.length(shorter)).alias("asks"), F.col("core").alias("own")) for form, shorter in (("folded", "core"), ("plain", "folded"))]
-    spelt = cut_lineage(spelt[0].unionByName(spelt[1]).distinct())
-    pairs = trie_join(spelt.withColumnRenamed("form", "core")).select("group_id", "kind", "core", "other")
-    a, b = spelt.select("group_id", "kind", F.col("form").alias("core"), F.col("own").alias("x")), spelt.select("group_id", "kind", F.col("form").alias("other"), F.col("own").alias("y"))
-    again = pairs.join(a, ["group_id", "kind", "core"]).join(b, ["group_id", "kind", "other"]).where("x <> y")
-    kind = F.substring_index("kind", _SEP, 1).alias("kind")
-    both = again.select("group_id", kind, F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"))
-    return trie_join(named).unionByName(both.select("group_id", "kind", F.col("p.x").alias("core"), F.col("p.y").alias("other"))).distinct()
+    form = lambda text, tag, asks: F.struct(F.lit(tag).alias("tag"), text.alias("form"), asks.alias("asks"))
+    spelt = F.array(
+        form(F.col("core"), "", F.lit(True)),
+        form(F.col("folded"), "f", F.length("folded") != F.length("core")),
+        form(F.col("plain"), "p", F.length("plain") != F.length("folded")),
+    )
+    rows = named.select("group_id", "kind", "core", F.explode(spelt).alias("s"))
+    found = trie_join(rows.select("group_id", F.concat_ws(_SEP, "kind", "s.tag").alias("kind"), "core", "s.form", "s.asks"))
+    return found.select("group_id", F.substring_index("kind", _SEP, 1).alias("kind"), "core", "other").distinct()
 
 
 def name_groups(entities: DataFrame) -> DataFrame:
     """(group_id, cluster, uuid): entities of one workspace whose names denote the same bearer.
 
     Full names are linked when their parts are equal and their cores within one edit, and what is linked
-    through others counts as linked. A surname alone, one with an initial, or an organisation without line
+    through others counts as linked; given names that are in no list may differ by one edit too. A surname alone, one with an initial, or an organisation without line
     of business joins the bearer it fits; if it fits several, none. Null, blank and stand-in names, names
     of other things and null groups are linked to nothing; of a redelivered record one copy counts.
     """
     records = distinct_records(entities, "name", "entity_type", "group_id").where("group_id IS NOT NULL")
     named = records.select("uuid", "group_id", parsed("name", "entity_type").alias("n")).where("n.kind IS NOT NULL").select("uuid", "group_id", "n.*")
-    named = cut_lineage(named)
-    keys = named.select("group_id", "kind", "part", "core").distinct()
+    named = cut_lineage(named.withColumn("sure", ~F.endswith("kind", F.lit("?"))).withColumn("kind", F.rtrim("kind", F.lit("?"))))
+    keys = named.groupBy("group_id", "kind", "part", "core").agg(F.max("sure").alias("sure"))
     keys = cut_lineage(keys.withColumn("key", F.concat_ws(_SEP, "group_id", "kind", "part", "core")))
     near = cut_lineage(near_cores(named))
     full = keys.where("part <> '' AND NOT startswith(part, ':') AND NOT contains(part, '/')")
     partial = keys.join(full.select("key"), "key", "left_anti")
-    a, b = full.select("group_id", "kind", "core", "part", F.col("key").alias("a")), full.select("group_id", "kind", F.col("core").alias("other"), "part", F.col("key").alias("b"))
-    linked = connected_groups(a.join(near, ["group_id", "kind", "core"]).join(b, ["group_id", "kind", "other", "part"]).where("a < b").select("a", "b"))
+    a, b = full.select("group_id", "kind", "core", F.col("part").alias("p"), F.col("key").alias("a")), full.select("group_id", "kind", F.col("core").alias("other"), F.col("part").alias("q"), F.col("key").alias("b"))
+    unlisted = F.startswith("p", F.lit("~")) & F.startswith("q", F.lit("~")) & (F.least(F.length("p"), F.length("q")) > UNLISTED_LETTERS)
+    alike = (F.col("p") == F.col("q")) | (unlisted & (F.levenshtein("p", "q") <= 1))
+    self_near = full.select("group_id", "kind", "core", F.col("core").alias("other")).where("startswith(part, '~')").distinct()
+    beside = a.join(near.unionByName(self_near), ["group_id", "kind", "core"]).join(b, ["group_id", "kind", "other"]).where(alike & F.expr("a < b"))
+    linked = connected_groups(beside.select("a", "b"))
     clusters = full.join(linked.withColumnRenamed("uuid", "key"), "key", "left").withColumn("cluster", F.coalesce("group_uuid", "key")).drop("group_uuid")
+    # Capitalised words that no surer name of the workspace is like are no person.
     clusters = cut_lineage(clusters)
+    clusters = clusters.join(clusters.where("sure").select("cluster").distinct(), "cluster", "left_semi")
     same = partial.select("group_id", "kind", "core", F.col("core").alias("other"), "part", "key", F.lit(0).alias("edits"))
     close = partial.join(near, ["group_id", "kind", "core"]).select("group_id", "kind", "core", "other", "part", "key", F.lit(1).alias("edits"))
-    bearers = clusters.select("group_id", "kind", F.col("core").alias("other"), F.col("part").alias("whole"), "cluster")
+    bearers = clusters.select("group_id", "kind", F.col("core").alias("other"), F.ltrim("part", F.lit("~")).alias("whole"), "cluster")
     fits = (F.col("part") == "") | F.startswith(F.col("whole"), F.substring("part", 2, 1)) & F.startswith(F.col("part"), F.lit(":"))
     fits = fits | F.array_contains(F.split("part", "/"), F.col("whole"))
     options = same.unionByName(close).join(bearers, ["group_id", "kind", "other"]).where(fits)
@@ -357,7 +381,13 @@ def name_groups(entities: DataFrame) -> DataFrame:
 
 
 def name_pairs(entities: DataFrame) -> DataFrame:
-    """(uuid_a, uuid_b): every pair within a set of spellings, the smaller uuid first."""
+    """(uuid_a, uuid_b): every pair within a set of spellings, the smaller uuid first. A set of more than
+    CLASS_BLOCK spellings is paired block by block."""
     groups = cut_lineage(name_groups(entities))
-    a, b = groups.select("group_id", "cluster", F.col("uuid").alias("uuid_a")), groups.select("group_id", "cluster", F.col("uuid").alias("uuid_b"))
-    return a.join(b, ["group_id", "cluster"]).where("uuid_a < uuid_b").select("uuid_a", "uuid_b")
+    key = ["group_id", "cluster"]
+    blocks = groups.groupBy(*key).agg(F.ceil(F.count("*") / CLASS_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    own = groups.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("uuid"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = own.select(*key, F.col("uuid").alias("uuid_a"), F.col("block").alias("x"), others.alias("y"))
+    b = own.select(*key, F.col("uuid").alias("uuid_b"), F.col("block").alias("y"), others.alias("x"))
+    return a.join(b, [*key, "x", "y"]).where("uuid_a < uuid_b").select("uuid_a", "uuid_b")

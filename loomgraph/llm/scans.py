@@ -1,8 +1,10 @@
 """Repair of text from scanned pages: page furniture, words cut in two, misread words, reflow.
 
-Vocabulary and the model of name spelling are counted over all episodes. Candidates for an unknown word come
-from tries over the vocabulary, walked with an automaton that allows up to two of the confusions a reader of
-scans makes; names that are in no vocabulary are judged by how much likelier their letters become.
+Vocabulary, word pairs and the model of name spelling are counted over all episodes. Candidates for an unknown
+word come from tries over the vocabulary: all words within one edit, by a Levenshtein automaton, and all that
+up to two of the confusions of a reader of scans make of it. They are ranked by what the edits cost, by
+frequency and by the neighbouring words; names that are in no vocabulary are judged by how much likelier
+their letters become.
 """
 
 from __future__ import annotations
@@ -16,11 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.automata import END, build_trie, search
 from loomgraph.session import cut_lineage, distinct_records
 
 COMMON_WORDS = 20_000  # the most frequent words, known to every task without a join
-SHARD_WORDS = 20_000  # vocabulary words of one trie
-LINES_A_FORM = 3  # repeats that make a title-like line a running head
+SHARD_WORDS = 20_000  # vocabulary words of one trie, and words searched for in it, from which on a shard is split
+LINES_A_FORM, LINE_RATE = 3, 1e-5  # repeats, and repeats for each scan, that make a title-like line a running head
+CLEAN_SHARE = 0.02  # a word of clean episodes is known unless scans have it more than 1 / CLEAN_SHARE times as often
+SCANS_A_WORD = 3  # scans from which on a word that no clean episode has may be known
+ENTRY_RATE = 0.01  # share of the scans that have a word from which on it is a candidate without clean episodes
+MORE_FREQUENT = 5  # a candidate is so many times as frequent as the word
+NAME_RATE = 0.005  # share of the clean episodes up to which a capitalised word may be a name
+# Log-likelihoods: of one and two confusions, and of another edit, which two known neighbours must support.
+COSTS = {1: -4.0, 2: -8.0, 3: -10.0}
 MISREAD_PRIOR = -5.3  # log of the share of letters that are misread
 
 # What is read for what. The printed letters come first.
@@ -121,47 +131,73 @@ def _plain_word(word: str) -> bool:
     return word.replace("-", "").replace("'", "").isalpha()
 
 
-class ConfusionTrie:
-    """The vocabulary as a trie, walked with the automaton of at most two confusions."""
-
-    def __init__(self, words: dict[str, int]) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.ends: dict[int, str] = {}
-        self.counts = words
-        for word in words:
-            node = 0
-            for c in word:
-                step = self.next[node].get(c)
-                if step is None:
-                    step = self.next[node][c] = len(self.next)
-                    self.next.append({})
-                node = step
-            self.ends[node] = word
-
-    def search(self, word: str, most: int = 2) -> list[tuple[int, str, int]]:
-        """(confusions, vocabulary word, place of the first confusion) of all that can be read as word."""
-        out, stack = [], [(0, 0, 0, -1)]
-        n = len(word)
-        while stack:
-            node, at, cost, place = stack.pop()
-            if at == n:
-                if cost and node in self.ends:
-                    out.append((cost, self.ends[node], place))
-                continue
-            step = self.next[node].get(word[at])
-            if step is not None:
-                stack.append((step, at + 1, cost, place))
-            if cost < most:
-                for read, printed in _BY_READ.get(word[at], ()):
-                    if word.startswith(read, at):
-                        to: int | None = node
-                        for c in printed:
-                            to = self.next[to].get(c)
-                            if to is None:
-                                break
-                        if to is not None:
-                            stack.append((to, at + len(read), cost + 1, at if place < 0 else place))
-        return out
+def confusable(root: dict, word: str, most: int = 2) -> list[tuple[str, int, int]]:
+    """(word of the trie, confusions, place of the first) of all that can be read as word with 1 to most of them."""
+    out, stack = [], [(root, 0, 0, -1)]
+    n = len(word)
+    while stack:
+        node, at, cost, place = stack.pop()
+        if at == n:
+            if cost and END in node:
+                out.append((node[END], cost, place))
+            continue
+        step = node.get(word[at])
+        if step is not None:
+            stack.append((step, at + 1, cost, place))
+        if cost < most:
+            for read, printed in _BY_READ.get(word[at], ()):
+                if word.startswith(read, at):
+                    to: dict | None = node
+                    for c in printed:
+                        to = to.get(c)
+                        if to is None:
+                            break
+                    if to is not None:
+                        stack.append((to, at + len(read), cost + 1, at if place < 0 else place))
+    return out
+
+
+def candidates(root: dict, word: str) -> list[tuple[str, int, int]]:
+    """(word of the trie, tier, first misread letter): by one or two confusions, or in tier 3 by another single edit."""
+    best: dict[str, tuple[int, int]] = {}
+    for found, cost, place in confusable(root, word):
+        best[found] = min(best.get(found, (9, 0)), (cost, place))
+    for found, edits in search(root, word, 1):
+        if edits and found not in best:
+            same = 0
+            while same < min(len(found), len(word)) and found[same] == word[same]:
+                same += 1
+            best[found] = (3, min(same, len(word) - 1))
+    return [(found, tier, place) for found, (tier, place) in best.items()]
+
+
+SHORT = 7
+
+
+def entry_keys(word: str) -> list[str]:
+    """Shards that hold a vocabulary word: by its first and its last three letters, if short also by one."""
+    keys = [f"<{word[:3]}", f">{word[-3:]}"]
+    return [*keys, f"({word[:1]}", f"){word[-1:]}"] if len(word) <= SHORT else keys
+
+
+def query_keys(word: str) -> list[str]:
+    """Shards that together hold all candidates of a word.
+
+    A single edit leaves the first or the last three letters of a word of seven or more as they are, of a
+    shorter one the first or the last letter. Confusions may touch both, so that all beginnings they could have made are
+    asked for.
+    """
+    keys = {f"<{word[:3]}", f">{word[-3:]}"} if len(word) >= SHORT else {f"({word[:1]}", f"){word[-1:]}", f"<{word[:3]}"}
+    stack = [("", 0, 0)]
+    while stack:
+        printed, at, cost = stack.pop()
+        if len(printed) >= 3 or at >= len(word):
+            keys.add(f"<{printed[:3]}")
+            continue
+        stack.append((printed + word[at], at + 1, cost))
+        if cost < 2:
+            stack += [(printed + p, at + len(read), cost + 1) for read, p in _BY_READ.get(word[at], ()) if word.startswith(read, at)]
+    return sorted(keys)
 
 
 class NameModel:
@@ -192,7 +228,11 @@ class NameModel:
 def scanned_episodes(episodes: DataFrame) -> DataFrame:
     """(uuid, content, source, scanned) of distinct records with content."""
     records = distinct_records(episodes, "content", "source").where("content IS NOT NULL")
-    guess = F.udf(looks_scanned, "boolean")
+
+    @F.pandas_udf("boolean")
+    def guess(texts: pd.Series) -> pd.Series:
+        return texts.map(looks_scanned)
+
     source = F.trim(F.coalesce("source", F.lit("")))
     return records.withColumn("scanned", F.when(source != "", source.rlike(SCAN_SOURCE)).otherwise(guess("content")))
 
@@ -212,7 +252,8 @@ def running_heads(scans: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["uuid", "source", "line_no", "form"])
 
     found = cut_lineage(scans.select("uuid", "content", "source").mapInPandas(candidates, "uuid string, source string, line_no int, form string"))
-    least = F.when(F.startswith("form", F.lit("*")), LINES_A_FORM + 2).otherwise(LINES_A_FORM)
+    repeats = max(LINES_A_FORM, round(LINE_RATE * scans.count()))
+    least = F.when(F.startswith("form", F.lit("*")), repeats + 2).otherwise(repeats)
     everywhere = found.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("form")
     within = found.where("startswith(form, '=') AND source <> ''").groupBy("form", "source").agg(F.count("*").alias("n")).where("n >= 2").select("form", "source")
     named = found.where("form <> '*'")
@@ -226,7 +267,7 @@ def running_heads(scans: DataFrame) -> DataFrame:
 def vocabulary(records: DataFrame) -> DataFrame:
     """(word, clean, scan, capital): in how many clean and scanned episodes a word stands, how often capitalised."""
     words = F.array_distinct(F.split("content", r"[\s.,;:?!\"“”‘’()\[\]{}<>/…—–]+"))
-    each = records.select("scanned", F.explode(words).alias("raw")).where(F.length("raw").between(1, 40))
+    each = records.select("scanned", F.explode(words).alias("raw")).where("raw <> ''")
     raw = F.regexp_replace("raw", r"^['*_]+|['*_]+$", "")
     each = each.select("scanned", F.lower(raw).alias("word"), (raw != F.lower(raw)).alias("capital")).where(F.col("word").rlike(r"^\p{L}+(?:['-]\p{L}+)*$"))
     return each.groupBy("word").agg(
@@ -234,60 +275,113 @@ def vocabulary(records: DataFrame) -> DataFrame:
     )
 
 
-def _judge_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    known = pdf[pdf.n > 0]
-    trie = ConfusionTrie(dict(zip(known.word, known.n, strict=True)))
-    rows = []
-    for word, own in zip(pdf.word[pdf.n <= 0], -pdf.n[pdf.n <= 0], strict=True):
-        found = [(cost, -trie.counts[fix], fix, place) for cost, fix, place in trie.search(word) if trie.counts[fix] > 5 * own]
-        if found:
-            cost, n, fix, place = min(found)
-            rows.append((word, cost, -n, fix, place))
-    return pd.DataFrame(rows, columns=["word", "cost", "n", "fix", "place"])
+class Sizes:
+    """How many clean and scanned episodes there are, by which counts of words are measured."""
+
+    def __init__(self, records: DataFrame) -> None:
+        row = records.agg(F.count_if(~F.col("scanned")).alias("clean"), F.count_if("scanned").alias("scans")).first()
+        self.clean, self.scans = max(1, row.clean), max(1, row.scans)
+
+    def is_clean(self) -> str:
+        return f"clean >= 2 AND clean * {self.scans}D >= {CLEAN_SHARE} * scan * {self.clean}D"
+
+
+def _search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows: set[tuple] = set()
+        for words in pdf.members:
+            trie = build_trie(m["word"] for m in words if m["entry"])
+            for m in words:
+                if not m["entry"]:
+                    rows.update((m["word"], *found) for found in candidates(trie, m["word"]))
+        yield pd.DataFrame(sorted(rows), columns=["word", "fix", "tier", "place"])
+
+
+def all_candidates(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, fix, tier, place): the candidates of each word among those of vocab.
+
+    Both sides meet in shards by their ends. A shard of more than SHARD_WORDS words is split into several
+    tries and into blocks of words asked for, and each block meets each trie.
+    """
+    keys_of = lambda keys: F.pandas_udf(lambda texts: texts.map(keys), "array<string>")
+    entries = vocab.select("word", F.lit(True).alias("entry"), F.explode(keys_of(entry_keys)("word")).alias("shard"))
+    queries = words.select("word", F.lit(False).alias("entry"), F.explode(keys_of(query_keys)("word")).alias("shard"))
+    both = cut_lineage(entries.unionByName(queries))
+    counts = both.groupBy("shard").agg(F.count_if("entry").alias("e"), F.count_if(~F.col("entry")).alias("q")).where("e > 0 AND q > 0")
+    sizes = counts.select("shard", F.ceil(F.col("e") / SHARD_WORDS).cast("int").alias("tries"), F.ceil(F.col("q") / SHARD_WORDS).cast("int").alias("blocks"))
+    mine = lambda n: F.pmod(F.xxhash64("word"), F.col(n)).cast("int")
+    cells = F.when(
+        F.col("entry"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(mine("tries").alias("trie"), b.alias("block")))
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("tries") - 1), lambda t: F.struct(t.alias("trie"), mine("blocks").alias("block"))))
+    spread = both.join(sizes, "shard").select("shard", "word", "entry", F.explode(cells).alias("cell"))
+    shards = spread.groupBy("shard", "cell").agg(F.collect_list(F.struct("word", "entry")).alias("members"))  # at most about twice SHARD_WORDS
+    return shards.select("members").mapInPandas(_search_shards, "word string, fix string, tier int, place int").distinct()
+
+
+def supported(options: DataFrame, contexts: DataFrame, records: DataFrame) -> DataFrame:
+    """(word, fix, left, right): in how many episodes a candidate stands beside a neighbour that the word has in a scan.
+
+    contexts has (word, before, after). Only pairs that are asked for travel through the shuffle, counted by partition.
+    """
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.concat_ws(" ", "before", "fix").alias("pair")), F.struct(F.lit(False).alias("left"), F.concat_ws(" ", "fix", "after").alias("pair"))))
+    asked = cut_lineage(options.select("word", "fix").join(contexts, "word").select("word", "fix", sides.alias("s")).select("word", "fix", "s.left", "s.pair").distinct())
+    wanted = asked.select("pair").distinct()
+    tokens = F.split(F.lower("content"), r"[\s.,;:?!\"“”‘’()\[\]{}<>/…—–]+")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))
+    seen = records.select("uuid", tokens.alias("t")).where(F.size("t") > 1).select(F.explode(F.array_distinct(pairs)).alias("pair"))
+    counts = seen.join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("n"))
+    return asked.join(counts, "pair").groupBy("word", "fix").agg(
+        F.sum(F.when(F.col("left"), F.col("n")).otherwise(0)).alias("left"), F.sum(F.when(F.col("left"), 0).otherwise(F.col("n"))).alias("right")
+    )
 
 
-def judge_words(asked: DataFrame, counts: DataFrame, names: dict[str, int]) -> DataFrame:
+def judge_words(asked: DataFrame, contexts: DataFrame, counts: DataFrame, records: DataFrame, sizes: Sizes, names: dict[str, int]) -> DataFrame:
     """(word, known, fix, place): for distinct words in lower case, flagged cap where only seen capitalised.
 
-    The vocabulary has the words of at least two clean episodes, and those of three scans that are no
-    misreading of a word five times as frequent. place is the first misread letter, -1 for none.
+    The vocabulary has the words of at least two clean episodes, unless scans have them far more often, and
+    those of three scans that are no misreading of a word MORE_FREQUENT times as frequent. place is the first misread
+    letter, -1 for none. An edit that is no confusion counts only for a word of one scan, within it, and where the
+    candidate is known beside the words before and after.
     """
-    vocab = counts.where("clean >= 2 OR scan >= 3").select("word", "clean", (F.col("clean") + F.col("scan")).alias("n"))
-    shards = max(1, -(-vocab.count() // SHARD_WORDS))
-    open_words = asked.join(vocab.where("clean >= 2").select("word"), "word", "left_anti")
-    own = open_words.join(vocab.where("clean < 2").select("word", F.col("n").alias("own")), "word", "left")
-    queries = own.select("word", (-F.coalesce("own", F.lit(0))).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    entries = vocab.where("clean >= 2 OR scan >= 20").select("word", "n", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"))
-    # Queries meet every shard in blocks; n is negative for a query.
-    both = entries.unionByName(queries).withColumn("block", F.when(F.col("n") > 0, F.lit(None)).otherwise(F.pmod(F.hash("word"), F.lit(16))))
-    both = both.withColumn("block", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.lit(15))).otherwise(F.array("block"))))
-    judged = both.groupBy("shard", "block").applyInPandas(_judge_shard, "word string, cost int, n bigint, fix string, place int")
-    best = judged.groupBy("word").agg(F.min(F.struct("cost", (-F.col("n")).alias("n"), "fix", "place")).alias("b")).select("word", "b.fix", "b.place")
+    clean = counts.where(sizes.is_clean())
+    more = counts.where(f"NOT ({sizes.is_clean()}) AND scan >= {SCANS_A_WORD}")
+    open_words = asked.join(clean.select("word"), "word", "left_anti")
+    own = cut_lineage(open_words.join(more.select("word", (F.col("clean") + F.col("scan")).alias("own")), "word", "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    frequent = more.where(F.col("scan") >= F.lit(max(float(SCANS_A_WORD), ENTRY_RATE * sizes.scans)))
+    vocab = clean.unionByName(frequent).select("word", (F.col("clean") + F.col("scan")).alias("n"))
+    found = all_candidates(own.select("word"), vocab).join(vocab.withColumnRenamed("word", "fix"), "fix").join(own.select("word", "own"), "word")
+    inner = (F.col("place") > 0) & (F.length("fix") == F.length("word")) & (F.col("own") == 0) & (F.length("word") >= 4) & F.expr("right(fix, 1) = right(word, 1)")
+    options = cut_lineage(found.where((F.col("n") > MORE_FREQUENT * F.col("own")) & ((F.col("tier") < 3) | inner)))
+    beside = supported(options, contexts, records)
+    cost = F.element_at(F.create_map(*[F.lit(x) for pair in COSTS.items() for x in pair]), F.col("tier"))
+    ranked = options.join(beside, ["word", "fix"], "left").fillna(0, ["left", "right"]).where("tier < 3 OR (left > 0 AND right > 0)")
+    score = cost + F.log("n") + F.log1p("left") + F.log1p("right")
+    best = ranked.groupBy("word").agg(F.max_by(F.struct("fix", "place"), F.struct(F.round(score, 9), "fix")).alias("b")).select("word", "b.fix", "b.place")
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = NameModel(names)
         for pdf in batches:
             fix, place = pdf.fix.tolist(), pdf.place.fillna(-1).astype(int).tolist()
             for i, (word, cap, own, known) in enumerate(zip(pdf.word, pdf.cap, pdf.own, pdf.fix.notna(), strict=True)):
-                if known or own >= 3:
+                if known or own >= SCANS_A_WORD:
                     continue
                 if m := _FOREIGN.search(word):
                     if any(c.isalpha() for c in word) and len(word) > 2:
                         place[i] = m.start()
                 elif cap and word.isalpha() and word.isascii():
                     place[i] = model.misread(word)
-            yield pd.DataFrame({"word": pdf.word, "known": (pdf.own >= 3) & pdf.fix.isna(), "fix": fix, "place": place})
+            yield pd.DataFrame({"word": pdf.word, "known": (pdf.own >= SCANS_A_WORD) & pdf.fix.isna(), "fix": fix, "place": place})
 
-    rest = own.withColumn("own", F.coalesce("own", F.lit(0))).join(best, "word", "left").select("word", "cap", "own", "fix", "place")
+    rest = own.join(best, "word", "left").select("word", "cap", "own", "fix", "place")
     judged_rest = rest.mapInPandas(spell, "word string, known boolean, fix string, place int")
-    known = asked.join(vocab.where("clean >= 2").select("word"), "word", "left_semi")
+    known = asked.join(clean.select("word"), "word", "left_semi")
     return judged_rest.unionByName(known.select("word", F.lit(True).alias("known"), F.lit(None).cast("string").alias("fix"), F.lit(-1).alias("place")))
 
 
-def name_trigrams(counts: DataFrame) -> dict[str, int]:
+def name_trigrams(counts: DataFrame, sizes: Sizes) -> dict[str, int]:
     """Letter trigrams of words that clean episodes only have capitalised; at most 28 ** 3 of them."""
     text = F.concat(F.lit("^^"), F.col("word"), F.lit("$"))
-    names = counts.where("clean >= 1 AND capital >= clean AND clean <= 50").where(F.col("word").rlike("^[a-z]{4,}$"))
+    names = counts.where(f"clean >= 1 AND capital >= clean AND clean <= {NAME_RATE * sizes.clean} + 1").where(F.col("word").rlike("^[a-z]{4,}$"))
     grams = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).alias("g"))
     return {r.g: r.n for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}
 
@@ -303,41 +397,45 @@ def scan_findings(episodes: DataFrame) -> DataFrame:
     scans = records.where("scanned").select("uuid", "content", "source")
     heads = cut_lineage(running_heads(scans))
     counts = cut_lineage(vocabulary(records))
-    names = name_trigrams(counts)
-    common = {r.word for r in counts.where("clean >= 2").orderBy(F.desc("clean"), "word").limit(COMMON_WORDS).select("word").collect()}
+    sizes = Sizes(records)
+    names = name_trigrams(counts, sizes)
+    common = {r.word for r in counts.where(sizes.is_clean()).orderBy(F.desc("clean"), "word").limit(COMMON_WORDS).select("word").collect()}
     sent = scans.sparkSession.sparkContext.broadcast(common)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = sent.value
-        columns = ["uuid", "line_no", "other", "kind", "word", "cap", "raw"]
+        columns = ["uuid", "line_no", "other", "kind", "word", "cap", "raw", "before", "after"]
         for pdf in batches:
             rows = []
             for uuid, content, own in zip(pdf.uuid, pdf.content, pdf.heads, strict=True):
                 lines = content.split("\n")
                 top = set() if own is None else {int(i) for i in own}
                 pages = {i for i, x in enumerate(lines) if x.strip() and i not in top and is_page_number(x)}
-                rows += [(uuid, i, i, "page_number", "", False, "") for i in sorted(pages)]
-                rows += [(uuid, i, i, "running_head", "", False, "") for i in sorted(top)]
-                for i, j, kind, word in body_words(lines, top | pages):
+                rows += [(uuid, i, i, "page_number", "", False, "", None, None) for i in sorted(pages)]
+                rows += [(uuid, i, i, "running_head", "", False, "", None, None) for i in sorted(top)]
+                body = body_words(lines, top | pages)
+                plain = [w.lower().strip(_HYPHENS) if kind == "word" else None for _, _, kind, w in body]
+                for (i, j, kind, word), before, after in zip(body, [None, *plain], [*plain[1:], None], strict=False):
                     if kind == "word":
                         low = word.lower().strip(_HYPHENS)
                         parts = [low] if low in common or not re.search(f"[{_HYPHENS}]", low) else re.split(f"[{_HYPHENS}]", low)
                         for part in parts:
                             if part and part not in common and not part.isdigit() and len(part) > 1:
-                                rows.append((uuid, i, i, "word", part, word[:1].isupper(), word))
+                                rows.append((uuid, i, i, "word", part, word[:1].isupper(), word, before, after))
                     else:
                         a, b = word.lower().split("\t")
                         b = re.split(f"[{_HYPHENS}]", b)[0] if kind == "join" and "-" in b.strip(_HYPHENS) else b
                         cap = word[:1].isupper()
                         for part, form in ((a + b, kind), (f"{a}-{b}", "compound"), (a, "first"), (b, "second")):
-                            rows.append((uuid, i, j, form, part, cap, word))
+                            rows.append((uuid, i, j, form, part, cap, word, None, None))
             yield pd.DataFrame(rows, columns=columns)
 
-    schema = "uuid string, line_no int, other int, kind string, word string, cap boolean, raw string"
+    schema = "uuid string, line_no int, other int, kind string, word string, cap boolean, raw string, before string, after string"
     lists = heads.groupBy("uuid").agg(F.collect_set("line_no").alias("heads"))  # bounded by the lines of one episode
     found = cut_lineage(scans.join(lists, "uuid", "left").select("uuid", "content", "heads").mapInPandas(read, schema))
     asked = cut_lineage(found.where("word <> ''").groupBy("word").agg(F.min("cap").alias("cap")))
-    judged = cut_lineage(judge_words(asked, counts, names))
+    contexts = found.where("kind = 'word' AND (before IS NOT NULL OR after IS NOT NULL)").select("word", "before", "after").distinct()
+    judged = cut_lineage(judge_words(asked, contexts, counts, records, sizes, names))
     plain = found.where("kind IN ('page_number', 'running_head')").select("uuid", "line_no", "kind", F.lit("").alias("word"), F.lit(None).cast("string").alias("fix"))
     with_verdict = found.where("word <> ''").join(judged, "word", "left")
     wrong = with_verdict.where("kind = 'word' AND NOT known AND place >= 0").select("uuid", "line_no", F.lit("misread").alias("kind"), F.col("raw").alias("word"), "fix")

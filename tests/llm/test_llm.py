@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import leaks, markup, matches, names, neighbours, packing, scans, subjects, survivors
+from loomgraph.llm import automata, leaks, markup, matches, names, neighbours, packing, scans, subjects, survivors
 
 ENTITY = "seq bigint, uuid string, name string, entity_type string, group_id string, created_at timestamp, embedding array<float>, description string, a string, v string"
 MATCH = "uuid_a string, uuid_b string, score double, created_at timestamp, uuid string, embedding array<float>"
@@ -139,13 +139,41 @@ def test_scans(spark):
 
 def test_confusions_are_complete():
     vocabulary = {"modern": 5, "thread": 5, "before": 5, "window": 5, "clear": 5}
-    trie = scans.ConfusionTrie(vocabulary)
+    trie = automata.build_trie(vocabulary)
     for word in vocabulary:
         for at, (printed, read) in itertools.product(range(len(word)), scans.CONFUSIONS):
             if word.startswith(printed, at):
                 wrong = word[:at] + read + word[at + len(printed) :]
                 if wrong not in vocabulary:
-                    assert word in {w for _, w, _ in trie.search(wrong)}, (word, wrong)
+                    assert word in {w for w, _, _ in scans.confusable(trie, wrong)}, (word, wrong)
+
+
+def test_candidates_meet_in_shards():
+    rng = random.Random(7)
+    vocabulary = sorted({"".join(rng.choice("acdehilmnrstuvw") for _ in range(rng.randrange(3, 11))) for _ in range(300)})
+    trie = automata.build_trie(vocabulary)
+    asked = set()
+    for word in vocabulary[:25]:
+        at, c = rng.randrange(len(word)), rng.choice("aeinrst")
+        asked |= {word[:at] + c + word[at + 1 :], word[:at] + word[at + 1 :], word[:at] + c + word[at:], word[:at] + word[at : at + 2][::-1] + word[at + 2 :]}
+        for printed, read in scans.CONFUSIONS:
+            wrong = word.replace(printed, read, 1)
+            asked |= {wrong} | {wrong.replace(p, r, 1) for p, r in scans.CONFUSIONS if p in wrong}
+    for wrong in sorted(w for w in asked if len(w) >= 3):
+        for found, _, _ in scans.candidates(trie, wrong):
+            assert set(scans.entry_keys(found)) & set(scans.query_keys(wrong)), (found, wrong)
+        assert {w for w, tier, _ in scans.candidates(trie, wrong)} >= {w for w in vocabulary if 0 < edits(w, wrong) <= 1}
+
+
+def test_neighbours_decide(spark):
+    clean = [("say hello to the world", False)] * 3 + [("the house is near the river", False)] * 3 + [("the horse is fed", False)] * 9 + [("near the helm", False)] * 9
+    scanned = [("say heljo to the wotld", True), ("the hovse is near", True)]
+    records = spark.createDataFrame([(f"u{i}", t, s) for i, (t, s) in enumerate(clean + scanned)], "uuid string, content string, scanned boolean")
+    asked = spark.createDataFrame([(w, False) for w in ("heljo", "wotld", "hovse", "helo")], "word string, cap boolean")
+    contexts = spark.createDataFrame([("heljo", "say", "to"), ("wotld", "the", None), ("hovse", "the", "is"), ("helo", "x", "y")], "word string, before string, after string")
+    got = {r.word: r.fix for r in scans.judge_words(asked, contexts, scans.vocabulary(records), records, scans.Sizes(records), {}).collect()}
+    # Without two known neighbours an edit that is no confusion does not count; of house and horse the more frequent fits both.
+    assert got == {"heljo": "hello", "wotld": None, "hovse": "horse", "helo": None}
 
 
 def edits(a, b):
@@ -161,11 +189,11 @@ def edits(a, b):
 def test_trie_against_brute_force(spark):
     rng = random.Random(3)
     words = list({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 10))) for _ in range(150)})
-    trie = names.Trie(words)
-    for w in words[:40]:
-        assert {x for x, _ in trie.search(w, 2)} == {x for x in words if edits(w, x) <= 2}
+    trie = automata.build_trie(words)
+    for w, most in itertools.product(words[:40], (1, 2, 3)):
+        assert dict(automata.search(trie, w, most)) == {x: edits(w, x) for x in words if edits(w, x) <= most}
     cores = spark.createDataFrame([("g", "k", w) for w in words], "group_id string, kind string, core string")
-    got = {(r.core, r.other) for r in names.trie_join(cores, 1, shard_names=20).collect()}
+    got = {(r.core, r.other) for r in names.trie_join(cores, shard_names=20).collect()}
     assert got == {(a, b) for a in words for b in words if a != b and edits(a, b) <= 1}
 
 
@@ -188,6 +216,28 @@ def test_names_with_an_edit_that_doubles_a_letter(spark):
     assert {tuple(r) for r in names.name_pairs(df).collect()} == {(f"{i}0", f"{i}1") for i in range(len(sets))}
 
 
+def test_names_of_several_words_and_unlisted_given_names(spark):
+    sets = [
+        ("Blue Ridge Foods Inc", "Ridge, Blue Fds", "Blue Rigde Foods Ltd"), ("Procter & Gamble Co", "Gamble and Procter"), ("Ana Maria de la Cruz", "Cruz, Ana", "Ana Cruz"),
+        ("Aarav Sharma", "Sharma, Aarav", "Asrav Sharma"), ("Kathrine Vusamamam", "Katherine Vusamamam", "Cathy Vusamamam"), ("Juan Carlos Alberto Perez Gomez", "Juan Gomez"),
+        ("Anneliese Okonkwo", "Aneliese Okonkwo"),
+    ]
+    kinds = {0: "company", 1: "ORG"}
+    rows = [entity(f"{i}{j}", n, kinds.get(i, "person")) for i, s in enumerate(sets) for j, n in enumerate(s) if n != "Asrav Sharma"]
+    rows += [entity("32", "Asrav Sharma"), entity("33", "Aarav Sharma", None), entity("t1", "Medieval Register", None), entity("t2", "Medieval Register", "?"), entity("b1", "Blue Ridge Logistics", "company")]
+    got = {tuple(r) for r in names.name_pairs(spark.createDataFrame(rows, ENTITY)).collect()}
+    wanted = [tuple(f"{i}{j}" for j in range(len(s))) for i, s in enumerate(sets)]
+    # A given name of under six letters may not differ, and capitalised words are no person by themselves.
+    wanted[3] = ("30", "31", "33")
+    assert got == {p for s in wanted for p in itertools.combinations(s, 2)}
+
+
+def test_large_classes_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(names, "CLASS_BLOCK", 3)
+    df = spark.createDataFrame([entity(f"{i:02}", "Margaret Dedregazer") for i in range(10)], ENTITY)
+    assert sorted(tuple(r) for r in names.name_pairs(df).collect()) == list(itertools.combinations([f"{i:02}" for i in range(10)], 2))
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 32))
