@@ -1,10 +1,10 @@
 """Markup left in texts: what there is of HTML, Markdown, wiki and LaTeX, and clean text that keeps structure.
 
-Blocks are read from the outside in: code, formulas, tables, lists and headings are taken out one after
-another, so that signs within them are not read again; what is left is searched for inline residue. HTML is
-parsed into a tree. Its body is the subtree of the largest sum of child densities, density being characters
-for each tag corrected for links, and on the way to it nodes thinner than any on the path are left out. Blocks
-taken out before count with the length of their text, and no node that holds one is left out.
+Blocks are marked from the outside in: code, formulas, tables, lists and headings, so that signs within one are
+not read again. The whole text is then one tree, in which HTML elements are nodes with all they hold, and so are
+the blocks of the other markups. Its body is the subtree of the largest sum of child densities, density being
+characters for each tag corrected for links; on the way to it nodes thinner than any on the path are left out, but none
+that holds a block. Elements are read from the nodes of the body, and the clean text is made of them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -52,7 +52,7 @@ _LATEX_INLINE = re.compile(
 _LATEX_MATH = re.compile(
     r"\\\[.+?\\\]|\\\(.+?\\\)|\$\$.+?\$\$|\\begin\{(equation|align|gather|multline|displaymath|math|eqnarray)\*?\}.*?\\end\{\1\*?\}", re.S
 )
-_DOLLAR = re.compile(r"(?<![\\$`\w])\$(?![\s$`\d])([^$\n`]{1,120}?)(?<!\s)\$(?![\w$`])|(?<![\\$`\w])\$(\d*\s*[A-Za-z\\^_{=][^$\n`]{0,120}?)(?<!\s)\$(?![\w$`])")
+_DOLLAR = re.compile(r"(?<![\\$`\w])\$(?![\s$`\d])([^$\n`]+?)(?<!\s)\$(?![\w$`])|(?<![\\$`\w])\$(\d*\s*[A-Za-z\\^_{=][^$\n`]*?)(?<!\s)\$(?![\w$`])")
 _CODE_LINE = re.compile(
     r"^\s*(?:(?:def|class|import|from|return|for|while|if|elif|else|try|except|with|async|await|lambda|print|raise|yield)\b.*[:()\]]|(?:SELECT|FROM|WHERE|INSERT|UPDATE|"
     r"DELETE|CREATE|JOIN|GROUP BY|ORDER BY|AND|LIMIT|HAVING|VALUES|SET)\b.*|(?:public|private|static|void|int|const|let|var|func|function|package|use|#include|fn)\b.*"
@@ -80,24 +80,32 @@ def is_source_code(text: str) -> bool:
 _HELD = re.compile("\ue000(\\d+)\ue001")
 
 
-def _width(text: str) -> int:
-    return len(text.strip())
+class Block:
+    """What a place of the text was taken out for: its markup and element, its source and its clean form."""
+
+    __slots__ = ("clean", "element", "markup", "source")
+
+    def __init__(self, markup: str, element: str, source: str, clean: str) -> None:
+        self.markup, self.element, self.source, self.clean = markup, element, source, clean
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "holds", "link_chars", "link_tags", "tag", "tags")
+    __slots__ = ("block", "chars", "children", "density", "holds", "link_chars", "link_tags", "tag", "tags")
 
-    def __init__(self, tag: str) -> None:
-        self.tag, self.children = tag, []
+    def __init__(self, tag: str, block: int = -1) -> None:
+        self.tag, self.block, self.children = tag, block, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.density, self.holds = 0.0, False
+        self.density, self.holds = 0.0, block >= 0
 
 
 class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    """Nodes of a text; places of blocks become nodes, which hold the tree of their source if that is HTML."""
+
+    def __init__(self, blocks: list[Block]) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("body")
+        self.root, self.blocks = Node("body"), blocks
         self.stack = [self.root]
+        self.waiting: list[Node] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while len(self.stack) > 1 and self.stack[-1].tag in _CLOSED_BY.get(tag, ()):
@@ -106,7 +114,7 @@ class _Builder(HTMLParser):
         if tag == "span" and any(k == "class" and v and "math" in v for k, v in attrs):
             node.tag = "math"
         self.stack[-1].children.append(node)
-        if tag not in _VOID and len(self.stack) < 200:  # deeper nodes are siblings
+        if tag not in _VOID:
             self.stack.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -116,32 +124,65 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.stack[-1].children.append(data)
-
-
-def parse_html(text: str, width: Callable[[str], int] = _width) -> Node:
-    """The tree of a text, unclosed and stray tags included; texts without tags are one node. width is the length a string counts with."""
-    builder = _Builder()
-    builder.feed(text)
-    builder.close()
-    _measure(builder.root, width)
+        self.put(self.stack[-1], data)
+
+    def put(self, parent: Node, text: str) -> None:
+        end = 0
+        for m in _HELD.finditer(text):
+            if int(m[1]) < len(self.blocks):
+                if m.start() > end:
+                    parent.children.append(text[end : m.start()])
+                parent.children.append(Node("#block", int(m[1])))
+                self.waiting.append(parent.children[-1])
+                end = m.end()
+        if end < len(text):
+            parent.children.append(text[end:])
+
+    def read(self, parent: Node, text: str, is_html: bool) -> None:
+        if not is_html:
+            self.put(parent, text)
+            return
+        self.reset()
+        self.stack = [parent]
+        self.feed(text)
+        self.close()
+
+
+def parse_html(text: str, blocks: list[Block] | None = None, is_html: bool = True) -> Node:
+    """The tree of a text, unclosed and stray tags included; texts without tags are one node.
+
+    blocks are those that places of the text, and of other blocks, stand for. A block of HTML has the tree of
+    its source below it, any other its clean form.
+    """
+    builder = _Builder(blocks or [])
+    builder.read(builder.root, text, is_html)
+    while builder.waiting:
+        node = builder.waiting.pop()
+        own = builder.blocks[node.block]
+        builder.read(node, *((own.source, True) if own.markup == "html" else (own.clean, False)))
+    _measure(builder.root)
     return builder.root
 
 
-def _measure(root: Node, width: Callable[[str], int]) -> None:
+def _below(root: Node) -> list[Node]:
+    """The node and all below it, parents first."""
     order = [root]
     for node in order:
         order += [c for c in node.children if isinstance(c, Node)]
+    return order
+
+
+def _measure(root: Node) -> None:
+    order = _below(root)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += width(c)
-                node.holds = node.holds or _HELD.search(c) is not None
+                node.chars += len(c.strip())
             else:
                 node.holds = node.holds or c.holds
                 node.chars += c.chars
                 node.link_chars += c.chars if c.tag == "a" else c.link_chars
-                node.tags += 1 + c.tags
+                node.tags += (c.block < 0) + c.tags
                 node.link_tags += (c.tag == "a") + c.link_tags
     for node in order:
         node.density = text_density(node, root)
@@ -158,76 +199,101 @@ def text_density(node: Node, body: Node) -> float:
     return c / t * (math.log(ratio) / math.log(base) if ratio > 0 and base > 1.0 else max(0.0, math.log(max(ratio, 1e-9))))
 
 
-def body_nodes(root: Node, width: Callable[[str], int] = _width) -> list[Node | str]:
+def body_nodes(root: Node) -> list[Node | str]:
     """The content: the subtree of maximal density sum, and beside the way to it what holds a block or is not thinner than any node on it."""
     best, path, most = root, [root], -math.inf
-    stack = [(root, [root])]
+    stack = [(root, None)]
     while stack:
         node, way = stack.pop()
-        total = sum(c.density for c in node.children if isinstance(c, Node)) + sum(width(c) for c in node.children if isinstance(c, str))
+        way = (node, way)
+        total = sum(c.density if isinstance(c, Node) else len(c.strip()) for c in node.children)
         if total > most:
             best, path, most = node, way, total
-        stack += [(c, [*way, c]) for c in node.children if isinstance(c, Node)]
+        stack += [(c, way) for c in node.children if isinstance(c, Node) and c.block < 0]
     if best is root:
         return [root]
-    least = min(n.density for n in path)
+    nodes = []
+    while path is not None:
+        nodes.append(path[0])
+        path = path[1]
+    nodes.reverse()
+    least = min(n.density for n in nodes)
     out: list[Node | str] = []
-    for node, below in zip(path, path[1:], strict=False):
+    for node, below in zip(nodes, nodes[1:], strict=False):
         for c in node.children:
             if c is below:
                 if below is best:
                     out.append(best)
-            elif isinstance(c, str) or c.holds or c.density >= least or c.tag in ("pre", "table", "ul", "ol", "math"):
+            elif isinstance(c, str) or c.holds or c.density >= least:
                 out.append(c)
     return out
 
 
-def _inside(node: Node | str) -> str:
-    return node if isinstance(node, str) else "".join(_inside(c) for c in node.children)
-
-
-def render(node: Node | str) -> str:
-    """Text of a node with headings, lists, code, formulas and tables kept in plain signs."""
-    if isinstance(node, str):
-        return node
-    tag = node.tag
-    if tag in ("script", "style", "head"):
-        return ""
-    if re.fullmatch(r"h[1-6]", tag):
-        return f"\n\n{'#' * int(tag[1])} {' '.join(_inside(node).split())}\n\n"
-    if tag == "pre":
-        return f"\n\n```\n{_inside(node).strip()}\n```\n\n"
-    if tag == "math":
-        return f" ${' '.join(_inside(node).split())}$ "
-    if tag == "br":
-        return "\n"
-    inner = "".join(render(c) for c in node.children)
-    if tag == "li":
-        return f"\n- {' '.join(inner.split())}"
-    if tag == "tr":
-        cells = [" ".join(render(c).split()) for c in node.children if isinstance(c, Node)]
-        return f"\n| {' | '.join(cells)} |"
-    if tag == "td" or tag == "th":
-        return inner
-    if tag in ("p", "div", "ul", "ol", "table", "section", "article", "blockquote", "dl"):
-        return f"\n\n{inner}\n\n"
-    return inner
+_OWN_TEXT = re.compile(r"h[1-6]|pre|math|li|td|th|tr")
+
+
+def render(top: Node | str) -> str:
+    """Text of a node with headings, lists, code, formulas and tables kept in plain signs, blocks as their places.
+
+    Depth is bounded by nothing but the text, so the way down is kept in a list.
+    """
+    if isinstance(top, str):
+        return top
+    buffers: list[list[str]] = [[]]
+    stack: list[tuple[Node | str, bool]] = [(top, False)]
+    while stack:
+        node, left = stack.pop()
+        if isinstance(node, str):
+            buffers[-1].append(node)
+            continue
+        tag = node.tag
+        if left:
+            if not _OWN_TEXT.fullmatch(tag):
+                buffers[-1].append("\n\n")
+                continue
+            inner = "".join(buffers.pop())
+            flat = " ".join(inner.split())
+            if tag[0] == "h":
+                buffers[-1].append(f"\n\n{'#' * int(tag[1])} {flat}\n\n")
+            elif tag == "pre":
+                buffers[-1].append(f"\n\n```\n{inner.strip()}\n```\n\n")
+            elif tag == "math":
+                buffers[-1].append(f" ${flat}$ ")
+            elif tag == "li":
+                buffers[-1].append(f"\n- {flat}")
+            elif tag == "tr":
+                buffers[-1].append(f"\n| {inner} |")
+            else:
+                buffers[-1].append(flat if not buffers[-1] else f" | {flat}")
+        elif node.block >= 0:
+            buffers[-1].append(f"\ue000{node.block}\ue001")
+        elif tag == "br":
+            buffers[-1].append("\n")
+        elif tag not in ("script", "style", "head"):
+            own = _OWN_TEXT.fullmatch(tag) is not None
+            spaced = tag in ("p", "div", "ul", "ol", "table", "section", "article", "blockquote", "dl")
+            if own:
+                buffers.append([])
+            elif spaced:
+                buffers[-1].append("\n\n")
+            if own or spaced:
+                stack.append((node, True))
+            cells = tag == "tr"
+            stack += [(c, False) for c in reversed(node.children) if not (cells and isinstance(c, str))]
+    return "".join(buffers[0])
 
 
 class _Scan:
-    """Takes blocks out of a text, noting what they were and leaving their clean form."""
+    """Takes blocks out of a text and keeps what they were and their clean form."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.found, self.kept = text, set(), []
+        self.text, self.blocks = _HELD.sub("", text), []
         self.seen: set[str] = set()
-        self.widths: list[int] = []
 
     def block(self, pattern: str | re.Pattern, markup: str, element: str, clean, flags: int = re.M | re.S) -> None:
         def swap(m: re.Match) -> str:
-            self.found.add((markup, element))
-            self.kept.append(clean(m))
-            self.widths.append(self.width(self.kept[-1]))
-            return f"\ue000{len(self.kept) - 1}\ue001"
+            self.blocks.append(Block(markup, element, m[0], clean(m)))
+            return f"\ue000{len(self.blocks) - 1}\ue001"
 
         self.text = re.sub(pattern, swap, self.text, flags=flags) if isinstance(pattern, str) else pattern.sub(swap, self.text)
 
@@ -238,17 +304,21 @@ class _Scan:
             if clean is not None:
                 self.text = own.sub(clean, self.text)
 
-    def width(self, text: str) -> int:
-        """The length of a text with what was taken out of it."""
-        held = _HELD.findall(text)
-        return _width(_HELD.sub("", text)) + sum(self.widths[int(i)] for i in held)
+    def read_body(self) -> set[tuple[str, str]]:
+        """The text is reduced to its body; the elements of the nodes that this has."""
+        is_html = _TAG.search(self.text) is not None
+        body = body_nodes(parse_html(self.text, self.blocks, is_html))
+        if is_html:
+            self.seen.add("html")
+            self.text = "".join(map(render, body))
+        kept = [n for top in body if isinstance(top, Node) for n in _below(top) if n.block >= 0]
+        return {(self.blocks[n.block].markup, self.blocks[n.block].element) for n in kept}
 
     def restored(self) -> str:
-        text = self.text
-        for _ in range(8):
-            text, n = re.subn("\ue000(\\d+)\ue001", lambda m: self.kept[int(m[1])], text)
-            if not n:
-                break
+        # A block only holds places of earlier ones, so this ends.
+        text, n = self.text, 1
+        while n:
+            text, n = _HELD.subn(lambda m: self.blocks[int(m[1])].clean, text)
         return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n)|(?<=\S)[ \t]{2,}(?=\S)", lambda m: " " if m.end() < len(text) and text[m.end()] != "\n" else "", text)).strip()
 
 
@@ -338,19 +408,17 @@ def scan_markup(text: str | None) -> tuple[set[tuple[str, str]], str]:
     s.inline(r"(?<!`)`(?!`)([^`\n]+)`(?!`)", "markdown", r"\1")
     s.inline(r"^[ \t]*(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})$", "markdown", "")
     s.inline(r"^[ \t]*>+[ \t](?=\S)", "markdown", "")
-    if _TAG.search(s.text):
-        s.seen.add("html")
-        s.text = "".join(render(n) for n in body_nodes(parse_html(s.text, s.width), s.width))
+    found = s.read_body()
     s.inline(_ENTITY, "html", lambda m: html.unescape(m[0]))
-    found = s.found | {(k, "none") for k in s.seen - {k for k, _ in s.found}}
-    return found, s.restored()
+    return found | {(k, "none") for k in s.seen - {k for k, _ in found}}, s.restored()
 
 
 def _latex_text(text: str) -> str:
     text = re.sub(r"~?\\(?:cite[a-z]*|ref|eqref|pageref|autoref|cref|label|footnote|vspace|hspace|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
     text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
-    for _ in range(3):
-        text = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
+    n = 1
+    while n:
+        text, n = re.subn(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
     text = re.sub(r"\{\\(?:em|bf|it|tt|sc|rm|sf|small|large)\s+([^{}]*)\}", r"\1", text)
     text = re.sub(rf"\\(?:{'|'.join(_COMMANDS.split())})\*?\{{", "", text)
     text = re.sub(r"\\ldots|\\dots", "...", text)

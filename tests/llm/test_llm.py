@@ -308,8 +308,19 @@ def test_blocks_in_thin_nodes_are_kept():
         text = markup.scan_markup(f"<html><body><div><a href=x>one</a></div><div>{block}</div><div>{body}</div></body></html>")[1]
         assert all(c in text for c in clean) and "word word" in text and "one" not in text
     table = f"<table>{'<tr><td>' + 'cell ' * 400 + '</td></tr>'}</table>"
-    root = markup.parse_html("<div>\ue0000\ue001</div><p>short</p>", lambda c: 2000 if "\ue000" in c else len(c))
-    assert root.children[0].chars == 2000 and "cell cell" in markup.scan_markup(f"<div>{table}</div><p>short</p>")[1]
+    root = markup.parse_html("<div>\ue0000\ue001</div><p>short</p>", [markup.Block("html", "table", table, "x")])
+    block = root.children[0].children[0]
+    assert (block.block, block.tags, block.chars, root.children[0].chars) == (0, 3, 1999, 1999) and "cell cell" in markup.scan_markup(f"<div>{table}</div><p>short</p>")[1]
+
+
+def test_elements_come_from_the_body():
+    root = markup.parse_html("x \ue0001\ue001", [markup.Block("wiki", "code", "s", "c"), markup.Block("markdown", "list", "s", "- \ue0000\ue001")], False)
+    assert [n.block for n in markup._below(root)] == [-1, 1, 0] and root.holds and root.chars == 3
+    deep = "<div>" * 3_000 + "text of the page" + "</div>" * 3_000
+    assert markup.scan_markup(deep) == ({("html", "none")}, "text of the page")
+    assert markup.scan_markup("so $" + "a + b + " * 30 + "c$ holds")[0] == {("latex", "formula")}
+    nested = "\\textbf{a \\emph{b \\texttt{c \\textit{d \\textsc{e}}}}}"
+    assert markup.scan_markup(nested)[1] == "a b c d e"
 
 
 def test_packing(spark):
