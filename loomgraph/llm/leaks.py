@@ -1,9 +1,10 @@
 """Evaluation items in training text: an FM-index of every shard, searched backwards for the items' phrases.
 
-Texts are sequences of normalised words; a word that no phrase has is number 0. The index is a Burrows-Wheeler
-transform sorted as deep as the phrases are long, with ranks from a wavelet tree and the text position of every
-row. A stretch with at most one changed or inserted word in any ten has nine words in sequence, so phrases
-of nine words find all; each place found is then followed word by word in both directions.
+Texts are sequences of normalised words, numbered by shard. The index is a Burrows-Wheeler transform in full
+suffix order with ranks from a wavelet tree and the text positions of every SAMPLE-th word; it can be stored
+beside its shard and searched for other items later. A stretch with at most one changed or inserted word in any
+ten has nine words in sequence, so phrases of nine words find all; each place found is then followed word by
+word in both directions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 PHRASE = 9
 SPACING = 10  # at most one change in so many words
 SHARD_WORDS = 1_000_000
+SAMPLE = 16  # one in so many text positions is kept
+ITEM_BLOCK = 20_000  # items that go to the tasks together
 
 # Letters of other scripts that look like Latin ones.
 _LOOK_ALIKES = str.maketrans(
@@ -55,67 +57,108 @@ def normal_words(text: str | None) -> tuple[list[str], list[bool]]:
     return words, first
 
 
-def shared_openings(questions: list[str | None], least: int = 3) -> set[str]:
-    """First sentences that at least so many questions begin with, with something after them."""
-    counts: Counter = Counter()
-    for q in questions:
-        if q and (m := re.match(r"(.+?[.:!\n])\s*\S", q, re.S)):
-            counts[m[1]] += 1
-    return {k for k, n in counts.items() if n >= least}
+def plain_words(text: str) -> list[str]:
+    plain = _plain(text)
+    words = _WORD.findall(plain)
+    return [w.replace("'", "") for w in words] if "'" in plain else words
 
 
 class Items:
-    """What is searched for: passages, and questions without a shared opening."""
+    """What is searched for: passages and questions, and the phrases that every stretch of them has one of.
+
+    A question of ten to eighteen words is searched for by half its words, as one of them may be changed.
+    """
 
     def __init__(self, rows: list[tuple[int, str | None, str | None]]) -> None:
-        openings = shared_openings([q for _, _, q in rows])
-        self.texts: list[tuple[int, bool, list[str], np.ndarray]] = []
+        self.texts: list[tuple[int, bool, np.ndarray]] = []
+        self.coded: list[np.ndarray] = []
+        numbers: dict[str, int] = {}
+        places: dict[int, list[tuple[int, int]]] = {}
         for item, passage, question in rows:
-            for opening in openings:
-                if question and question.startswith(opening):
-                    question = question[len(opening) :]
             for whole, text in ((False, passage), (True, question)):
                 words, first = normal_words(text)
-                if words:
-                    self.texts.append((item, whole, words, np.concatenate([[0], np.cumsum(first)])))
-        self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in self.texts for w in t[2]}))}
-        phrases: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for number, (_, _, words, _) in enumerate(self.texts):
-            coded = [self.ids[w] for w in words]
-            size = min(PHRASE, len(coded))
-            for at in range(len(coded) - size + 1):
-                phrases.setdefault(tuple(coded[at : at + size]), []).append((number, at))
-        self.by_size: dict[int, tuple[np.ndarray, list]] = {}
-        for size in sorted({len(p) for p in phrases}):
-            own = [p for p in phrases if len(p) == size]
-            self.by_size[size] = (np.array(own, np.int64), [phrases[p] for p in own])
-        self.coded = [np.array([self.ids[w] for w in t[2]]) for t in self.texts]
+                if not words:
+                    continue
+                size = min(PHRASE, len(words) // 2) if whole and len(words) >= SPACING else min(PHRASE, len(words))
+                places.setdefault(size, []).extend((len(self.texts), at) for at in range(len(words) - size + 1))
+                self.texts.append((item, whole, np.concatenate([[0], np.cumsum(first)])))
+                self.coded.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64))
+        self.words = list(numbers)
+        flat = np.concatenate(self.coded) if self.coded else np.zeros(0, np.int64)
+        start = np.concatenate([[0], np.cumsum([len(c) for c in self.coded])])
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, own in sorted(places.items()):
+            place = np.array(own, np.int64)
+            rows_of = flat[(start[place[:, 0]] + place[:, 1])[:, None] + np.arange(size)]
+            phrases, inverse = np.unique(rows_of, axis=0, return_inverse=True)
+            order = np.argsort(inverse.ravel(), kind="stable")
+            self.by_size[size] = (phrases, place[order], np.searchsorted(inverse.ravel()[order], np.arange(len(phrases) + 1)))
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes in their order; ranks are refined by doubled depths where they still tie."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], text[order][1:] != text[order][:-1]]))
+    sizes = np.diff(np.append(starts, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(starts, sizes)
+    tied, step = order[np.repeat(sizes, sizes) > 1], 1
+    while len(tied):
+        key = rank[tied]
+        after = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)] + 1, 0)
+        by = np.lexsort((after, key))
+        tied, key, after = tied[by], key[by], after[by]
+        group = np.concatenate([[True], key[1:] != key[:-1]])
+        part = group | np.concatenate([[True], after[1:] != after[:-1]])
+        at = np.arange(len(tied))
+        slot = key + at - np.repeat(np.flatnonzero(group), np.diff(np.append(np.flatnonzero(group), len(tied))))
+        sizes = np.diff(np.append(np.flatnonzero(part), len(tied)))
+        rank[tied] = np.repeat(slot[part], sizes)
+        tied, step = tied[np.repeat(sizes, sizes) > 1], step * 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class Index:
-    """FM-index of a sequence of word numbers below 2 ** levels, for phrases of at most 16 words."""
-
-    def __init__(self, text: np.ndarray, levels: int) -> None:
-        n = len(text)
-        rank = text.astype(np.int64)
-        for step in (1, 2, 4, 8):
-            after = np.zeros(n, np.int64)
-            after[:-step] = rank[step:] + 1 if n > step else 0
-            rank = np.unique(rank * (int(rank.max()) + 3) + after, return_inverse=True)[1].astype(np.int64)
-        self.order = np.argsort(rank, kind="stable")
-        last = text[self.order - 1]  # the text before its start is its end, a separator
-        counts = np.bincount(text, minlength=1 << levels)
-        self.before = np.concatenate([[0], np.cumsum(counts)])
-        self.levels, self.n = levels, n
-        self.ones: list[np.ndarray] = []
-        self.zeros: list[int] = []
-        rows = last
-        for level in reversed(range(levels)):
-            bit = (rows >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(int(n - bit.sum()))
-            rows = np.concatenate([rows[bit == 0], rows[bit == 1]])
-        self.order = self.order.astype(np.int32)
+    """FM-index of a sequence of word numbers from 1 on; its end is number 0 and stands nowhere else."""
+
+    def __init__(self, text: np.ndarray) -> None:
+        text = np.append(text, 0)
+        order = suffix_order(text)
+        rows = text[order - 1]
+        self.n, self.levels = len(text), max(1, int(text.max(initial=0)).bit_length())
+        self.counts = np.bincount(text, minlength=1 << self.levels)
+        bits = []
+        for level in reversed(range(self.levels)):
+            bit = ((rows >> level) & 1).astype(bool)
+            bits.append(bit)
+            rows = np.concatenate([rows[~bit], rows[bit]])
+        marked = order % SAMPLE == 0
+        self._ready(bits, marked, order[marked])
+
+    def _ready(self, bits: list[np.ndarray], marked: np.ndarray, samples: np.ndarray) -> None:
+        self.before = np.concatenate([[0], np.cumsum(self.counts)])
+        self.bits, self.marked, self.samples = bits, marked, samples.astype(np.int32)
+        self.ones = [np.concatenate([[0], np.cumsum(b)]).astype(np.int32) for b in bits]
+        self.zeros = [self.n - int(o[-1]) for o in self.ones]
+        self.sampled = np.concatenate([[0], np.cumsum(marked)]).astype(np.int32)
+
+    def pack(self) -> dict[str, bytes]:
+        """Bits and samples alone; ranks are counted again by unpack."""
+        return {
+            "bits": np.packbits(np.concatenate([*self.bits, self.marked])).tobytes(), "counts": self.counts.astype(np.int32).tobytes(), "samples": self.samples.tobytes()
+        }
+
+    @classmethod
+    def unpack(cls, bits: bytes, counts: bytes, samples: bytes) -> Index:
+        index = cls.__new__(cls)
+        index.counts = np.frombuffer(counts, np.int32).astype(np.int64)
+        index.n, index.levels = int(index.counts.sum()), len(index.counts).bit_length() - 1
+        rows = np.unpackbits(np.frombuffer(bits, np.uint8), count=index.n * (index.levels + 1)).astype(bool).reshape(-1, index.n)
+        index._ready(list(rows[:-1]), rows[-1], np.frombuffer(samples, np.int32))
+        return index
 
     def rank(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each word stands before row at of the transform."""
@@ -127,7 +170,17 @@ class Index:
             start = np.where(bit, self.zeros[k] + ones_start, start - ones_start)
         return at - start
 
+    def word(self, rows: np.ndarray) -> np.ndarray:
+        """The words of the transform at rows: those before the suffixes."""
+        at, out = rows.copy(), np.zeros_like(rows)
+        for k in range(self.levels):
+            bit = self.bits[k][at]
+            out = out * 2 + bit
+            at = np.where(bit, self.zeros[k] + self.ones[k][at], at - self.ones[k][at])
+        return out
+
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows from low to high of the suffixes that begin with each phrase; all words must be of the text."""
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.n, np.int64)
         live = np.arange(len(phrases))
@@ -139,17 +192,25 @@ class Index:
         return low, np.maximum(high, low)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Text positions. Every row keeps its own: a sort no deeper than the phrases does not allow to walk
-        back from row to row to a sampled one, as rows that agree to that depth may change their order."""
-        return self.order[rows].astype(np.int64)
+        """Text positions: back from word to word to the next that is kept."""
+        at, out = rows.astype(np.int64).copy(), np.full(len(rows), -1, np.int64)
+        open_rows, steps = np.arange(len(rows)), 0
+        while len(open_rows):
+            kept = self.marked[at[open_rows]]
+            here = open_rows[kept]
+            out[here] = self.samples[self.sampled[at[here]]] + steps
+            open_rows, steps = open_rows[~kept], steps + 1
+            word = self.word(at[open_rows])
+            at[open_rows] = self.before[word] + self.rank(word, at[open_rows])
+        return out
 
 
 def _follow(item: np.ndarray, text: np.ndarray, i: int, j: int, step: int, room: int) -> tuple[int, int, int]:
     """From matched words i and j on in one direction: (last item word, last text word, changes).
 
     room is the number of words matched since the last change. A change is passed if at least SPACING - 1
-    words were matched since the last one and more follow; of a changed, an inserted or a missing word the
-    way that matches farthest is taken.
+    words were matched since the last one and more follow; of a changed or an inserted word the way that
+    matches farthest is taken. A missing word ends the stretch.
     """
     changes = 0
 
@@ -186,30 +247,58 @@ def _stretch(item: np.ndarray, text: np.ndarray, i: int, j: int, size: int) -> l
     return out
 
 
-def find_leaks(items: Items, ids: list[int], texts: list[list[str]], least_words: int = 20) -> list[tuple[int, int, str, int, int]]:
+class Shard:
+    """Documents with the index of their words. Words are numbered from 2 on, 1 ends a document."""
+
+    def __init__(self, ids: list[int], texts: list[list[str]]) -> None:
+        numbers: dict[str, int] = {}
+        coded = [[numbers.setdefault(w, len(numbers) + 2) for w in words] + [1] for words in texts]
+        self.ids, self.words = np.array(ids, np.int64), list(numbers)
+        self.starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
+        self.text = np.array([w for c in coded for w in c], np.int32)
+        self.index = Index(self.text.astype(np.int64))
+
+    def pack(self) -> dict[str, bytes | str]:
+        return {"doc_ids": self.ids.tobytes(), "starts": self.starts.astype(np.int64).tobytes(), "words": " ".join(self.words), "text": self.text.tobytes(), **self.index.pack()}
+
+    @classmethod
+    def unpack(cls, row) -> Shard:
+        shard = cls.__new__(cls)
+        shard.ids, shard.starts = np.frombuffer(row.doc_ids, np.int64), np.frombuffer(row.starts, np.int64)
+        shard.words, shard.text = row.words.split(" "), np.frombuffer(row.text, np.int32)
+        shard.index = Index.unpack(row.bits, row.counts, row.samples)
+        return shard
+
+
+INDEX = "doc_ids binary, starts binary, words string, text binary, bits binary, counts binary, samples binary"
+
+
+def find_leaks(items: Items, shard: Shard, least_words: int = 20) -> list[tuple[int, int, str, int, int]]:
     """(item, document, part, first word, word after the last) of all stretches in one shard."""
-    levels = max(1, int(len(items.ids)).bit_length())
-    coded = [np.array([items.ids.get(w, 0) for w in words] + [0], np.int64) for words in texts]
-    starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
-    index = Index(np.concatenate(coded), levels)
-    out = set()
-    for size, (phrases, places) in items.by_size.items():
-        low, high = index.search(phrases)
-        hits = np.repeat(np.arange(len(phrases)), high - low)
+    numbers = {w: i + 2 for i, w in enumerate(shard.words)}
+    to = np.array([numbers.get(w, -1) for w in items.words], np.int64)
+    index, starts, coded, out = shard.index, shard.starts, {}, set()
+    for phrases, places, bounds in items.by_size.values():
+        own = to[phrases]
+        known = np.flatnonzero((own >= 0).all(1))
+        low, high = index.search(own[known])
+        hits = np.repeat(known, high - low)
         if not len(hits):
             continue
-        rows = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True) if b > a])
-        at = index.locate(rows)
+        at = index.locate(np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True) if b > a]))
         docs = np.searchsorted(starts, at, side="right") - 1
-        done: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        done: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for hit, doc, j in sorted(zip(hits.tolist(), docs.tolist(), (at - starts[docs]).tolist(), strict=True)):
-            for number, i in places[hit]:
+            for number, i in places[bounds[hit] : bounds[hit + 1]].tolist():
                 followed = done.setdefault((doc, number), [])
                 # A place within a stretch that was followed on the same diagonal gives that stretch again.
                 if any(j0 <= j < j1 and abs((j - i) - shift) <= 3 for j0, j1, shift in followed):
                     continue
-                item, whole, words, written = items.texts[number]
-                for i0, i1, j0, j1 in _stretch(items.coded[number], coded[doc][:-1], i, j, size):
+                item, whole, written = items.texts[number]
+                if number not in coded:
+                    coded[number] = to[items.coded[number]]
+                words = coded[number]
+                for i0, i1, j0, j1 in _stretch(words, shard.text[starts[doc] : starts[doc + 1] - 1], i, j, phrases.shape[1]):
                     followed.append((j0, j1, j0 - i0))
                     if whole:
                         edge = (i0 > 0) + (i1 < len(words))
@@ -217,44 +306,71 @@ def find_leaks(items: Items, ids: list[int], texts: list[list[str]], least_words
                     else:
                         good = written[i1] - written[i0] >= least_words
                     if good:
-                        out.add((item, ids[doc], "question" if whole else "passage", j0, j1))
+                        out.add((item, int(shard.ids[doc]), "question" if whole else "passage", j0, j1))
     return sorted(out)
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, least_words: int = 20, most_items: int = 100_000) -> DataFrame:
-    """(item_id, doc_id, part, first_word, end_word): stretches of items in documents, in words of the text.
+def index_shards(documents: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row for each shard of about shard_words words: its documents and their index, to be written or searched.
 
-    A passage counts from least_words written words in sequence, a question when whole apart from its
-    shared opening; at most one changed or inserted word in any ten is passed over. Null and empty texts
-    hold nothing. The items are a fixed set that goes to all tasks; more than most_items are refused.
+    Shards do not cross partitions. Null doc_ids, null texts and texts without words are in none.
     """
-    rows = items.where(F.col("item_id").isNotNull()).select("item_id", "passage", "question").limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} items; search them in blocks")
-    sent = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in sorted(rows)])
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = Items(sent.value)
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
         texts: list[list[str]] = []
         size = 0
-        columns = ["item_id", "doc_id", "part", "first_word", "end_word"]
         for pdf in batches:
             for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                words, _ = normal_words(text)
-                if not words:
-                    continue
-                ids.append(doc)
-                texts.append(words)
-                size += len(words)
-                if size >= SHARD_WORDS:
-                    yield pd.DataFrame(find_leaks(wanted, ids, texts, least_words), columns=columns)
-                    ids, texts, size = [], [], 0
+                if words := plain_words(text):
+                    ids.append(doc)
+                    texts.append(words)
+                    size += len(words)
+                    if size >= shard_words:
+                        yield pd.DataFrame([Shard(ids, texts).pack()])
+                        ids, texts, size = [], [], 0
         if ids:
-            yield pd.DataFrame(find_leaks(wanted, ids, texts, least_words), columns=columns)
+            yield pd.DataFrame([Shard(ids, texts).pack()])
+
+    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(build, INDEX)
+
+
+def without_openings(items: DataFrame, least: int = 3) -> DataFrame:
+    """(item_id, passage, question) without first sentences that at least so many questions begin with."""
+    first = F.regexp_extract("question", r"(?s)\A(.+?[.:!\n])\s*\S", 1)
+    rows = items.where(F.col("item_id").isNotNull()).select("item_id", "passage", "question", F.when(first != "", first).alias("opening"))
+    shared = rows.where("opening IS NOT NULL").groupBy("opening").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    own = F.when(F.col("n").isNotNull(), F.expr("substring(question, length(opening) + 1)")).otherwise(F.col("question"))
+    return rows.join(shared, "opening", "left").select("item_id", "passage", own.alias("question"))
+
+
+def search_index(index: DataFrame, items: DataFrame, least_words: int = 20, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """(item_id, doc_id, part, first_word, end_word): stretches of items in indexed documents, in words of the text.
+
+    A passage counts from least_words written words in sequence, a question when whole apart from its
+    shared opening; at most one changed or inserted word in any ten is passed over. Items go to the tasks in
+    blocks of about item_block, and every shard is read once for all of them.
+    """
+    rows = without_openings(items)
+    blocks = max(1, -(-rows.count() // item_block))
+    sent = []
+    for b in range(blocks):
+        own = sorted((tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()), key=lambda r: r[0])
+        sent.append(index.sparkSession.sparkContext.broadcast(Items(own)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                shard = Shard.unpack(row)
+                for items_block in sent:
+                    yield pd.DataFrame(find_leaks(items_block.value, shard, least_words), columns=["item_id", "doc_id", "part", "first_word", "end_word"])
+
+    return index.mapInPandas(search, "item_id bigint, doc_id bigint, part string, first_word int, end_word int")
+
 
-    schema = "item_id bigint, doc_id bigint, part string, first_word int, end_word int"
-    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(search, schema)
+def leaked_spans(documents: DataFrame, items: DataFrame, least_words: int = 20) -> DataFrame:
+    """search_index over the documents, whose shards are indexed on the way. Null and empty texts hold nothing."""
+    return search_index(index_shards(documents), items, least_words)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, least_words: int = 20) -> DataFrame:

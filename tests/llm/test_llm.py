@@ -356,12 +356,26 @@ def test_token_counts(spark):
 
 def test_index_against_search():
     rng = np.random.default_rng(1)
-    text = np.concatenate([rng.integers(1, 5, 3000), [0], np.tile([1, 2, 3, 4, 1, 1, 2, 2, 3], 20), [0] * 40])
-    index = leaks.Index(text, 3)
-    phrases = np.array([text[i : i + 6] for i in range(0, 2990, 7)] + [[4, 4, 4, 4, 4, 4]])
-    low, high = index.search(phrases)
-    for p, a, b in zip(phrases, low, high, strict=True):
-        assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - 5) if (text[i : i + 6] == p).all()]
+    text = np.concatenate([rng.integers(2, 6, 3000), [1], np.tile([2, 3, 4, 5, 2, 2, 3, 3, 4], 20), [1] * 40, np.full(300, 3)])
+    built = leaks.Index(text)
+    phrases = np.array([text[i : i + 6] for i in range(0, 2990, 7)] + [[5, 5, 5, 5, 5, 5], [3] * 6])
+    for index in (built, leaks.Index.unpack(**built.pack())):
+        low, high = index.search(phrases)
+        for p, a, b in zip(phrases, low, high, strict=True):
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - 5) if (text[i : i + 6] == p).all()]
+    order = leaks.suffix_order(text).tolist()
+    assert order == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
+def test_short_questions_with_a_change(spark):
+    words = [f"word{chr(97 + i)}" for i in range(15)]
+    items = spark.createDataFrame([(1, None, " ".join(words[:12])), (2, None, " ".join(words[:5]))], "item_id bigint, passage string, question string")
+    docs = [(1, words[:6] + ["changed"] + words[7:12]), (2, words[:6] + ["put"] + words[6:12]), (3, words[:2] + ["x"] + words[3:5]), (4, words[:5]), (5, words[:4] + ["x"] + words[5:9] + ["y"] + words[10:12])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    assert {tuple(r) for r in leaks.leaked_items(df, items).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 4)}
+    # The stored index gives the same, whatever the blocks of items and the size of shards.
+    index = spark.createDataFrame(leaks.index_shards(df.coalesce(1), 20).collect(), leaks.INDEX)
+    assert index.count() > 1 and {tuple(r)[:2] for r in leaks.search_index(index, items, item_block=1).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 4)}
 
 
 def test_leaks(spark):
