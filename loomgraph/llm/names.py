@@ -13,6 +13,7 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -131,10 +132,12 @@ def _near(word: str, table: dict[str, set[str]]) -> str | None:
     return found.pop() if len(found) == 1 else None
 
 
+@lru_cache(maxsize=100_000)
 def given_name(word: str) -> str | None:
     return _GIVEN.get(word) or _near(word, _NEAR_GIVEN)
 
 
+@lru_cache(maxsize=100_000)
 def business_word(word: str) -> str | None:
     if word in _BUSINESS:
         return _BUSINESS[word]
@@ -180,7 +183,10 @@ def parse_person(plain: str, sure: bool) -> tuple[str, str, str] | None:
         return ("person", "", full[0]) if (sure or titled or len(words) == 1) and len(full[0]) >= 4 else None
     if len(full) > 3 and not sure:
         return None
-    known = [(i, g) for i, w in enumerate(full) if (g := given_name(w))]
+    if not comma and full[0] in _GIVEN:
+        known = [(0, _GIVEN[full[0]])]
+    else:
+        known = [(i, g) for i, w in enumerate(full) if (g := given_name(w))]
     surnames = len([w for w in split(before) if w in full]) if comma else 0
     if known:
         i, given = known[-1] if comma and len(known) == 1 else known[0]
@@ -251,60 +257,55 @@ def halves(core: str) -> list[tuple[str, str]]:
     return out
 
 
-SHARDED = T.StructType([T.StructField(c, t) for c, t in (("shard", T.StringType()), ("core", T.StringType()), ("rest", T.StringType()), ("form", T.StringType()), ("asks", T.BooleanType()))])
+SHARDED = T.StructType([T.StructField("shard", T.StringType()), T.StructField("rest", T.StringType()), T.StructField("asks", T.BooleanType())])
 
 
 @F.pandas_udf(T.ArrayType(SHARDED))
-def _sharded(core: pd.Series, form: pd.Series, asks: pd.Series) -> pd.Series:
+def _sharded(form: pd.Series) -> pd.Series:
+    """Where a form is held, and, in the order that it has, searched for."""
     out = []
-    for own, f, a in zip(core, form, asks, strict=True):
-        rows = {}
-        for text in _permuted(f):
-            for shard, rest in halves(text):
-                rows[shard, rest] = (shard, own, rest, text, bool(a) and text == f)
-        out.append([dict(zip(SHARDED.names, r, strict=True)) for r in rows.values()])
+    for f in form:
+        rows = {place: text == f for text in _permuted(f) for place in halves(text)}
+        out.append([{"shard": shard, "rest": rest, "asks": asks} for (shard, rest), asks in rows.items()])
     return pd.Series(out)
 
 
-def _search_shards(most: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for group, kind, members in zip(pdf.group_id, pdf.kind, pdf.members, strict=True):
-                owners: dict[str, list[str]] = {}
-                for m in members:
-                    if m["entry"]:
-                        owners.setdefault(m["rest"], []).append(m["core"])
-                trie = build_trie(owners)
-                for m in members:
-                    if m["asks"]:
-                        out += [(group, kind, m["core"], other) for rest, _ in search(trie, m["rest"], most) for other in owners[rest] if other != m["core"]]
-            yield pd.DataFrame(sorted(set(out)), columns=["group_id", "kind", "core", "other"])
-
-    return run
+def _search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out: set[tuple] = set()
+        for group, kind, members in zip(pdf.group_id, pdf.kind, pdf.members, strict=True):
+            owners: dict[str, list[str]] = {}
+            for m in members:
+                if m["entry"]:
+                    owners.setdefault(m["rest"], []).append(m["core"])
+            trie = build_trie(owners)
+            for m in members:
+                if m["asks"]:
+                    core = m["core"]
+                    out.update((group, kind, core, other) for rest, _ in search(trie, m["rest"], 1) for other in owners[rest] if other != core)
+        yield pd.DataFrame(sorted(out), columns=["group_id", "kind", "core", "other"])
 
 
 def trie_join(cores: DataFrame, shard_names: int = SHARD_NAMES) -> DataFrame:
     """(group_id, kind, core, other), both ways: distinct cores of which forms are within one edit in the same
     group and kind.
 
-    cores has group_id, kind and core, and may have form, the spelling searched with in place of the core
-    itself, and asks, false for forms that are only found. A form of several words is found in any order of
-    them. Each shard is one row of its cores, so that tasks get many shards at once; one of more than shard_names
-    cores is split on both sides, into tries and into blocks of what is searched for, and each block meets each trie.
+    cores has group_id, kind and core, and may have form, a spelling that is searched with in place of the core
+    itself. A form of several words is found in any order of them. Each shard is one row of its cores, so that
+    tasks get many shards at once; one of more than shard_names cores is split on both sides, into tries and into
+    blocks of what is searched for, and each block meets each trie.
     """
     form = F.col("form") if "form" in cores.columns else F.col("core").alias("form")
-    asks = F.col("asks") if "asks" in cores.columns else F.lit(True).alias("asks")
-    distinct = cores.select("group_id", "kind", "core", form, asks).groupBy("group_id", "kind", "core", "form").agg(F.max("asks").alias("asks"))
-    keyed = cut_lineage(distinct.select("group_id", "kind", F.explode(_sharded("core", "form", "asks")).alias("s")).select("group_id", "kind", "s.*"))
+    distinct = cores.select("group_id", "kind", "core", form).distinct()
+    keyed = cut_lineage(distinct.select("group_id", "kind", "core", F.explode(_sharded("form")).alias("s")).select("group_id", "kind", "core", "s.*"))
     key = ["group_id", "kind", "shard"]
     sizes = keyed.groupBy(*key).agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").select(*key, F.ceil(F.col("n") / shard_names).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("core", "form"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("core", "rest"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.array(F.struct(F.col("own").alias("trie"), i.alias("block")), F.struct(i.alias("trie"), F.col("own").alias("block"))))
     spread = keyed.join(sizes, key).withColumn("own", own).withColumn("cell", F.explode(F.array_distinct(F.flatten(cells))))
     member = F.struct("core", "rest", (F.col("cell.trie") == F.col("own")).alias("entry"), (F.col("asks") & (F.col("cell.block") == F.col("own"))).alias("asks"))
     shards = spread.groupBy(*key, "cell").agg(F.collect_list(member).alias("members"))  # at most about twice shard_names
-    found = shards.select("group_id", "kind", "members").mapInPandas(_search_shards(1), "group_id string, kind string, core string, other string")
+    found = shards.select("group_id", "kind", "members").mapInPandas(_search_shards, "group_id string, kind string, core string, other string")
     both = F.explode(F.array(F.struct("core", "other"), F.struct(F.col("other").alias("core"), F.col("core").alias("other"))))
     return found.select("group_id", "kind", both.alias("p")).select("group_id", "kind", "p.*").distinct()
 
@@ -320,20 +321,13 @@ _SEP = "\u001f"
 
 
 def near_cores(named: DataFrame) -> DataFrame:
-    """(group_id, kind, core, other): cores within one edit as sounded, as folded only, or in plain letters.
+    """(group_id, kind, core, other): cores of which forms as sounded, as folded only, or in plain letters are within one edit.
 
     Folding letter by letter brings no two words apart, but where several letters become one, an edit that
-    makes or breaks them counts more than once; only spellings with such letters are searched for again.
+    makes or breaks them counts more than once, and is one edit in another form.
     """
-    form = lambda text, tag, asks: F.struct(F.lit(tag).alias("tag"), text.alias("form"), asks.alias("asks"))
-    spelt = F.array(
-        form(F.col("core"), "", F.lit(True)),
-        form(F.col("folded"), "f", F.length("folded") != F.length("core")),
-        form(F.col("plain"), "p", F.length("plain") != F.length("folded")),
-    )
-    rows = named.select("group_id", "kind", "core", F.explode(spelt).alias("s"))
-    found = trie_join(rows.select("group_id", F.concat_ws(_SEP, "kind", "s.tag").alias("kind"), "core", "s.form", "s.asks"))
-    return found.select("group_id", F.substring_index("kind", _SEP, 1).alias("kind"), "core", "other").distinct()
+    rows = named.select("group_id", "kind", "core", "folded", "plain").distinct()
+    return trie_join(rows.select("group_id", "kind", "core", F.explode(F.array_distinct(F.array("core", "folded", "plain"))).alias("form")))
 
 
 def name_groups(entities: DataFrame) -> DataFrame:
