@@ -2,13 +2,13 @@
 
 A document goes to the fill level at which the sum of the squared numbers of partly filled windows, counted
 by level, becomes least; the numbers are kept in an array over the levels. A document longer than a window
-is divided into full windows and a rest, any other stays whole.
+is divided into full windows and a rest, any other stays whole. Shards of documents are packed apart; what lies in
+windows that are left with much room is then packed again, over all shards.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomgraph.session import cut_lineage
 
 SHARD_DOCUMENTS = 250_000  # documents packed in sequence by one task
+WELL_FILLED = 0.95  # share of the capacity from which on a window stays as it is
 
 
 def default_tokenizer() -> str:
@@ -85,37 +86,40 @@ class Levels:
             self.bins[fill].append(window)
 
 
-def _pieces(sizes: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int]]:
-    """(row, first token, tokens): the parts that each size is placed in."""
-    for row, size in enumerate(sizes):
-        for start in range(0, size, capacity):
-            yield row, start, min(capacity, size - start)
+def _packed(pdf: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
+    """The parts (doc_id, piece, first_token, n_tokens) in windows numbered from base on, in the order given."""
+    levels, windows, offsets = Levels(capacity), [], []
+    for size in pdf.n_tokens.tolist():
+        window, offset = levels.place(size)
+        windows.append(window)
+        offsets.append(offset)
+    fills = np.array(levels.fills, np.int64)
+    window = np.array(windows, np.int64)
+    return pdf.assign(window=base + window, offset=np.array(offsets, np.int64), fill=fills[window] if len(window) else window)
 
 
-def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_order", "doc_id"], kind="stable")
-    capacity, base = int(pdf.n_window.iloc[0]), int(pdf.shard.iloc[0]) << 40
-    levels, rows = Levels(capacity), []
-    ids = pdf.doc_id.to_numpy()
-    for row, start, size in _pieces(pdf.n_tokens.to_numpy(), capacity):
-        window, offset = levels.place(size)
-        rows.append((ids[row], start // capacity, start, size, base + window, offset))
-    out = pd.DataFrame(rows, columns=["doc_id", "piece", "first_token", "n_tokens", "window", "offset"])
-    out["fill"] = np.array(levels.fills, np.int64)[out.window.to_numpy(np.int64) - base] if len(out) else []
-    return out.assign(window_id=pdf.window_id.iloc[0], capacity=capacity)
+PARTS = ["doc_id", "piece", "first_token", "n_tokens"]
+PACKED = "window_id int, capacity bigint, shard bigint, doc_id bigint, piece bigint, first_token bigint, n_tokens bigint, window bigint, offset bigint, fill bigint"
 
 
-def _merge_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Partly filled windows of several shards, placed into each other by the same rule."""
-    pdf = pdf.sort_values(["fill", "window"], ascending=[False, True])
-    levels, hosts, rows = Levels(int(pdf.capacity.iloc[0])), {}, []
-    for window, fill in zip(pdf.window, pdf.fill, strict=True):
-        number, offset = levels.place(int(fill))
-        rows.append((window, hosts.setdefault(number, window), offset))
-    return pd.DataFrame(rows, columns=["window", "host", "shift"]).assign(window_id=pdf.window_id.iloc[0])
+def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["_order", "doc_id"], kind="stable")
+    capacity, shard = int(pdf.capacity.iloc[0]), int(pdf.shard.iloc[0])
+    size = pdf.n_tokens.to_numpy()
+    pieces = -(-size // capacity)
+    row = np.repeat(np.arange(len(pdf)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    parts = pd.DataFrame({"doc_id": pdf.doc_id.to_numpy()[row], "piece": piece, "first_token": piece * capacity, "n_tokens": np.minimum(capacity, size[row] - piece * capacity)})
+    return _packed(parts, capacity, shard << 40).assign(window_id=pdf.window_id.iloc[0], capacity=capacity, shard=shard)
 
 
-PACKED = "doc_id bigint, piece bigint, first_token bigint, n_tokens bigint, window bigint, offset bigint, fill bigint, window_id int, capacity bigint"
+def _pack_again(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The parts of several windows packed anew, the largest first, unless that takes more windows."""
+    ordered = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    again = _packed(ordered[PARTS], int(pdf.capacity.iloc[0]), int(pdf.shard.iloc[0]) << 40)
+    if again.window.nunique() > pdf.window.nunique():
+        return pdf
+    return again.assign(window_id=pdf.window_id.iloc[0], capacity=pdf.capacity.iloc[0], shard=pdf.shard.iloc[0])
 
 
 def pack_documents(counts: DataFrame, windows: DataFrame, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
@@ -124,31 +128,29 @@ def pack_documents(counts: DataFrame, windows: DataFrame, shard_documents: int =
 
     Documents without tokens take no room and have no row; windows without a positive capacity are left
     out, as are null sizes and null doc_ids. Documents are spread by the hash of their id over shards of about
-    shard_documents, each packed in sequence; what remains partly filled is merged over up to 64 shards.
+    shard_documents, each packed in sequence. Windows filled less than WELL_FILLED are emptied, and what they held
+    is packed again in as few tasks of shard_documents parts as it needs. The window sizes are a few settings that
+    the driver holds.
     """
-    sizes = windows.where("n_tokens > 0").select("window_id", F.col("n_tokens").cast("bigint").alias("n_window")).dropDuplicates(["window_id"])
-    counts = counts.where("doc_id IS NOT NULL AND n_tokens > 0").select("doc_id", "n_tokens")
-    shards = max(1, -(-counts.count() // shard_documents))
-    order = F.xxhash64("doc_id")
-    items = counts.withColumn("_order", order).withColumn("shard", F.pmod(F.col("_order"), F.lit(shards)))
-    # The window sizes are a handful of rows that grow with nothing; each document is placed once for each.
-    placed = items.join(F.broadcast(sizes.limit(1000))).groupBy("window_id", "shard").applyInPandas(_pack_shard, PACKED)
+    sizes = windows.where("window_id IS NOT NULL AND n_tokens > 0").groupBy("window_id").agg(F.max("n_tokens").alias("n")).orderBy("window_id").collect()
+    spark = counts.sparkSession
     result = ["window_id", "capacity", "window", "doc_id", "piece", "first_token", "n_tokens", "offset"]
-    if shards == 1:
+    if not sizes:
+        return spark.createDataFrame([], PACKED).select(*result)
+    each = F.explode(F.array(*[F.struct(F.lit(r.window_id).cast("int").alias("window_id"), F.lit(r.n).cast("bigint").alias("capacity")) for r in sizes]))
+    items = counts.where("doc_id IS NOT NULL AND n_tokens > 0").select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    shards = max(1, -(-items.count() // shard_documents))
+    order = F.xxhash64("doc_id")
+    items = items.withColumn("_order", order).withColumn("shard", F.pmod(F.col("_order"), F.lit(shards))).withColumn("_w", each).select("*", "_w.*")
+    placed = cut_lineage(items.groupBy("window_id", "shard").applyInPandas(_pack_shard, PACKED))
+    kept = F.col("fill") >= WELL_FILLED * F.col("capacity")
+    loose = placed.where(~kept)
+    tasks = {r.window_id: -(-r.n // shard_documents) for r in loose.groupBy("window_id").agg(F.count("*").alias("n")).collect()}
+    if not tasks:
         return placed.select(*result)
-    placed = cut_lineage(placed)
-    part = placed.where("fill < capacity").select("window_id", "capacity", "window", "fill").distinct()
-    merged = (
-        part.withColumn("_part", F.shiftright("window", 40) % max(1, shards // 64))
-        .groupBy("window_id", "_part")
-        .applyInPandas(_merge_windows, "window bigint, host bigint, shift bigint, window_id int")
-    )
-    return (
-        placed.join(merged, ["window_id", "window"], "left")
-        .withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
-        .withColumn("window", F.coalesce("host", "window"))
-        .select(*result)
-    )
+    groups = F.element_at(F.create_map(*[F.lit(x) for pair in tasks.items() for x in pair]), F.col("window_id"))
+    again = loose.withColumn("shard", F.lit(shards) + F.pmod(F.xxhash64("window"), groups)).groupBy("window_id", "shard").applyInPandas(_pack_again, PACKED)
+    return placed.where(kept).select(*result).unionByName(again.select(*result))
 
 
 def room_left(packed: DataFrame) -> DataFrame:
