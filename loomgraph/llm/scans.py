@@ -15,7 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.automata import END, build_trie, search
@@ -266,15 +266,22 @@ def running_heads(scans: DataFrame) -> DataFrame:
 
 def vocabulary(records: DataFrame) -> DataFrame:
     """(word, clean, scan, capital): in how many clean and scanned episodes a word stands, how often capitalised."""
-    words = F.array_distinct(F.split("content", r"[\s.,;:?!\"“”‘’()\[\]{}<>/…—–]+"))
-    each = records.select("scanned", F.explode(words).alias("raw")).where("raw <> ''")
+    each = records.select("scanned", F.explode(F.array_distinct(_tokens("content"))).alias("raw"))
+    forms = each.groupBy("scanned", "raw").agg(F.count("*").alias("n"))
     raw = F.regexp_replace("raw", r"^['*_]+|['*_]+$", "")
-    each = each.select("scanned", F.lower(raw).alias("word"), (raw != F.lower(raw)).alias("capital")).where(F.col("word").rlike(r"^\p{L}+(?:['-]\p{L}+)*$"))
-    return each.groupBy("word").agg(
-        F.count_if(~F.col("scanned")).alias("clean"), F.count_if("scanned").alias("scan"), F.count_if("capital").alias("capital")
+    words = forms.select("scanned", "n", F.lower(raw).alias("word"), (raw != F.lower(raw)).alias("capital")).where(F.col("word").rlike(r"^\p{L}+(?:['-]\p{L}+)*$"))
+    return words.groupBy("word").agg(
+        *[F.sum(F.when(which, F.col("n")).otherwise(0)).alias(name) for name, which in (("clean", ~F.col("scanned")), ("scan", F.col("scanned")), ("capital", F.col("capital")))]
     )
 
 
+_SPLITTERS = " \t\n\x0b\f\r.,;:?!\"“”‘’()[]{}<>/…—–"
+
+
+def _tokens(text: str) -> Column:
+    return F.split(F.translate(text, _SPLITTERS, " " * len(_SPLITTERS)), " +")
+
+
 class Sizes:
     """How many clean and scanned episodes there are, by which counts of words are measured."""
 
@@ -321,14 +328,19 @@ def all_candidates(words: DataFrame, vocab: DataFrame) -> DataFrame:
 def supported(options: DataFrame, contexts: DataFrame, records: DataFrame) -> DataFrame:
     """(word, fix, left, right): in how many episodes a candidate stands beside a neighbour that the word has in a scan.
 
-    contexts has (word, before, after). Only pairs that are asked for travel through the shuffle, counted by partition.
+    contexts has (word, before, after). Pairs of words are counted over all records, by their hash. Those that are
+    asked for have a table of known size, so that Spark only sends it to the texts while it is small.
     """
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.concat_ws(" ", "before", "fix").alias("pair")), F.struct(F.lit(False).alias("left"), F.concat_ws(" ", "fix", "after").alias("pair"))))
-    asked = cut_lineage(options.select("word", "fix").join(contexts, "word").select("word", "fix", sides.alias("s")).select("word", "fix", "s.left", "s.pair").distinct())
-    wanted = asked.select("pair").distinct()
-    tokens = F.split(F.lower("content"), r"[\s.,;:?!\"“”‘’()\[\]{}<>/…—–]+")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))
-    seen = records.select("uuid", tokens.alias("t")).where(F.size("t") > 1).select(F.explode(F.array_distinct(pairs)).alias("pair"))
+    pair = lambda a, b: F.xxhash64(F.lower(a), F.lower(b))
+    sides = F.explode(F.array(
+        F.struct(F.lit(True).alias("left"), F.when(F.col("before").isNotNull(), pair("before", "fix")).alias("pair")),
+        F.struct(F.lit(False).alias("left"), F.when(F.col("after").isNotNull(), pair("fix", "after")).alias("pair")),
+    ))
+    asked = options.select("word", "fix").join(contexts, "word").select("word", "fix", sides.alias("s")).where("s.pair IS NOT NULL")
+    asked = cut_lineage(asked.select("word", "fix", "s.left", "s.pair").distinct())
+    wanted = cut_lineage(asked.select("pair").distinct())
+    words = records.select(_tokens("content").alias("t")).where(F.size("t") > 1)
+    seen = words.select(F.explode(F.array_distinct(F.zip_with("t", F.slice("t", 2, F.size("t")), pair))).alias("pair"))
     counts = seen.join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("n"))
     return asked.join(counts, "pair").groupBy("word", "fix").agg(
         F.sum(F.when(F.col("left"), F.col("n")).otherwise(0)).alias("left"), F.sum(F.when(F.col("left"), 0).otherwise(F.col("n"))).alias("right")
