@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, release
 
 
 def neighbours(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -88,18 +88,24 @@ def first_edge_source(edges: DataFrame, episodes: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(uuid, component): the smallest uuid reachable over pairs (lo, hi).
 
-    Every round moves each vertex to its least neighbour and on to that one's, then contracts; rounds grow
-    with the logarithm of the longest chain. Loops and repeats change nothing.
+    Every round moves each vertex to its least neighbour, on to that one's and so to the end, in steps of
+    doubled length, then contracts; rounds at least halve the vertices. Loops and repeats change nothing.
     """
     edges = cut_lineage(pairs.where("lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct())
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         ways = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = cut_lineage(ways.groupBy("lo").agg(F.min("hi").alias("hi")).select(F.col("lo").alias("uuid"), F.least("lo", "hi").alias("to")))
-        level = cut_lineage(least.join(least.select(F.col("uuid").alias("to"), F.col("to").alias("on")), "to").select("uuid", F.col("on").alias("to")))
+        level = ways.groupBy("lo").agg(F.min("hi").alias("hi")).select(F.col("lo").alias("uuid"), F.least("lo", "hi").alias("to"), F.lit(True).alias("moved"))
+        level = cut_lineage(level)
+        while not level.where("moved").isEmpty():
+            last, onward = level, level.select(F.col("uuid").alias("to"), F.col("to").alias("on"))
+            level = cut_lineage(level.drop("moved").join(onward, "to").select("uuid", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")))
+            release(last)
+        level = level.drop("moved")
         a, b = level.select(F.col("uuid").alias("lo"), F.col("to").alias("x")), level.select(F.col("uuid").alias("hi"), F.col("to").alias("y"))
         moved = edges.join(a, "lo").join(b, "hi").where("x <> y").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
-        edges = cut_lineage(moved.distinct())
+        last, edges = edges, cut_lineage(moved.distinct())
+        release(last)
         levels.append(level)
     if not levels:
         return edges.select(F.col("lo").alias("uuid"), F.col("hi").alias("component"))

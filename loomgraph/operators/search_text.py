@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from loomgraph.functions.porter import stem
 from loomgraph.functions.text import fields
+from loomgraph.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -71,18 +72,21 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int, stemmed: bool = True)
     frequency is that of all of them. A term twice in a query counts twice. idf is at least 1e-6. Scores
     are rounded to 9 decimals, equal ones are ordered by doc.
     """
-    post = postings(documents, stemmed)
+    post = cut_lineage(postings(documents, stemmed))
     terms = queries.select("query_id", F.posexplode(query_terms(F.lower("text"))).alias("at", "raw"))
     terms = terms.withColumn("part", F.explode(F.filter(F.split("raw", "_"), lambda x: x != ""))).select("query_id", "at", F.col("part").alias("term"))
     terms = _stemmed(terms, "term", stemmed)
     wanted = terms.select("term").distinct()
-    # Prefix matching is an equi-join: every distinct token with the prefixes it has.
-    vocabulary = post.select("token").distinct()
-    prefixes = vocabulary.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.substring("token", F.lit(1), n))).alias("term"))
+    # Prefix matching is an equi-join: every distinct token with the prefixes it has of the lengths asked for.
+    lengths = wanted.select(F.length("term").alias("n")).distinct()
+    vocabulary = post.select("token").distinct().join(lengths.agg(F.collect_set("n").alias("lengths")))  # one row of a few numbers
+    fitting = F.filter("lengths", lambda n: n <= F.length("token"))
+    prefixes = vocabulary.select("token", F.explode(F.transform(fitting, lambda n: F.substring("token", F.lit(1), n))).alias("term"))
     matched = prefixes.join(wanted, "term")
     hits = matched.join(post, "token").groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     found = hits.groupBy("term").agg(F.count("*").alias("n"))
-    stats = corpus_stats(documents)
+    total = post.select("doc", "dl").distinct().agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    stats = documents.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(total)).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = hits.join(found, "term").crossJoin(F.broadcast(stats)).select("term", "doc", part.alias("part"))  # stats is one row

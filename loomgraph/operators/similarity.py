@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.vectors import cosine, normalise
+from loomgraph.functions.vectors import normalise
 from loomgraph.session import cut_lineage
 
 BLOCK = 8_192
@@ -22,13 +22,13 @@ def _vectors(df: DataFrame) -> DataFrame:
 def similar(vectors: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
     """(query_id, id, score, rank): vectors of the query's group with cosine above threshold, the k best.
 
-    vectors: id, embedding, group_id; queries: query_id, embedding, group_id. Both are grouped by
-    group_id, so the join is on that key; rows without a vector are in no result.
+    vectors: id, embedding, group_id; queries: query_id, embedding, group_id. Blocks of queries meet blocks of
+    their group's vectors as in nearest_neighbours, so a group of any size is spread. Rows without a vector
+    are in no result.
     """
-    q = queries.where(F.size("embedding") > 0).select("query_id", "group_id", F.col("embedding").alias("_q"))
-    scored = _vectors(vectors).join(q, "group_id").select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("_q")), 9).alias("score")).where(F.col("score") > threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    asked = queries.select(F.concat(F.lit("?"), F.col("query_id").cast("string")).alias("id"), "query_id", "group_id", "embedding")
+    near = nearest_neighbours(vectors, k, asked=asked).where(F.col("score") > threshold)
+    return near.join(asked.select("id", "query_id"), "id").select("query_id", F.col("other").alias("id"), "score", (F.col("rank") - 1).alias("rank"))
 
 
 def _best_of_block(k: int):
@@ -53,7 +53,7 @@ def _best_of_block(k: int):
                 top = min(k, s.shape[1])
                 best = np.argpartition(-s, top - 1, axis=1)[:, :top]
                 least = np.take_along_axis(s, best, 1).min(1)
-                r, c = np.nonzero(s >= least[:, None] - 1e-12)
+                r, c = np.nonzero(s >= least[:, None] - 1e-9)  # scores are rounded before ranking
                 keep = s[r, c] > -np.inf
                 for x, y in ((r[keep], c[keep]),):
                     rows[0].extend(ids[lo + x])
@@ -67,25 +67,32 @@ def _best_of_block(k: int):
 SCHEMA_EMPTY = pa.table({"id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
+def _unit(df: DataFrame) -> DataFrame:
+    unit = _vectors(df).select("group_id", F.size("embedding").alias("dim"), "id", normalise(F.col("embedding")).alias("v"))
+    return unit.where("v IS NOT NULL AND NOT exists(v, x -> isnan(x))")
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 20, block: int = BLOCK, asked: DataFrame | None = None) -> DataFrame:
     """(group_id, id, other, score, rank): exact k nearest others within each group by cosine.
 
-    vectors: id, group_id, embedding, one row an id. Every group is cut into blocks of about `block` rows;
-    each pair of blocks is one task of a bounded size, whatever the size of the group, and sends on only k
-    candidates a row. Vectors of another length than the rest of their block pair have no neighbours.
+    vectors: id, group_id, embedding, one row an id; asked, of the same columns, is whose neighbours come out,
+    by default all. Every group is cut into blocks of about `block` rows on both sides; each pair of blocks is
+    one task of a bounded size, whatever the size of the group, and sends on only k candidates a row. Only
+    vectors of the same length are neighbours. Scores are rounded to 9 decimals, equal ones ordered by id.
     """
-    unit = _vectors(vectors).select("group_id", "id", normalise(F.col("embedding")).alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> isnan(x))")
-    unit = cut_lineage(unit)
-    sizes = unit.groupBy("group_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = unit.join(sizes, "group_id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = cut.select("group_id", "id", "v", F.col("b").alias("x"), F.explode(every).alias("y"), F.lit(True).alias("own"))
-    others = cut.select("group_id", "id", "v", F.explode(every).alias("x"), F.col("b").alias("y"), F.lit(False).alias("own"))
-    best = own.unionByName(others).groupBy("group_id", "x", "y").applyInArrow(_best_of_block(k), "id string, other string, score double")
-    group = unit.select("id", "group_id")
+    key = ["group_id", "dim"]
+    unit = cut_lineage(_unit(vectors))
+    mine = unit if asked is None else cut_lineage(_unit(asked))
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(unit, "others").join(blocks(mine, "owns"), key)
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = mine.join(sizes, key).select(*key, "id", "v", part("owns").alias("x"), every("others").alias("y"), F.lit(True).alias("own"))
+    others = unit.join(sizes, key).select(*key, "id", "v", every("owns").alias("x"), part("others").alias("y"), F.lit(False).alias("own"))
+    best = own.unionByName(others).groupBy(*key, "x", "y").applyInArrow(_best_of_block(k), "id string, other string, score double")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(group, "id").select("group_id", "id", "other", "score", "rank")
+    ranked = best.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(mine.select("id", "group_id"), "id").select("group_id", "id", "other", "score", "rank")
 
 
 def mutual_edges(neighbours: DataFrame) -> DataFrame:
@@ -101,15 +108,15 @@ def append_mutual(existing: DataFrame, added: DataFrame, edges: DataFrame, k: in
 
     existing, added: id, group_id, embedding. A new vector offers itself to its k nearest; one accepts when
     it has fewer than k others or the newcomer is nearer than its k-th. Edges are only ever added. Groups
-    with fewer than k vectors before stay as they are.
+    with fewer than k vectors before stay as they are. Only the neighbours of new vectors, and then of those that
+    these offer themselves to, are searched for.
     """
     full = existing.groupBy("group_id").count().where(F.col("count") >= k).select("group_id")
-    fresh = added.join(full, "group_id", "left_semi")
-    every = existing.select("group_id", "id", "embedding").unionByName(fresh.select("group_id", "id", "embedding"))
-    near = nearest_neighbours(every, k)
-    new = fresh.select("id")
-    pairs = mutual_edges(near)
-    touched = pairs.join(new.select(F.col("id").alias("source_uuid")), "source_uuid", "left_semi").unionByName(
-        pairs.join(new.select(F.col("id").alias("target_uuid")), "target_uuid", "left_semi")
-    )
-    return edges.select("group_id", "source_uuid", "target_uuid").unionByName(touched.select("group_id", "source_uuid", "target_uuid")).distinct()
+    fresh = cut_lineage(added.join(full, "group_id", "left_semi").select("group_id", "id", "embedding"))
+    every = cut_lineage(existing.select("group_id", "id", "embedding").unionByName(fresh))
+    offers = cut_lineage(nearest_neighbours(every, k, asked=fresh).select("group_id", "id", "other"))
+    offered = offers.select(F.col("other").alias("id")).distinct().join(fresh.select("id"), "id", "left_anti")
+    answers = nearest_neighbours(every, k, asked=every.join(offered, "id", "left_semi")).select("group_id", "id", "other").unionByName(offers)
+    accepted = offers.join(answers.select("group_id", F.col("other").alias("id"), F.col("id").alias("other")), ["group_id", "id", "other"], "left_semi")
+    new = accepted.select("group_id", F.least("id", "other").alias("source_uuid"), F.greatest("id", "other").alias("target_uuid"))
+    return edges.select("group_id", "source_uuid", "target_uuid").unionByName(new).distinct()
