@@ -39,7 +39,8 @@ def spread(seeds: DataFrame, near: DataFrame, queries: DataFrame, entities: Data
     distinct entities: an entity reached twice expands twice. A row of score s passes (s * decay + S) / fan
     to every neighbour that is not visited, fan being all neighbour rows of it. The best `width` candidate
     rows of a query go on; the others keep what they have gathered and may be reached again. Ties go to the
-    smaller uuid, then relation name and fact. Without seeds there are no rows.
+    smaller uuid, then relation name and fact; scores are rounded to 12 decimals, sums to 9. Without seeds
+    there are no rows.
     """
     cfg = spread.filled()
     asked = queries.select("query_id", "group_id", "intent", F.col("embedding").alias("_q"))
@@ -56,14 +57,14 @@ def spread(seeds: DataFrame, near: DataFrame, queries: DataFrame, entities: Data
         fresh = steps.join(visited.select("query_id", F.col("uuid").alias("neighbour")), ["query_id", "neighbour"], "left_anti")
         fresh = fresh.join(vectors, "neighbour", "left") if cfg.lambda2 else fresh.withColumn("_v", F.lit(None).cast("array<float>"))
         value = (F.col("score") * cfg.decay + transition(F.col("intent"), F.col("edge_name"), cosine(F.col("_v"), F.col("_q")), cfg.lambda1, cfg.lambda2)) / F.col("fan")
-        reached = cut_lineage(fresh.select("query_id", F.col("neighbour").alias("uuid"), value.alias("score"), "edge_name", "fact"))
+        reached = cut_lineage(fresh.select("query_id", F.col("neighbour").alias("uuid"), F.round(value, 12).alias("score"), "edge_name", "fact"))
         if reached.isEmpty():
             break
         gathered = gathered.unionByName(reached.select("query_id", "uuid", F.col("score").alias("activation")))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "uuid", "edge_name", "fact")
         frontier = cut_lineage(reached.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cfg.width).select("query_id", "uuid", "score"))
         visited = visited.unionByName(frontier.select("query_id", "uuid").distinct())
-    total = gathered.groupBy("query_id", "uuid").agg(F.sum("activation").alias("activation")).where(F.col("activation") >= cfg.threshold)
+    total = gathered.groupBy("query_id", "uuid").agg(F.round(F.sum("activation"), 9).alias("activation")).where(F.col("activation") >= cfg.threshold)
     top = Window.partitionBy("query_id").orderBy(F.desc("activation"), "uuid")
     return total.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= cfg.nodes).drop("_n")
 
@@ -76,4 +77,4 @@ def inhibit(activated: DataFrame, top: int = 7, beta: float = 0.15) -> DataFrame
     strong = F.sum(F.when(F.col("_i") < top, F.col("activation"))).over(above)
     n = F.least(F.col("_i"), F.lit(top))
     left = F.col("activation") - beta * (F.coalesce(strong, F.lit(0.0)) - n * F.col("activation"))
-    return ranked.withColumn("activation", left).where(F.col("activation") > 0).drop("_i")
+    return ranked.withColumn("activation", F.round(left, 9)).where(F.col("activation") > 0).drop("_i")

@@ -88,7 +88,7 @@ def top_bridges(scored: DataFrame, entities: DataFrame, n: int) -> DataFrame:
     """The n most negative edges with the names of their ends; an unknown end has an empty name."""
     a = entities.select(F.col("uuid").alias("source_uuid"), F.col("name").alias("source_name"))
     b = entities.select(F.col("uuid").alias("target_uuid"), F.col("name").alias("target_name"))
-    top = scored.orderBy("curvature", "source_uuid", "target_uuid").limit(n)
+    top = scored.withColumn("curvature", F.round("curvature", 9)).orderBy("curvature", "source_uuid", "target_uuid").limit(n)
     joined = top.join(a, "source_uuid", "left").join(b, "target_uuid", "left")
     return joined.select("source_uuid", "target_uuid", "curvature", F.coalesce("source_name", F.lit("")).alias("source_name"), F.coalesce("target_name", F.lit("")).alias("target_name"))
 

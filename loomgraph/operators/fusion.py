@@ -26,7 +26,7 @@ def fuse(lists: dict[str, DataFrame]) -> DataFrame:
         df.select("query_id", F.lit("entity" if name == "traversal" else name.split("_")[0]).alias("kind"), "uuid", (F.lit(WEIGHTS[name]) / (F.col("rank") + 2)).alias("part"))
         for name, df in lists.items()
     ]
-    return reduce(DataFrame.unionByName, rows).groupBy("query_id", "kind", "uuid").agg(F.sum("part").alias("score"))
+    return reduce(DataFrame.unionByName, rows).groupBy("query_id", "kind", "uuid").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def cut_weak(scored: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def decay_by_session(results: DataFrame) -> DataFrame:
     session = session_number(F.coalesce("source", F.lit("")))
     with_session = results.withColumn("_s", session)
     most = F.max("_s").over(Window.partitionBy("query_id"))
-    return with_session.withColumn("score", F.col("score") * recency_decay(F.col("_s"), most)).drop("_s")
+    return with_session.withColumn("score", F.round(F.col("score") * recency_decay(F.col("_s"), most), 9)).drop("_s")
 
 
 def ranked(results: DataFrame) -> DataFrame:

@@ -45,11 +45,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "entities").where("group_id = 'default'").select("uuid").distinct()
+    return table(spark, d, "entities").select("group_id", "uuid").distinct()
 
 
 def edge_list(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d).where("group_id = 'default'").select("source_uuid", "target_uuid")
+    return _edges(spark, d).select("group_id", "source_uuid", "target_uuid")
 
 
 def with_embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +63,11 @@ def count_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usable_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "edges").select("uuid", usable(F.col("embedding"), 32).alias("ok"), F.round(norm(F.col("embedding")), 6).alias("norm"))
-    return rows.where("ok").select("uuid", "norm").distinct()
+    def rows(kind: str) -> DataFrame:
+        each = table(spark, d, kind).where(usable(F.col("embedding"), 32))
+        return each.select(F.lit(kind).alias("kind"), "uuid", F.round(norm(F.col("embedding")), 6).alias("norm")).distinct()
+
+    return rows("entities").unionByName(rows("edges")).unionByName(rows("episodes"))
 
 
 def last_source_name(spark: SparkSession, d: str) -> DataFrame:
@@ -161,16 +164,14 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return m.join(a, "uuid_a").join(b, "uuid_b").select("uuid_a", "uuid_b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "vector_queries").where("kind = 'episodes'").select("query_id", "uuid")
-    e = _episodes(spark, d).where(usable(F.col("embedding"), 32)).select("uuid", "group_id", "embedding")
-    return q.join(e, "uuid").select("query_id", "group_id", "embedding")
-
-
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = _episodes(spark, d).where(usable(F.col("embedding"), 32)).select(F.col("uuid").alias("id"), "group_id", "embedding")
-    hits = similarity.similar(e, _asked_vectors(spark, d), 0.3, 20)
-    return hits.select("query_id", F.col("id").alias("uuid"), F.round("score", 6).alias("score"))
+    out = None
+    for kind, rows in (("entities", _entities), ("edges", _edges), ("episodes", _episodes)):
+        v = cut_lineage(rows(spark, d).where(usable(F.col("embedding"), 32)).select(F.col("uuid").alias("id"), "group_id", "embedding"))
+        asked = table(spark, d, "vector_queries").where(F.col("kind") == kind).select("query_id", F.col("uuid").alias("id")).join(v, "id").drop("id")
+        hits = similarity.similar(v, asked, 0.3, 20).select(F.lit(kind).alias("kind"), "query_id", F.col("id").alias("uuid"), F.round("score", 6).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def _entity_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +205,7 @@ def neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges_for_entities(spark: SparkSession, d: str) -> DataFrame:
-    chosen = _entities(spark, d).where("lower(entity_type) = 'person'").select("uuid", "group_id")
+    chosen = _entities(spark, d).select("uuid", "group_id")
     return graph.incident_edges(_edges(spark, d), chosen).select("uuid", "source_uuid", "target_uuid")
 
 
@@ -248,13 +249,20 @@ def edge_source(spark: SparkSession, d: str) -> DataFrame:
 # Search.
 
 
-def _searches(spark: SparkSession, d: str) -> DataFrame:
-    """What entities and edges named in vector_queries are called, searched for in their own groups."""
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """What the entities, edges and episodes named in vector_queries are called, with their group and vector."""
     q = table(spark, d, "vector_queries")
-    e = _entities(spark, d).select("uuid", F.col("name").alias("text"), "group_id", "embedding")
-    g = _edges(spark, d).select("uuid", F.col("fact").alias("text"), "group_id", "embedding")
-    both = q.where("kind = 'entities'").join(e, "uuid").unionByName(q.where("kind = 'edges'").join(g, "uuid"))
-    return cut_lineage(both.where("text IS NOT NULL").select("query_id", "text", "group_id", F.when(usable(F.col("embedding"), 32), F.col("embedding")).alias("embedding")))
+    parts = [
+        q.where(F.col("kind") == kind).join(rows(spark, d).select("uuid", F.col(c).alias("text"), "group_id", "embedding"), "uuid")
+        for kind, rows, c in (("entities", _entities, "name"), ("edges", _edges, "fact"), ("episodes", _episodes, "source"))
+    ]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.select("query_id", "kind", "uuid", "text", "group_id", F.when(usable(F.col("embedding"), 32), F.col("embedding")).alias("embedding"))
+
+
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    """Searches for them in their own groups."""
+    return cut_lineage(_named(spark, d).where("text IS NOT NULL").select("query_id", "text", "group_id", "embedding"))
 
 
 def _documents(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -276,13 +284,19 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return search_text.postings(_documents(spark, d, "edges"), False).groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("tf"))
+    parts = [search_text.postings(_documents(spark, d, k), False).withColumn("corpus", F.lit(k)) for k in ("entities", "edges", "episodes")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("corpus", "token").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("tf"))
 
 
 def _seeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q = table(spark, d, "vector_queries").where("kind = 'entities'").join(_entities(spark, d).select("uuid", "group_id", "name", "embedding"), "uuid")
-    asked = cut_lineage(q.select("query_id", "group_id", X.query_intent(F.coalesce("name", F.lit(""))).alias("intent"), "embedding", "uuid"))
-    return asked.select("query_id", "uuid"), asked.drop("uuid")
+    """Seeds are the entities named, the ends of the edges and the entities of the episodes."""
+    named = cut_lineage(_named(spark, d))
+    edges = named.where("kind = 'edges'").join(_edges(spark, d).select("uuid", F.explode(F.array("source_uuid", "target_uuid")).alias("seed")), "uuid")
+    linked = _linked(spark, d).select(F.col("entity_uuid").alias("seed"), F.col("episode_uuid").alias("uuid"))
+    episodes = named.where("kind = 'episodes'").join(linked, "uuid")
+    own = named.where("kind = 'entities'").select("query_id", "uuid")
+    seeds = own.unionByName(edges.unionByName(episodes, allowMissingColumns=True).select("query_id", F.col("seed").alias("uuid"))).where("uuid IS NOT NULL").distinct()
+    return cut_lineage(seeds), named.select("query_id", "group_id", X.query_intent(F.coalesce("text", F.lit(""))).alias("intent"), "embedding")
 
 
 def spread_2hop(spark: SparkSession, d: str) -> DataFrame:
@@ -313,12 +327,21 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fusion.cut_weak(fusion.fuse({"edge_text": e, "edge_vector": v})).select("query_id", "kind", "uuid", F.round("score", 6).alias("score"))
 
 
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, stemmed: bool) -> DataFrame:
     tables = [cut_lineage(t(spark, d)) for t in (_entities, _edges, _episodes)]  # each is read by many stages
-    found = fusion.search(_searches(spark, d), *tables)
+    found = fusion.search(_searches(spark, d), *tables, stemmed=stemmed)
     return found.select("query_id", "rank", "type", "uuid", "title", "body", F.round("score", 6).alias("score"), "source", "valid_at")
 
 
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, True)
+
+
+def hybrid_search_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the stemmer, which SQL lacks."""
+    return _hybrid(spark, d, False)
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Episodes as results of a search for their group, newest first."""
     order = Window.partitionBy("group_id").orderBy(F.desc_nulls_last("created_at"), "uuid")
@@ -399,15 +422,16 @@ def edge_curvature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curvature_stats(spark: SparkSession, d: str) -> DataFrame:
-    return curvature.stats(_curved(spark, d))
+    rows = curvature.stats(_curved(spark, d))
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean", "least", "greatest")})
 
 
 def curvature_status(spark: SparkSession, d: str) -> DataFrame:
-    return curvature.status(_curved(spark, d))
+    return curvature.status(_curved(spark, d)).withColumn("mean", F.round("mean", 6))
 
 
 def top_bridges(spark: SparkSession, d: str) -> DataFrame:
-    return curvature.top_bridges(_curved(spark, d), _entities(spark, d), 20)
+    return curvature.top_bridges(_curved(spark, d), _entities(spark, d), 20).withColumn("curvature", F.round("curvature", 6))
 
 
 def louvain(spark: SparkSession, d: str) -> DataFrame:
@@ -513,13 +537,14 @@ def queue_requeue(spark: SparkSession, d: str) -> DataFrame:
 def queue_push(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("text", "source", "group_id")
     pushed = jobs.push(files.chunks(documents))
-    return pushed.groupBy("type", "status", "max_attempts").agg(F.count("*").alias("n"))
+    read = pushed.withColumn("p", F.from_json("payload", "content string, source string, group_id string"))
+    return read.groupBy("type", "status", "max_attempts", "p.source", "p.group_id").agg(F.count("*").alias("n"), F.sum(F.length("p.content")).alias("characters"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p3_found, hybrid_search, group_scan, edge_list, with_embedding, count_by_group, usable_vectors, last_source_name, episode_upsert_fold,
+        p3_found, hybrid_search, hybrid_search_plain, group_scan, edge_list, with_embedding, count_by_group, usable_vectors, last_source_name, episode_upsert_fold,
         entity_upsert_fold, edge_upsert_fold, link_fold, keep_first_edges, chunk_documents, chunk_lines, approx_tokens, normalize_answer, token_jaccard,
         fts_query_compile, intent_class, edge_class, entity_embed_text, ascii_key, cosine_pairs, vector_topk, knn20, mutual_knn, mutual_knn_incremental,
         neighbors, edges_for_entities, degree, multi_edge_weight, adjacency, components, entities_for_episodes, episodes_for_entities, entity_source,

@@ -68,30 +68,75 @@ def _terms(c: str) -> str:
 _SEARCHES = f"""q AS (SELECT query_id, e.name AS text, e.group_id, CASE WHEN {_usable('e.embedding')} THEN e.embedding END AS embedding
   FROM vector_queries v JOIN e ON e.uuid = v.uuid WHERE kind = 'entities' AND e.name IS NOT NULL
   UNION ALL SELECT query_id, g.fact, g.group_id, CASE WHEN {_usable('g.embedding')} THEN g.embedding END
-  FROM vector_queries v JOIN g ON g.uuid = v.uuid WHERE kind = 'edges' AND g.fact IS NOT NULL)"""
-
-
-def _bm25(docs: str) -> str:
-    return rf"""d AS ({docs}), post AS (
-  SELECT doc, dl, token, count(*) AS tf FROM (SELECT doc, len({_tokens('text')}) AS dl, unnest({_tokens('text')}) AS token FROM d WHERE text IS NOT NULL) GROUP BY ALL
-), stats AS (SELECT count(*) AS n_docs, avg(CASE WHEN text IS NULL THEN 0 ELSE len({_tokens('text')}) END) AS avgdl FROM d
-), raw AS (SELECT query_id, unnest({_terms('lower(text)')}) AS r, generate_subscripts({_terms('lower(text)')}, 1) AS pos FROM q
-), terms AS (SELECT query_id, pos, term FROM (SELECT query_id, pos, unnest(string_split(r, '_')) AS term FROM raw) WHERE term <> ''
-), vocabulary AS (SELECT DISTINCT token FROM post
-), matched AS (SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM terms) JOIN vocabulary ON starts_with(token, term)
-), hits AS (SELECT term, doc, sum(tf) AS tf, any_value(dl) AS dl FROM matched JOIN post USING (token) GROUP BY term, doc
-), found AS (SELECT term, count(*) AS n FROM hits GROUP BY term
-), scored AS (SELECT query_id, doc, round(sum(greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
-  FROM terms JOIN hits USING (term) JOIN found USING (term) CROSS JOIN stats GROUP BY query_id, doc
-), bm AS (SELECT query_id, doc AS uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) - 1 AS rank
-  FROM scored JOIN (SELECT doc, group_id FROM d) USING (doc) JOIN (SELECT query_id, group_id AS asked FROM q) USING (query_id) WHERE group_id = asked
+  FROM vector_queries v JOIN g ON g.uuid = v.uuid WHERE kind = 'edges' AND g.fact IS NOT NULL
+  UNION ALL SELECT query_id, p.source, p.group_id, CASE WHEN {_usable('p.embedding')} THEN p.embedding END
+  FROM vector_queries v JOIN p ON p.uuid = v.uuid WHERE kind = 'episodes' AND p.source IS NOT NULL)"""
+
+
+def _bm25(docs: str, x: str = "") -> str:
+    """CTEs with the prefix x; the ranks are in {x}bm."""
+    return rf"""{x}d AS ({docs}), {x}post AS MATERIALIZED (
+  SELECT doc, dl, token, count(*) AS tf FROM (SELECT doc, len({_tokens('text')}) AS dl, unnest({_tokens('text')}) AS token FROM {x}d WHERE text IS NOT NULL) GROUP BY ALL
+), {x}stats AS (SELECT count(*) AS n_docs, avg(CASE WHEN text IS NULL THEN 0 ELSE len({_tokens('text')}) END) AS avgdl FROM {x}d
+), {x}raw AS (SELECT query_id, unnest({_terms('lower(text)')}) AS r, generate_subscripts({_terms('lower(text)')}, 1) AS pos FROM q
+), {x}terms AS (SELECT query_id, pos, term FROM (SELECT query_id, pos, unnest(string_split(r, '_')) AS term FROM {x}raw) WHERE term <> ''
+), {x}vocabulary AS (SELECT DISTINCT token FROM {x}post
+), {x}matched AS (SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM {x}terms) JOIN {x}vocabulary ON starts_with(token, term)
+), {x}hits AS (SELECT term, doc, sum(tf) AS tf, any_value(dl) AS dl FROM {x}matched JOIN {x}post USING (token) GROUP BY term, doc
+), {x}counts AS (SELECT term, count(*) AS n FROM {x}hits GROUP BY term
+), {x}scored AS (SELECT query_id, doc, round(sum(greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  FROM {x}terms JOIN {x}hits USING (term) JOIN {x}counts USING (term) CROSS JOIN {x}stats GROUP BY query_id, doc
+), {x}bm AS MATERIALIZED (SELECT query_id, doc AS uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) - 1 AS rank
+  FROM {x}scored JOIN (SELECT doc, group_id FROM {x}d) USING (doc) JOIN (SELECT query_id, group_id AS asked FROM q) USING (query_id) WHERE group_id = asked
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) <= 20)"""
 
 
-_KNN = f"""vec AS (SELECT group_id, uuid AS id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM e WHERE {_usable('embedding')}
-), near AS (SELECT a.group_id, a.id, b.id AS other, list_inner_product(a.v, b.v) / (a.n * b.n) AS score,
-  row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) / (a.n * b.n) DESC, b.id) AS rank
-  FROM vec a JOIN vec b ON a.group_id = b.group_id AND a.id <> b.id QUALIFY rank <= 20)"""
+def _near(name: str, rows: str, least: float) -> str:
+    """The 20 nearest rows of the group of each search in q, by cosine above least."""
+    score = f"round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST({rows}.embedding AS DOUBLE[])), 9)"
+    return f"""{name} AS (SELECT query_id, {rows}.uuid, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, {rows}.uuid) - 1 AS rank
+  FROM q JOIN {rows} USING (group_id) WHERE q.embedding IS NOT NULL AND {_usable(f'{rows}.embedding')} AND {score} > {least} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, {rows}.uuid) <= 20)"""
+
+
+def _spread(hops: int, width: int, nodes: int) -> str:
+    """The walk from seeds (query_id, uuid) for asked (query_id, group_id, intent) over n and fans; its sums are in spread."""
+    out = [f"""n AS MATERIALIZED (SELECT w.group_id, w.uuid, w.neighbour, w.fact, w.edge_name, phi_of.intent, exp(phi_of.phi) AS gain, count(*) OVER (PARTITION BY w.group_id, w.uuid, phi_of.intent) AS fan FROM (
+    SELECT group_id, source_uuid AS uuid, target_uuid AS neighbour, fact, name AS edge_name FROM g UNION SELECT group_id, target_uuid, source_uuid, fact, name FROM g) w
+  JOIN e ON e.uuid = w.neighbour AND e.group_id = w.group_id JOIN phi_of ON phi_of.class = {_class('w.edge_name')} WHERE w.uuid IS NOT NULL
+), f0 AS MATERIALIZED (SELECT DISTINCT query_id, uuid, CAST(1 AS DOUBLE) AS score FROM seeds), v0 AS (SELECT query_id, uuid FROM f0)"""]
+    for k in range(1, hops + 1):
+        out.append(f"""r{k} AS MATERIALIZED (SELECT f.query_id, n.neighbour AS uuid, round((f.score * 0.5 + n.gain) / n.fan, 12) AS score, n.edge_name, n.fact
+  FROM f{k - 1} f JOIN asked a USING (query_id) JOIN n ON n.group_id = a.group_id AND n.intent = a.intent AND n.uuid = f.uuid
+  WHERE (SELECT count(*) FROM v{k - 1} v WHERE v.query_id = f.query_id) < {nodes} AND NOT EXISTS (SELECT 1 FROM v{k - 1} v WHERE v.query_id = f.query_id AND v.uuid = n.neighbour)
+), f{k} AS MATERIALIZED (SELECT query_id, uuid, score FROM r{k} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uuid, edge_name NULLS FIRST, fact NULLS FIRST) <= {width}
+), v{k} AS MATERIALIZED (SELECT * FROM v{k - 1} UNION ALL SELECT DISTINCT query_id, uuid FROM f{k})""")
+    every = " UNION ALL ".join(["SELECT query_id, uuid, score FROM f0", *[f"SELECT query_id, uuid, score FROM r{k}" for k in range(1, hops + 1)]])
+    out.append(f"""spread AS MATERIALIZED (SELECT query_id, uuid, round(sum(score), 9) AS activation FROM ({every}) GROUP BY query_id, uuid
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 9) DESC, uuid) <= {nodes})""")
+    return ", ".join(out)
+
+
+_INHIBIT = """placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, uuid) - 1 AS i FROM spread
+), summed AS (SELECT *, coalesce(sum(CASE WHEN i < 7 THEN activation END) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM placed
+), walked AS (SELECT query_id, uuid, round(activation - 0.15 * (above - least(i, 7) * activation), 9) AS activation FROM summed WHERE round(activation - 0.15 * (above - least(i, 7) * activation), 9) > 0)"""
+_PHI_OF = f"phi_of(intent, class, phi) AS (VALUES {_phi()})"
+_SEEDED = f"""named AS (SELECT query_id, e.name AS text, e.group_id FROM vector_queries v JOIN e ON e.uuid = v.uuid WHERE kind = 'entities'
+  UNION ALL SELECT query_id, g.fact, g.group_id FROM vector_queries v JOIN g ON g.uuid = v.uuid WHERE kind = 'edges'
+  UNION ALL SELECT query_id, p.source, p.group_id FROM vector_queries v JOIN p ON p.uuid = v.uuid WHERE kind = 'episodes'
+), asked AS (SELECT query_id, group_id, {_intent("coalesce(text, '')")} AS intent FROM named
+), seeds AS (SELECT query_id, uuid FROM vector_queries WHERE kind = 'entities' AND uuid IN (SELECT uuid FROM e)
+  UNION SELECT query_id, unnest([source_uuid, target_uuid]) FROM vector_queries v JOIN g ON g.uuid = v.uuid WHERE kind = 'edges'
+  UNION SELECT query_id, entity_uuid FROM vector_queries v JOIN l ON l.episode_uuid = v.uuid WHERE kind = 'episodes')"""
+
+
+def _knn(rows: str = "e", x: str = "") -> str:
+    """CTEs with the prefix x: the 20 nearest of each row within its group are in {x}near."""
+    score = "round(list_inner_product(a.v, b.v) / (a.n * b.n), 9)"
+    return f"""{x}vec AS (SELECT group_id, uuid AS id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM {rows} WHERE {_usable('embedding')}
+), {x}near AS MATERIALIZED (SELECT a.group_id, a.id, b.id AS other, {score} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {score} DESC, b.id) AS rank
+  FROM {x}vec a JOIN {x}vec b ON a.group_id = b.group_id AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {score} DESC, b.id) <= 20
+), {x}mutual AS (SELECT a.group_id, a.id AS source_uuid, a.other AS target_uuid FROM {x}near a JOIN {x}near b ON a.id = b.other AND a.other = b.id WHERE a.id < a.other)"""
+
 
 _WORDS = f"list_sort(list_distinct({_fields('lower(name)')}))"
 _CLUSTERS = f"""rows AS (SELECT group_id, entity_type, uuid, name, CAST(embedding AS DOUBLE[]) AS v, {_WORDS} AS words FROM e WHERE len(embedding) > 0 AND name IS NOT NULL AND len({_WORDS}) > 0
@@ -125,12 +170,35 @@ _ANSWERS = f"""a AS (SELECT item_id, category, answer AS gold, lead(answer) OVER
 _CATEGORY = "CASE category " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in CATEGORIES.items()) + " ELSE 'cat-' || category END"
 _ROLL = "count(*) AS n, round(avg(f1), 6) AS avg_f1, round(avg(em), 6) AS avg_em, count(*) FILTER (judge >= 0) AS n_judged, round(coalesce(avg(judge) FILTER (judge >= 0), 0), 6) AS avg_judge"
 
+_COSTS = f"""{_KNOWN}, s AS (SELECT DISTINCT * FROM k), w AS (SELECT group_id, lo AS x, hi AS y FROM s UNION SELECT group_id, hi, lo FROM s
+), c AS (SELECT s.group_id, s.lo, s.hi, a.y AS a, b.y AS b FROM s JOIN w a ON a.group_id = s.group_id AND a.x = s.lo JOIN w b ON b.group_id = s.group_id AND b.x = s.hi
+), d AS (SELECT c.group_id, c.lo, c.hi, a, b, CASE WHEN a = b THEN 0 WHEN ab.x IS NOT NULL THEN 1 WHEN lb.x IS NOT NULL OR ha.x IS NOT NULL THEN 2 ELSE 3 END AS cost FROM c
+  LEFT JOIN w ab ON ab.group_id = c.group_id AND ab.x = a AND ab.y = b LEFT JOIN w lb ON lb.group_id = c.group_id AND lb.x = c.lo AND lb.y = b LEFT JOIN w ha ON ha.group_id = c.group_id AND ha.x = c.hi AND ha.y = a)"""
+# Cheapest pairs first, each moves what its row has left and its column has room for; the state goes through a fold over the pairs.
+_FLOW = "least(acc.l[x.i], acc.r[x.j])"
+_MOVED_MASS = "list_transform(acc.{0}, lambda v, spot: CASE WHEN spot = x.{1} AND {2} > 1e-12 THEN v - {2} ELSE v END)"
+_CURVED = f"""{_COSTS}, numbered AS (SELECT group_id, lo, hi, cost, dense_rank() OVER (PARTITION BY group_id, lo, hi ORDER BY a) AS i, dense_rank() OVER (PARTITION BY group_id, lo, hi ORDER BY b) AS j FROM d
+), pairs AS (SELECT group_id, lo, hi, max(i) AS rows, max(j) AS columns,
+  list(struct_pack(l := CAST([] AS DOUBLE[]), r := CAST([] AS DOUBLE[]), total := CAST(0 AS DOUBLE), i := i, j := j, cost := CAST(cost AS DOUBLE)) ORDER BY cost, i, j) AS steps FROM numbered GROUP BY ALL
+), started AS (SELECT group_id, lo, hi, steps, struct_pack(l := list_transform(range(rows), lambda v: CAST(1 AS DOUBLE) / rows), r := list_transform(range(columns), lambda v: CAST(1 AS DOUBLE) / columns),
+  total := CAST(0 AS DOUBLE), i := CAST(0 AS BIGINT), j := CAST(0 AS BIGINT), cost := CAST(0 AS DOUBLE)) AS start FROM pairs
+), curved AS MATERIALIZED (SELECT group_id, lo AS source_uuid, hi AS target_uuid, 1 - list_reduce(steps, lambda acc, x: struct_pack(l := {_MOVED_MASS.format('l', 'i', _FLOW)}, r := {_MOVED_MASS.format('r', 'j', _FLOW)},
+  total := acc.total + CASE WHEN {_FLOW} > 1e-12 THEN {_FLOW} * x.cost ELSE 0 END, i := x.i, j := x.j, cost := x.cost), start).total AS curvature FROM started
+), kinds AS (SELECT *, CASE WHEN curvature < -0.05 THEN 'bridge' WHEN curvature > 0.05 THEN 'internal' ELSE 'flat' END AS kind FROM curved)"""
+_LINES = """lines AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: struct_pack(done := CAST([] AS VARCHAR[]), open := x)) AS parts FROM documents WHERE text IS NOT NULL
+), folded AS (SELECT doc_id, text, list_reduce(parts, lambda acc, x: CASE WHEN strlen(acc.open) + strlen(x.open) + 1 > 600 AND acc.open <> '' THEN struct_pack(done := list_append(acc.done, acc.open), open := x.open)
+  WHEN acc.open = '' THEN struct_pack(done := acc.done, open := x.open) ELSE struct_pack(done := acc.done, open := acc.open || chr(10) || x.open) END, struct_pack(done := CAST([] AS VARCHAR[]), open := '')) AS state FROM lines
+), gathered AS (SELECT doc_id, CASE WHEN length(text) <= 600 THEN [text] WHEN state.open = '' THEN state.done ELSE list_append(state.done, state.open) END AS chunks FROM folded)"""
+
 ORACLE: dict[str, str] = {
-    "group_scan": "SELECT DISTINCT uuid FROM entities WHERE group_id = 'default'",
-    "edge_list": f"WITH {_G} SELECT source_uuid, target_uuid FROM g WHERE group_id = 'default'",
+    "group_scan": "SELECT DISTINCT group_id, uuid FROM entities",
+    "edge_list": f"WITH {_G} SELECT group_id, source_uuid, target_uuid FROM g",
     "with_embedding": " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS kind, uuid, group_id FROM {k} WHERE embedding IS NOT NULL" for k in ("entities", "edges", "episodes")),
     "count_by_group": " UNION ALL ".join(f"SELECT group_id, count(DISTINCT uuid) AS n, '{k}' AS kind FROM {k} GROUP BY group_id" for k in ("entities", "edges", "episodes")),
-    "usable_vectors": f"SELECT DISTINCT uuid, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM edges WHERE {_usable('embedding')}",
+    "usable_vectors": " UNION ALL ".join(
+        f"SELECT DISTINCT '{k}' AS kind, uuid, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM {k} WHERE {_usable('embedding')}"
+        for k in ("entities", "edges", "episodes")
+    ),
     "last_source_name": f"""WITH {_P} SELECT uuid, {_SESSION.format('source')} AS session,
   CASE WHEN starts_with(string_split(source, '/')[-1], 'session_') THEN '[' || string_split(source, '/')[-1] || '] ' ELSE '' END AS tag,
   CASE WHEN strlen(source) > 12 THEN '…' || right(source, 9) ELSE source END AS short FROM p WHERE source IS NOT NULL""",
@@ -148,6 +216,7 @@ ORACLE: dict[str, str] = {
     "chunk_documents": """WITH c AS (SELECT doc_id, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1500) / 1350.0) * 1350) AS BIGINT) + 1, 1350)) AS pos, text FROM documents WHERE text IS NOT NULL
 ), w AS (SELECT doc_id, CAST(pos / 1350 AS INTEGER) AS chunk_no, substring(text, pos + 1, 1500) AS chunk FROM c)
 SELECT doc_id, chunk_no, length(chunk) AS n, md5(chunk) AS digest FROM w WHERE strlen(trim(chunk, ' ')) >= 50""",
+    "chunk_lines": f"WITH {_LINES} SELECT doc_id, CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS chunk_no, strlen(unnest(chunks)) AS n FROM gathered",
     "approx_tokens": "SELECT doc_id, CAST(floor((strlen(text) + 3) / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL",
     "normalize_answer": f"SELECT item_id, {_PLAIN.format('answer')} AS plain FROM eval_items WHERE answer IS NOT NULL",
     "token_jaccard": f"""WITH {_E}, m AS (SELECT DISTINCT uuid_a, uuid_b FROM entity_matches)
@@ -160,15 +229,23 @@ SELECT uuid_a, uuid_b, round({_jaccard('a.name', 'b.name')}, 6) AS jaccard FROM
     "ascii_key": "SELECT translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, count(*) AS n FROM entities WHERE name IS NOT NULL GROUP BY ALL",
     "cosine_pairs": f"""WITH {_E}, m AS (SELECT DISTINCT uuid_a, uuid_b FROM entity_matches) SELECT uuid_a, uuid_b, round({_COSINE.format('a.embedding', 'b.embedding')}, 6) AS cosine
 FROM m JOIN e a ON a.uuid = uuid_a JOIN e b ON b.uuid = uuid_b WHERE {_usable('a.embedding')} AND {_usable('b.embedding')}""",
-    "vector_topk": f"""WITH {_P}, v AS (SELECT uuid, group_id, CAST(embedding AS DOUBLE[]) AS v FROM p WHERE {_usable('embedding')})
-SELECT query_id, b.uuid, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM vector_queries q JOIN v a ON a.uuid = q.uuid JOIN v b ON a.group_id = b.group_id
-WHERE kind = 'episodes' AND list_cosine_similarity(a.v, b.v) > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.uuid) <= 20""",
-    "knn20": f"WITH {_E}, {_KNN} SELECT group_id, id, other, round(score, 6) AS score, rank FROM near",
-    "mutual_knn": f"WITH {_E}, {_KNN} SELECT a.group_id, a.id AS source_uuid, a.other AS target_uuid FROM near a JOIN near b ON a.id = b.other AND a.other = b.id WHERE a.id < a.other",
+    "vector_topk": f"WITH {_E}, {_G}, {_P}, " + ", ".join(f"{t}v AS (SELECT uuid, group_id, CAST(embedding AS DOUBLE[]) AS v FROM {t} WHERE {_usable('embedding')})" for t in "egp") + " " + " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{k}' AS kind, query_id, b.uuid, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM vector_queries q JOIN {t}v a ON a.uuid = q.uuid JOIN {t}v b ON a.group_id = b.group_id
+WHERE kind = '{k}' AND round(list_cosine_similarity(a.v, b.v), 9) > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.uuid) <= 20)"""
+        for k, t in (("entities", "e"), ("edges", "g"), ("episodes", "p"))
+    ),
+    "knn20": f"WITH {_E}, {_knn()} SELECT group_id, id, other, round(score, 6) AS score, rank FROM near",
+    "mutual_knn": f"WITH {_E}, {_knn()} SELECT * FROM mutual",
+    "mutual_knn_incremental": f"""WITH {_E}, cut AS (SELECT max(seq) * 0.9 AS border FROM e WHERE {_usable('embedding')}), old AS (SELECT e.* FROM e, cut WHERE seq <= border
+), fresh AS (SELECT e.* FROM e, cut WHERE seq > border AND group_id IN (SELECT group_id FROM old WHERE {_usable('embedding')} GROUP BY group_id HAVING count(*) >= 20)
+), every AS (SELECT * FROM old UNION ALL SELECT * FROM fresh), {_knn('old', 'o_')}, {_knn('every', 'x_')}
+SELECT * FROM o_mutual UNION SELECT * FROM x_mutual WHERE source_uuid IN (SELECT uuid FROM fresh) OR target_uuid IN (SELECT uuid FROM fresh)""",
     "neighbors": f"""WITH {_E}, {_G}, n AS (SELECT group_id, source_uuid AS uuid, target_uuid AS neighbour, fact, name AS edge_name FROM g UNION SELECT group_id, target_uuid, source_uuid, fact, name FROM g)
 SELECT n.group_id, n.uuid, n.neighbour, e.name, e.entity_type, n.fact, n.edge_name FROM n JOIN e ON e.uuid = n.neighbour AND e.group_id = n.group_id WHERE n.uuid IS NOT NULL""",
-    "edges_for_entities": f"""WITH {_E}, {_G}, c AS (SELECT uuid, group_id FROM e WHERE lower(entity_type) = 'person')
-SELECT uuid, source_uuid, target_uuid FROM g WHERE (source_uuid, group_id) IN (SELECT (uuid, group_id) FROM c) OR (target_uuid, group_id) IN (SELECT (uuid, group_id) FROM c)""",
+    "edges_for_entities": f"""WITH {_E}, {_G} SELECT uuid, source_uuid, target_uuid FROM g
+WHERE (source_uuid, group_id) IN (SELECT (uuid, group_id) FROM e) OR (target_uuid, group_id) IN (SELECT (uuid, group_id) FROM e)""",
+    "components": f"""WITH RECURSIVE {_E}, {_G}, {_KNOWN}, w AS (SELECT lo AS s, hi AS t FROM k UNION SELECT hi, lo FROM k
+), reach(root, uuid) AS (SELECT s, s FROM w UNION SELECT r.root, w.t FROM reach r JOIN w ON w.s = r.uuid) SELECT uuid, min(root) AS component FROM reach GROUP BY uuid""",
     "degree": f"WITH {_G}, {_DEGREE} SELECT group_id, uuid, degree FROM deg",
     "multi_edge_weight": f"WITH {_E}, {_G}, {_KNOWN} SELECT group_id, lo, hi, count(*) AS weight FROM k GROUP BY ALL",
     "adjacency": f"""WITH {_E}, {_G}, {_KNOWN}, w AS (SELECT group_id, lo AS node, hi AS other FROM k UNION SELECT group_id, hi, lo FROM k)
@@ -183,21 +260,45 @@ SELECT edge_uuid, source FROM y JOIN p ON p.uuid = episode_uuid QUALIFY row_numb
     "corpus_stats": f"WITH {_E}, {_G}, {_P} " + " UNION ALL ".join(
         f"SELECT '{k}' AS corpus, count(*) AS n_docs, round(avg(CASE WHEN {c} IS NULL THEN 0 ELSE len({_tokens(c)}) END), 6) AS avgdl FROM {t}" for k, c, t in (("entities", "name", "e"), ("edges", "fact", "g"), ("episodes", "content", "p"))
     ),
-    "postings": f"WITH {_G}, t AS (SELECT uuid, unnest({_tokens('fact')}) AS token FROM g WHERE fact IS NOT NULL) SELECT token, count(DISTINCT uuid) AS n_docs, count(*) AS tf FROM t GROUP BY token",
+    "postings": f"WITH {_E}, {_G}, {_P}, t AS (" + " UNION ALL ".join(
+        f"SELECT '{k}' AS corpus, uuid, unnest({_tokens(c)}) AS token FROM {t} WHERE {c} IS NOT NULL" for k, c, t in (("entities", "name", "e"), ("edges", "fact", "g"), ("episodes", "content", "p"))
+    ) + ") SELECT corpus, token, count(DISTINCT uuid) AS n_docs, count(*) AS tf FROM t GROUP BY corpus, token",
+    "spread_2hop": f"WITH {_E}, {_G}, {_P}, {_LINKED}, {_SEEDED}, {_PHI_OF}, {_spread(2, 1_000_000, 1_000_000)} SELECT query_id, uuid, round(activation, 6) AS activation FROM spread",
+    "spreading_activation": f"WITH {_E}, {_G}, {_P}, {_LINKED}, {_SEEDED}, {_PHI_OF}, {_spread(5, 10, 200)}, {_INHIBIT} SELECT query_id, uuid, round(activation, 6) AS activation FROM walked",
     "lateral_inhibition": f"""WITH {_G}, {_DEGREE}, r AS (SELECT group_id AS query_id, uuid, CAST(degree AS DOUBLE) AS a, row_number() OVER (PARTITION BY group_id ORDER BY degree DESC, uuid) - 1 AS i FROM deg
 ), s AS (SELECT query_id, uuid, a, i, coalesce(sum(CASE WHEN i < 7 THEN a END) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM r)
 SELECT query_id, uuid, round(a - 0.15 * (above - least(i, 7) * a), 6) AS activation FROM s WHERE a - 0.15 * (above - least(i, 7) * a) > 0""",
-    "rrf_fusion": f"""WITH {_E}, {_G}, {_SEARCHES}, {_bm25('SELECT uuid AS doc, fact AS text, group_id FROM g')}, near AS (
-  SELECT query_id, g.uuid, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 9) DESC, g.uuid) - 1 AS rank
-  FROM q JOIN g USING (group_id) WHERE q.embedding IS NOT NULL AND {_usable('g.embedding')} AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])) > 0.5
-), parts AS (SELECT query_id, uuid, 1.0 / (rank + 2) AS part FROM bm UNION ALL SELECT query_id, uuid, 0.5 / (rank + 2) FROM near WHERE rank < 20
-), fused AS (SELECT query_id, uuid, sum(part) AS score FROM parts GROUP BY ALL)
+    "rrf_fusion": f"""WITH {_E}, {_G}, {_P}, {_SEARCHES}, {_bm25('SELECT uuid AS doc, fact AS text, group_id FROM g')}, {_near('near', 'g', 0.5)}
+, parts AS (SELECT query_id, uuid, 1.0 / (rank + 2) AS part FROM bm UNION ALL SELECT query_id, uuid, 0.5 / (rank + 2) FROM near
+), fused AS (SELECT query_id, uuid, round(sum(CAST(part AS DOUBLE)), 9) AS score FROM parts GROUP BY ALL)
 SELECT query_id, 'edge' AS kind, uuid, round(score, 6) AS score FROM fused QUALIFY score >= 0.15 * max(score) OVER (PARTITION BY query_id) AND max(score) OVER (PARTITION BY query_id) >= 0.1""",
+    "hybrid_search_plain": f"""WITH {_E}, {_G}, {_P}, {_SEARCHES}, {_bm25('SELECT uuid AS doc, name AS text, group_id FROM e', 'e_')}, {_bm25('SELECT uuid AS doc, fact AS text, group_id FROM g', 'g_')},
+{_bm25('SELECT uuid AS doc, content AS text, group_id FROM p', 'p_')}, {_near('g_near', 'g', 0.5)}, {_near('p_near', 'p', 0.3)},
+seeds AS (SELECT query_id, uuid FROM e_bm WHERE rank < 5), asked AS (SELECT query_id, group_id, {_intent('text')} AS intent FROM q), {_PHI_OF}, {_spread(5, 10, 200)}, {_INHIBIT},
+lists(kind, query_id, uuid, part) AS (SELECT 'edge', query_id, uuid, CAST(1 AS DOUBLE) / (rank + 2) FROM g_bm UNION ALL SELECT 'episode', query_id, uuid, CAST(1.5 AS DOUBLE) / (rank + 2) FROM p_bm
+  UNION ALL SELECT 'edge', query_id, uuid, CAST(0.5 AS DOUBLE) / (rank + 2) FROM g_near UNION ALL SELECT 'episode', query_id, uuid, CAST(1.5 AS DOUBLE) / (rank + 2) FROM p_near
+), fused AS (SELECT query_id, kind, uuid, round(sum(part), 9) AS score FROM lists GROUP BY ALL
+), near_seeds AS (SELECT DISTINCT query_id, community_id FROM seeds JOIN e USING (uuid) WHERE community_id >= 0
+), boosted AS (SELECT DISTINCT f.query_id, f.uuid FROM fused f JOIN g USING (uuid) JOIN e ON e.uuid = g.source_uuid OR e.uuid = g.target_uuid
+  JOIN near_seeds s ON s.query_id = f.query_id AND s.community_id = e.community_id WHERE f.kind = 'edge'
+), scored AS (SELECT f.query_id, f.kind, f.uuid, f.score + CASE WHEN b.uuid IS NULL THEN 0 ELSE 0.15 END AS score FROM fused f LEFT JOIN boosted b ON b.query_id = f.query_id AND b.uuid = f.uuid
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, uuid) <= 10
+), kept AS (SELECT * FROM best QUALIFY score >= 0.15 * max(score) OVER (PARTITION BY query_id) AND max(score) OVER (PARTITION BY query_id) >= 0.1
+), listed AS (SELECT uuid AS edge_uuid, unnest(CAST(json(episodes) AS VARCHAR[])) AS episode_uuid, generate_subscripts(CAST(json(episodes) AS VARCHAR[]), 1) AS pos FROM g WHERE episodes IS NOT NULL AND episodes <> ''
+), origin AS (SELECT edge_uuid, source FROM listed JOIN p ON p.uuid = episode_uuid QUALIFY row_number() OVER (PARTITION BY edge_uuid ORDER BY pos) = 1
+), told AS (SELECT query_id, kind AS type, k.uuid, g.name AS title, g.fact AS body, score, coalesce(origin.source, '') AS source, g.valid_at FROM kept k JOIN g USING (uuid) LEFT JOIN origin ON edge_uuid = k.uuid WHERE kind = 'edge'
+  UNION ALL SELECT query_id, kind, k.uuid, p.source, p.content, score, p.source, NULL FROM kept k JOIN p USING (uuid) WHERE kind = 'episode'
+), sessions AS (SELECT *, {_SESSION.format("coalesce(source, '')")} AS s FROM told), newest AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS most FROM sessions
+), decayed AS (SELECT * REPLACE (round(score * CASE WHEN most > 1 AND s > 0 THEN exp(-0.3 * (most - s) / most) ELSE 1 END, 9) AS score) FROM newest)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, type, uuid) AS rank, type, uuid, title, body, round(score, 6) AS score, source, valid_at FROM decayed""",
     "token_budget": f"""WITH {_P}, {_RESULTS}, c AS (SELECT query_id, uuid, CAST(sum(floor((strlen(coalesce(title, '') || coalesce(body, '')) + 3) / 4.0)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM r)
 SELECT query_id, uuid, used FROM c WHERE used <= 4000""",
     "temporal_decay": f"""WITH {_P}, {_RESULTS}, s AS (SELECT *, {_SESSION.format("coalesce(source, '')")} AS s FROM r), m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS most FROM s)
 SELECT query_id, uuid, round(1.0 / rank * CASE WHEN most > 1 AND s > 0 THEN exp(-0.3 * (most - s) / most) ELSE 1 END, 6) AS score FROM m""",
     "relative_cutoff": f"WITH {_P}, {_RESULTS} SELECT query_id, uuid FROM r WHERE 1.0 / rank >= 0.15",
+    "json_lines": f"""WITH {_P}, {_RESULTS}, c AS (SELECT *, sum(floor((strlen(coalesce(title, '') || coalesce(body, '')) + 3) / 4.0)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM r)
+SELECT query_id, rank, '{{"rank":' || rank || ',"type":"episode"' || CASE WHEN title IS NULL THEN '' ELSE ',"title":' || to_json(title) END || CASE WHEN coalesce(body, '') = '' THEN '' ELSE ',"body":' || to_json(body) END
+  || ',"score":' || CAST(CAST(1 AS DOUBLE) / rank AS VARCHAR) || CASE WHEN coalesce(source, '') = '' THEN '' ELSE ',"source":' || to_json(source) END || '}}' AS line FROM c WHERE used <= 1000""",
     "resolve_clusters": f"WITH RECURSIVE {_E}, {_CLUSTERS} SELECT cluster, uuid FROM clusters",
     "resolve_canonical": f"WITH RECURSIVE {_E}, {_G}, {_MOVED} SELECT cluster, canonical FROM canon",
     "merge_edges": f"""WITH RECURSIVE {_E}, {_G}, {_MOVED}, x AS (SELECT g.uuid, g.seq, g.group_id, coalesce(a.canonical, source_uuid) AS source_uuid, coalesce(b.canonical, target_uuid) AS target_uuid, g.name
@@ -210,11 +311,14 @@ QUALIFY row_number() OVER (PARTITION BY source_uuid, target_uuid, name, group_id
 SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS clusters, (SELECT count(*) FROM dup) AS entities_merged,
   (SELECT count(*) FROM g WHERE source_uuid IN (SELECT uuid FROM dup)) + (SELECT count(*) FROM g WHERE target_uuid IN (SELECT uuid FROM dup)) AS edges_retargeted,
   (SELECT count(*) FROM (SELECT DISTINCT * FROM entity_episodes) WHERE entity_uuid IN (SELECT uuid FROM dup)) AS episodes_relinked""",
-    "curvature_cost_hist": f"""WITH {_E}, {_G}, {_KNOWN}, s AS (SELECT DISTINCT * FROM k), w AS (SELECT group_id, lo AS x, hi AS y FROM s UNION SELECT group_id, hi, lo FROM s
-), c AS (SELECT s.group_id, s.lo, s.hi, a.y AS a, b.y AS b FROM s JOIN w a ON a.group_id = s.group_id AND a.x = s.lo JOIN w b ON b.group_id = s.group_id AND b.x = s.hi
-), d AS (SELECT c.group_id, c.lo, c.hi, CASE WHEN a = b THEN 0 WHEN ab.x IS NOT NULL THEN 1 WHEN lb.x IS NOT NULL OR ha.x IS NOT NULL THEN 2 ELSE 3 END AS cost FROM c
-  LEFT JOIN w ab ON ab.group_id = c.group_id AND ab.x = a AND ab.y = b LEFT JOIN w lb ON lb.group_id = c.group_id AND lb.x = c.lo AND lb.y = b LEFT JOIN w ha ON ha.group_id = c.group_id AND ha.x = c.hi AND ha.y = a)
-SELECT group_id, lo, hi, {", ".join(f"count(*) FILTER (cost = {i}) AS n{i}" for i in range(4))} FROM d GROUP BY ALL""",
+    "curvature_cost_hist": f"WITH {_E}, {_G}, {_COSTS} SELECT group_id, lo, hi, {', '.join(f'count(*) FILTER (cost = {i}) AS n{i}' for i in range(4))} FROM d GROUP BY ALL",
+    "edge_curvature": f"WITH {_E}, {_G}, {_CURVED} SELECT group_id, source_uuid, target_uuid, round(curvature, 6) AS curvature FROM curved",
+    "curvature_stats": f"""WITH {_E}, {_G}, {_CURVED} SELECT group_id, count(*) AS n_edges, round(avg(curvature), 6) AS mean, round(min(curvature), 6) AS least, round(max(curvature), 6) AS greatest,
+  {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('bridge', 'internal', 'flat'))} FROM kinds GROUP BY group_id""",
+    "curvature_status": f"""WITH {_E}, {_G}, {_CURVED} SELECT count(*) AS total, count(*) FILTER (kind = 'bridge') AS bridges, count(*) FILTER (kind = 'internal') AS internal, round(coalesce(avg(curvature), 0), 6) AS mean,
+  CASE WHEN count(*) = 0 THEN 0 ELSE 100.0 * count(*) FILTER (kind = 'bridge') / count(*) END AS bridge_percent FROM kinds""",
+    "top_bridges": f"""WITH {_E}, {_G}, {_CURVED}, top AS (SELECT source_uuid, target_uuid, round(curvature, 9) AS curvature FROM curved ORDER BY round(curvature, 9), source_uuid, target_uuid LIMIT 20)
+SELECT source_uuid, target_uuid, round(curvature, 6) AS curvature, coalesce(a.name, '') AS source_name, coalesce(b.name, '') AS target_name FROM top LEFT JOIN e a ON a.uuid = source_uuid LEFT JOIN e b ON b.uuid = target_uuid""",
     "community_inputs": f"WITH {_E}, {_G}, {_INPUTS} SELECT group_id, community_id, people, names, coalesce(facts, '') AS facts FROM people LEFT JOIN facts USING (group_id, community_id)",
     "community_reports": f"WITH {_E}, {_G}, {_INPUTS} SELECT group_id, community_id, 'People: ' || roster || '. Key facts: ' || told AS report FROM people JOIN facts USING (group_id, community_id)",
     "community_list": f"""WITH {_E}, {_G}, {_INPUTS}, r AS (SELECT group_id, community_id, 'People: ' || roster || '. Key facts: ' || told AS report FROM people JOIN facts USING (group_id, community_id)
@@ -231,6 +335,11 @@ FROM r WHERE rank <= 10 GROUP BY query_id""",
     "queue_fold": f"WITH {_JOBS} SELECT id, status, attempts, error FROM j",
     "queue_stats": f"WITH {_JOBS}, z(status) AS (VALUES ('pending'), ('processing'), ('done'), ('failed')) SELECT z.status, count(j.id) AS n FROM z LEFT JOIN j ON j.status = z.status GROUP BY z.status",
     "queue_next": f"WITH {_JOBS} SELECT id FROM j WHERE status = 'pending' AND (not_before IS NULL OR not_before <= {_NOW}) ORDER BY created_at, id LIMIT 10",
+    "queue_payload": f"""WITH {_JOBS}, x AS (SELECT id, attempts, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS p FROM j)
+SELECT id, p->>'content' AS content, p->>'source' AS source, p->>'group_id' AS group_id, round(least(CAST(0.3 AS DOUBLE) * coalesce(attempts, 0), CAST(0.8 AS DOUBLE)), 6) AS temperature FROM x""",
+    "queue_push": """WITH c AS (SELECT unnest(range(0, CAST(greatest(0, ceil((length(text) - 1500) / 1350.0) * 1350) AS BIGINT) + 1, 1350)) AS pos, text, source, group_id FROM documents WHERE text IS NOT NULL
+), w AS (SELECT substring(text, pos + 1, 1500) AS chunk, source, group_id FROM c)
+SELECT 'ingest' AS type, 'pending' AS status, 3 AS max_attempts, source, group_id, count(*) AS n, sum(length(chunk)) AS characters FROM w WHERE strlen(trim(chunk, ' ')) >= 50 GROUP BY source, group_id""",
     "queue_recover": f"WITH {_JOBS} SELECT id, CASE WHEN status = 'processing' AND updated_at < {_NOW} - INTERVAL 5 MINUTE THEN 'pending' ELSE status END AS status FROM j",
     "queue_requeue": f"WITH {_JOBS} SELECT id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN 0 ELSE attempts END AS attempts FROM j",
     "queue_fail": f"""WITH {_JOBS}, f AS (SELECT *, status = 'processing' AS hit, coalesce(attempts, 0) + 1 AS next, coalesce(attempts, 0) + 1 >= coalesce(max_attempts, 3) AS last FROM j)
