@@ -172,11 +172,13 @@ def flexible_string(c: Column) -> Column:
     return F.when((c == "null") | (plain == ""), F.lit(None).cast("string")).otherwise(plain)
 
 
+# How a model begins when it refuses.
+REFUSALS = ("i cannot", "i'm sorry", "i am sorry", "i'm unable", "i am unable", "cannot fulfill", "cannot process", "unable to process")
+
+
 def is_refusal(c: Column) -> Column:
-    # How a model begins when it refuses.
-    starts = ["i cannot", "i'm sorry", "i am sorry", "i'm unable", "i am unable", "cannot fulfill", "cannot process", "unable to process"]
     low = F.lower(F.trim(c))
-    return reduce(lambda a, b: a | b, [F.startswith(low, F.lit(s)) for s in starts])
+    return reduce(lambda a, b: a | b, [F.startswith(low, F.lit(s)) for s in REFUSALS])
 
 
 def is_double_page(width: Column, height: Column) -> Column:
@@ -205,13 +207,18 @@ def answer_text(answer: Column, adversarial: Column | None = None, category: Col
     return F.when((category == 5) & (own == ""), plain(adversarial)).otherwise(own)
 
 
+# Extensions of files read as text.
+TEXT_EXTENSIONS = (
+    ".go", ".md", ".txt", ".yaml", ".yml", ".json", ".toml", ".sh", ".ts", ".tsx", ".js", ".jsx", ".py", ".rs", ".sql", ".env", ".proto", ".graphql", ".html", ".css", ".bib",
+)
+# Folders that a walk leaves out, besides those that begin with a dot.
+SKIPPED_FOLDERS = ("node_modules", "vendor", "dist", "build", "__pycache__", "coverage", "testdata")
+
+
 def has_text_extension(path: Column) -> Column:
-    # Extensions of files read as text.
-    known = ".go .md .txt .yaml .yml .json .toml .sh .ts .tsx .js .jsx .py .rs .sql .env .proto .graphql .html .css .bib"
-    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin(known.split())
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin(*TEXT_EXTENSIONS)
 
 
 def in_skipped_folder(relative: Column) -> Column:
-    # Folders that a walk leaves out, besides those that begin with a dot.
-    names = "node_modules|vendor|dist|build|__pycache__|coverage|testdata"
-    return relative.rlike(rf"(?:^|/)(?:\.[^/]+|{names})/")
+    folders = F.slice(F.split(relative, "/"), 1, F.size(F.split(relative, "/")) - 1)
+    return F.exists(folders, lambda f: f.isin(*SKIPPED_FOLDERS) | (F.startswith(f, F.lit(".")) & (F.length(f) > 1)))

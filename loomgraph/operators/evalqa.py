@@ -9,6 +9,7 @@ from loomgraph.functions.text import exact_match, temporal_tag, token_f1, trunca
 
 # Names of the question categories.
 CATEGORIES = {1: "single-hop", 2: "multi-hop", 3: "temporal", 4: "open-domain", 5: "adversarial"}
+# What stands for an empty context.
 NO_FACTS, NO_DIALOGUE = "(no relevant facts found)", "(no relevant dialogue found)"
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.vectors import cosine, doubles, norm, usable
-from loomgraph.operators import activation, community, curvature, evalqa, folds, fusion, graph, jobs, resolve, search_text, similarity
+from loomgraph.operators import activation, community, curvature, evalqa, folds, fusion, graph, ingest, jobs, resolve, search_text, similarity
 from loomgraph.operators.instants import normalise_instants
 from loomgraph.session import cut_lineage, distinct_records, table
 from loomgraph.sources import files
+from loomgraph.sources.providers import HashEmbedder, PatternExtractor
 
 NOW = "2026-06-01 00:00:00"
 
@@ -541,6 +542,31 @@ def queue_push(spark: SparkSession, d: str) -> DataFrame:
     return read.groupBy("type", "status", "max_attempts", "p.source", "p.group_id").agg(F.count("*").alias("n"), F.sum(F.length("p.content")).alias("characters"))
 
 
+def _ingested(spark: SparkSession, d: str) -> ingest.Graph:
+    """The due jobs taken into an empty graph, read by pattern."""
+    queue = cut_lineage(jobs.latest(table(spark, d, "jobs")))
+    _, g = ingest.ingest(queue, ingest.Graph.empty(spark), PatternExtractor(), HashEmbedder(), F.lit(NOW).cast("timestamp"))
+    return ingest.Graph(*[cut_lineage(t) for t in (g.episodes, g.entities, g.edges, g.links)])
+
+
+def ingest_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with their episodes, and the relations between them by the names of their ends."""
+    g = _ingested(spark, d)
+    names = g.entities.select("uuid", F.lower("name").alias("name"))
+    linked = g.links.join(names, F.col("entity_uuid") == F.col("uuid")).join(g.episodes.select(F.col("uuid").alias("episode_uuid"), "group_id", "content"), "episode_uuid")
+    ends = [names.select(F.col("uuid").alias(f"{e}_uuid"), F.col("name").alias(e)) for e in ("source", "target")]
+    related = g.edges.join(ends[0], "source_uuid").join(ends[1], "target_uuid").select("group_id", F.lit("edge").alias("kind"), "source", "target")
+    return linked.select("group_id", F.lit("link").alias("kind"), F.col("name").alias("source"), F.md5("content").alias("target")).unionByName(related)
+
+
+def search_after_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The names of what was taken in, searched for in the graph."""
+    g = _ingested(spark, d)
+    asked = g.entities.select(F.col("uuid").alias("query_id"), F.col("name").alias("text"), "group_id", "embedding")
+    found = fusion.search(asked, g.entities, g.edges, g.episodes)
+    return found.select("query_id", "rank", "type", "uuid", "title", "body", F.round("score", 6).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -552,7 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         relative_cutoff, json_lines, resolve_clusters, resolve_canonical, merge_edges, merge_episodes, merge_entities, resolve_summary,
         curvature_cost_hist, edge_curvature, curvature_stats, curvature_status, top_bridges, louvain, knn_communities, community_list, community_inputs,
         community_reports, community_of, token_f1, qa_rollup, context_format, baseline_context, queue_fold, queue_stats, queue_next, queue_payload,
-        queue_fail, queue_recover, queue_requeue, queue_push,
+        queue_fail, queue_recover, queue_requeue, queue_push, ingest_graph, search_after_ingest,
     )
 } | {f"bm25_{k}{'' if s else '_plain'}": _bm25(k, s) for k in ("entities", "edges", "episodes") for s in (True, False)}
 

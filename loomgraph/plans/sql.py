@@ -340,6 +340,13 @@ SELECT id, p->>'content' AS content, p->>'source' AS source, p->>'group_id' AS g
     "queue_push": """WITH c AS (SELECT unnest(range(0, CAST(greatest(0, ceil((length(text) - 1500) / 1350.0) * 1350) AS BIGINT) + 1, 1350)) AS pos, text, source, group_id FROM documents WHERE text IS NOT NULL
 ), w AS (SELECT substring(text, pos + 1, 1500) AS chunk, source, group_id FROM c)
 SELECT 'ingest' AS type, 'pending' AS status, 3 AS max_attempts, source, group_id, count(*) AS n, sum(length(chunk)) AS characters FROM w WHERE strlen(trim(chunk, ' ')) >= 50 GROUP BY source, group_id""",
+    "ingest_graph": f"""WITH {_JOBS}, x AS (SELECT DISTINCT coalesce(payload->>'group_id', 'default') AS group_id, payload->>'content' AS content, coalesce(payload->>'source', '') AS source FROM j
+  WHERE (CASE WHEN status = 'processing' AND updated_at < {_NOW} - INTERVAL 5 MINUTE THEN 'pending' ELSE status END) = 'pending' AND (not_before IS NULL OR not_before <= {_NOW}) AND json_valid(payload) AND payload->>'content' IS NOT NULL
+), names AS (SELECT group_id, content, source, regexp_extract_all(content, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b') AS every FROM x
+), firsts AS (SELECT group_id, content, source, list_filter(every, lambda v, spot: list_position(every, v) = spot) AS found FROM names
+), links AS (SELECT DISTINCT group_id, source AS origin, content, lower(unnest(found)) AS name FROM firsts
+), edges_found AS (SELECT DISTINCT group_id, lower(unnest(found[:-2])) AS source, lower(unnest(found[2:])) AS target FROM firsts)
+SELECT group_id, 'link' AS kind, name AS source, md5(content) AS target FROM links UNION ALL SELECT group_id, 'edge', source, target FROM edges_found""",
     "queue_recover": f"WITH {_JOBS} SELECT id, CASE WHEN status = 'processing' AND updated_at < {_NOW} - INTERVAL 5 MINUTE THEN 'pending' ELSE status END AS status FROM j",
     "queue_requeue": f"WITH {_JOBS} SELECT id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN 0 ELSE attempts END AS attempts FROM j",
     "queue_fail": f"""WITH {_JOBS}, f AS (SELECT *, status = 'processing' AS hit, coalesce(attempts, 0) + 1 AS next, coalesce(attempts, 0) + 1 >= coalesce(max_attempts, 3) AS last FROM j)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import is_refusal
+from loomgraph.functions.text import REFUSALS, is_refusal
 
 WAITS = (2.0, 5.0, 15.0)
 RETRIED = frozenset([429, *range(500, 600)])
@@ -72,8 +73,7 @@ def judged_yes(reply: str) -> bool:
 
 
 def refused(text: str) -> bool:
-    starts = ("i cannot", "i'm sorry", "i am sorry", "i'm unable", "i am unable", "cannot fulfill", "cannot process", "unable to process")
-    return text.strip().lower().startswith(starts)
+    return text.strip().lower().startswith(REFUSALS)
 
 
 def read_page(reader: Reader, image: bytes, prompt: str, again: str) -> str:
@@ -102,6 +102,30 @@ def double_page(data: bytes) -> bool:
     return bool(size and size[1] and size[0] / size[1] > 1.3)
 
 
+class PatternExtractor:
+    """Two capitalised words are an entity and names that follow each other are related: repeatable, without
+    understanding; for tests and dry runs."""
+
+    def entities(self, text: str) -> str:
+        names = dict.fromkeys(re.findall(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", text))
+        return json.dumps({"extracted_entities": [{"name": n, "entity_type": "Person", "description": ""} for n in names]})
+
+    def edges(self, names: Sequence[str], text: str) -> str:
+        rows = [{"relation_type": "FOLLOWED_BY", "source_entity_id": i, "target_entity_id": i + 1, "fact": f"{a} is followed by {b}"} for i, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+        return json.dumps(rows)
+
+
+class FirstFactAnswerer:
+    """Answers with the first line of the context, and judges by equal words."""
+
+    def answer(self, system: str, user: str, most_tokens: int) -> str:
+        lines = [x for x in user.split("\n") if re.match(r"\d+\. ", x)]
+        return " ".join(re.sub(r"^\d+\. (?:\[[^\]]*\] )?", "", lines[0]).split()[:most_tokens]) if lines else ""
+
+    def judge(self, question: str, gold: str, prediction: str) -> bool:
+        return set(re.findall(r"\w+", gold.lower())) <= set(re.findall(r"\w+", prediction.lower()))
+
+
 class HashEmbedder:
     """Hashed words as a vector of length one: repeatable, without meaning; for tests and dry runs."""
 
@@ -120,35 +144,53 @@ class HashEmbedder:
         return out
 
 
-def embed_column(df: DataFrame, text: str, embedder: Embedder, into: str = "embedding") -> DataFrame:
-    """A vector for each row's text, embedded in Arrow batches; null and empty texts have none."""
+def apply_model(df: DataFrame, call: Callable[..., str], into: str, *columns: str, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """df with into, a struct of the model's reply to the columns and the error if there is none.
+
+    Rows go to the model in Arrow batches on the executors, with retries; a call that fails spoils its own row
+    only. A null in the first column is not asked for.
+    """
+
+    @F.pandas_udf("struct<reply:string,error:string>")
+    def ask(*values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for row in zip(*values, strict=True):
+            if row[0] is None:
+                rows.append((None, None))
+                continue
+            try:
+                rows.append((with_retries(lambda row=row: call(*row), wait), None))
+            except Exception as error:
+                rows.append((None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(rows, columns=["reply", "error"])
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            some = [t for t in texts if t]
-            made = iter(embedder.embed(some)) if some else iter(())
-            yield pd.Series([next(made) if t else None for t in texts], dtype=object)
+    return df.withColumn(into, ask(*columns))
 
-    from pyspark.sql.pandas.functions import pandas_udf
 
-    udf = pandas_udf(run, "array<float>", functionType=204)
-    return df.withColumn(into, udf(F.col(text)))
+def embed_column(df: DataFrame, text: str, embedder: Embedder, into: str = "embedding", wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """A vector for each row's text, embedded in Arrow batches with retries; null and empty texts have none."""
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        some = [t for t in texts if t]
+        made = iter(with_retries(lambda: embedder.embed(some), wait)) if some else iter(())
+        return pd.Series([next(made) if t else None for t in texts], dtype=object)
+
+    return df.withColumn(into, embed(text))
 
 
 def decode_vectors(df: DataFrame, blob: str, into: str = "embedding") -> DataFrame:
     """Vectors from bytes of little-endian 32-bit floats; empty bytes give null."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for blobs in batches:
-            yield pd.Series([np.frombuffer(b, "<f4").tolist() if b else None for b in blobs], dtype=object)
-
-    from pyspark.sql.pandas.functions import pandas_udf
+    @F.pandas_udf("array<float>")
+    def decode(blobs: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(b, "<f4").tolist() if b else None for b in blobs], dtype=object)
 
-    return df.withColumn(into, pandas_udf(run, "array<float>", functionType=204)(F.col(blob)))
+    return df.withColumn(into, decode(blob))
 
 
 def encode_vector(v: Sequence[float] | None) -> bytes:
     return np.asarray(v if v is not None else [], "<f4").tobytes()
 
 
-__all__ = ["Answerer", "Embedder", "Extractor", "HashEmbedder", "Judge", "Reader", "TransportError", "decode_vectors", "double_page", "embed_column", "encode_vector", "in_order", "is_refusal", "judged_yes", "read_page", "refused", "with_retries"]
+__all__ = ["Answerer", "Embedder", "Extractor", "FirstFactAnswerer", "HashEmbedder", "Judge", "PatternExtractor", "apply_model", "Reader", "TransportError", "decode_vectors", "double_page", "embed_column", "encode_vector", "in_order", "is_refusal", "judged_yes", "read_page", "refused", "with_retries"]

@@ -5,11 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.operators import folds
-
 JOB = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("type", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("attempts", T.IntegerType()), T.StructField("max_attempts", T.IntegerType()), T.StructField("error", T.StringType()),
@@ -22,28 +19,19 @@ def jobs_stream(spark: SparkSession, folder: str, most_files: int = 100) -> Data
     return spark.readStream.schema(JOB).option("maxFilesPerTrigger", most_files).parquet(folder)
 
 
-def episodes_of(jobs: DataFrame) -> DataFrame:
-    """Episodes of pending jobs whose payload decodes; the uuid is made from the job, so a retry stores it once."""
-    p = F.from_json("payload", "content string, source string, group_id string")
-    rows = jobs.where("status = 'pending'").select("id", p.alias("p"), "created_at").where("p.content IS NOT NULL")
-    h = F.sha2(F.concat_ws("\u001f", F.coalesce("p.group_id", F.lit("default")), F.coalesce("p.source", F.lit("")), "p.content"), 256)
-    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    return rows.select(
-        F.col("id").alias("seq"), uuid.alias("uuid"), "p.content", F.coalesce("p.group_id", F.lit("default")).alias("group_id"),
-        F.coalesce("p.source", F.lit("")).alias("source"), "created_at", F.lit(None).cast("array<float>").alias("embedding"),
-    )
-
-
 def run_worker(
     jobs: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, on_drain: Callable[[], None] | None = None
 ) -> None:
-    """All jobs there are, batch by batch; then on_drain once if any batch had rows. handle must be idempotent by batch number."""
+    """All jobs there are, batch by batch; then on_drain once if any batch had rows.
+
+    handle gets the arrived jobs, merges them into the queue and runs ingest.ingest, which leaves those that are
+    not due and counts the failures; it must be idempotent by batch number.
+    """
     dirty = []
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = episodes_of(df)
-        if not rows.isEmpty():
-            handle(folds.upsert_episodes(rows), number)
+        if not df.isEmpty():
+            handle(df, number)
             dirty.append(number)
 
     query = jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

