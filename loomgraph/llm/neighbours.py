@@ -1,13 +1,14 @@
 """The k most similar vectors of given vectors: multi-index hashing over learned rotated binary codes.
 
 Codes are signs of rotated components (principal axes, then rotations fitted so that signs lose least).
-Every block of rows is indexed in place: its codes are split into substrings, each with a bucket table, and
-the queries probe all buckets within the pigeonhole radius, so every code within the Hamming radius comes
-up; those are ranked again by their floats. Rows are never shuffled, only the best k of each block.
+Every block of rows is indexed once: its codes are split into four substrings of about the logarithm of a block's
+rows, each with a bucket table, and the queries probe all buckets that a code within the Hamming radius must be in
+one of; those are ranked again by their floats. Rows are never shuffled, only the best k of each block.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ from loomgraph.session import cut_lineage
 SAMPLE_ROWS = 20_000  # rows that the rotations are fitted on, at most about this many
 BLOCK_ROWS = 65_536  # rows indexed together
 BLOCK_QUERIES = 4_096  # queries sent to the executors together: their vectors take about 1 MB
-SUBSTRING = 8  # bits of a substring
-KEPT = 0.98  # share of the pairs at the k-th best cosine that the Hamming radius is to keep
+SUBSTRING = 16  # bits of a substring: as many buckets as a block has rows
+FIRST_LOOK = 4  # candidates for each wanted row that the first probe is to find
+KEPT = 0.99  # share of the pairs at the k-th best cosine that the Hamming radius is to keep
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -78,58 +80,75 @@ class Codes:
         return int(self.radius[min(64, max(0, int((cosine + 1) * 32)))])
 
 
-class _Block:
-    """The multi-index of one block of rows.
+def flips(radius: int) -> np.ndarray:
+    """Numbers of SUBSTRING bits with at most radius of them set, by how many are."""
+    every = np.arange(1 << SUBSTRING)
+    ones = np.bitwise_count(every)
+    order = np.argsort(ones, kind="stable")
+    return every[order][: int((ones <= radius).sum())].astype(np.uint16)
+
+
+_FLIPS: dict[int, np.ndarray] = {}
 
-    For every substring place and value there is a bitmap of the rows within the probing radius of that
-    value; those of radius r + 1 are joined from the eight of radius r one flipped bit away. Probing all
-    buckets within the radius is then one bitmap a place.
-    """
+
+class Block:
+    """The multi-index of one block of rows: for each substring the rows in the order of its value."""
 
     def __init__(self, model: Codes, uuids: np.ndarray, vectors: np.ndarray) -> None:
         uuids, first = np.unique(uuids, return_index=True)  # sorted, so that ties fall to the smaller uuid
         self.uuids, self.unit = uuids, unit_rows(vectors[first])
         self.model, self.codes = model, model.encode(vectors[first])
         self.parts = -(-model.bits // SUBSTRING)
-        words = -(-len(uuids) // 64)
-        exact = np.zeros((self.parts, 256, words * 8), np.uint8)
-        bit, byte = np.uint8(1) << (np.arange(len(uuids)) & 7).astype(np.uint8), np.arange(len(uuids)) >> 3
-        bytes_of = self.codes.view(np.uint8).reshape(-1, 8)
-        for t in range(self.parts):
-            np.bitwise_or.at(exact[t], (bytes_of[:, t], byte), bit)
-        self.within = [exact.view(np.uint64)]
-
-    def bitmaps(self, radius: int) -> np.ndarray:
-        while len(self.within) <= radius:
-            last = self.within[-1]
-            wider = last.copy()
-            for b in range(SUBSTRING):
-                wider |= last[:, np.arange(256) ^ (1 << b)]
-            self.within.append(wider)
-        return self.within[radius]
+        self.strings = np.ascontiguousarray(self.codes.view(np.uint16).reshape(-1, 4)[:, : self.parts].T)
+        self.order = [np.argsort(x, kind="stable") for x in self.strings]
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(x, minlength=1 << SUBSTRING))]) for x in self.strings]
+
+    def bucket_rows(self, part: int, value: int, radius: int) -> np.ndarray:
+        """Rows whose substring is within radius of value. More buckets than rows are compared one by one instead."""
+        if radius < 0:
+            return np.zeros(0, np.int64)
+        if radius not in _FLIPS:
+            _FLIPS[radius] = flips(radius)
+        masks = _FLIPS[radius]
+        if len(masks) * 4 > len(self.uuids):
+            return np.flatnonzero(np.bitwise_count(self.strings[part] ^ np.uint16(value)) <= radius)
+        buckets = masks ^ np.uint16(value)
+        low, size = self.starts[part][buckets], self.starts[part][buckets.astype(np.int64) + 1] - self.starts[part][buckets]
+        low, size = low[size > 0], size[size > 0]
+        at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
+        return self.order[part][at]
 
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """The rows with a substring within radius of the query's."""
-        if radius >= SUBSTRING // 2 + 1:  # beyond it hardly a row is left out
-            return np.arange(len(self.uuids))
-        maps = self.bitmaps(radius)
-        rows = np.bitwise_or.reduce(maps[np.arange(self.parts), code.view(np.uint8)[: self.parts]])
-        return np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little", count=len(self.uuids)))
+        """Rows among which are all with a code within radius.
+
+        With radius = parts * a + b, such a code is within a of one of the first b + 1 substrings or within
+        a - 1 of one of the others, else its distances would sum up to more.
+        """
+        a, b = divmod(radius, self.parts)
+        values = code.view(np.uint16)
+        found = [self.bucket_rows(t, int(values[t]), a if t <= b else a - 1) for t in range(self.parts)]
+        return np.unique(np.concatenate(found))
+
+    def first_radius(self, k: int) -> int:
+        """The radius at which the first probe finds FIRST_LOOK * k rows, were codes spread evenly."""
+        wanted = FIRST_LOOK * k * (1 << SUBSTRING) / max(1, len(self.uuids) * self.parts)
+        a = next((r for r in range(SUBSTRING) if len(flips(r)) >= wanted), SUBSTRING)
+        return min(self.model.bits, self.parts * a + self.parts - 1)
 
     def best(self, ids: np.ndarray, own: np.ndarray, unit: np.ndarray, codes: np.ndarray, k: int) -> list[tuple]:
-        """Rows in the queries' own buckets give a k-th best cosine; the radius is then widened to where
-        hardly a code outside can hold a row that beats it."""
+        """The rows of a first probe give a k-th best cosine; the radius is then set to where hardly a code
+        outside can hold a row that beats it."""
         out: list[tuple] = []
-        n = len(self.uuids)
+        n, look = len(self.uuids), self.first_radius(k)
         selves = np.searchsorted(self.uuids, own)
         for i in range(len(ids)):
             me = selves[i] if selves[i] < n and self.uuids[selves[i]] == own[i] else -1
-            rows = self.probe(codes[i : i + 1], 0)
+            rows = self.probe(codes[i : i + 1], look)
             rows = rows[rows != me]
             value = self.unit[rows] @ unit[i]
             floor = -np.partition(-value, k - 1)[k - 1] if len(rows) >= k else -2.0
             radius = self.model.within(floor) if floor > -2 else self.model.bits
-            rows = self.probe(codes[i : i + 1], radius // self.parts)
+            rows = self.probe(codes[i : i + 1], radius)
             rows = rows[(np.bitwise_count(self.codes[rows] ^ codes[i]) <= radius) & (rows != me)]
             value = np.round(self.unit[rows] @ unit[i], 9)
             if len(rows) > k:
@@ -140,29 +159,34 @@ class _Block:
         return out
 
 
-def _search(model, queries, k: int, dim: int):
+def _search(model, blocks: list, k: int, dim: int):
+    """Indexes each block of rows once and searches it for all blocks of queries, of which one is held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, (ids, own, vectors) = model.value, queries.value
-        unit, own_codes = unit_rows(vectors), codes.encode(vectors)
+        codes = model.value
         uuids: list[np.ndarray] = []
         rows: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            block = _Block(codes, np.concatenate(uuids), np.concatenate(rows))
-            found = block.best(ids, own, unit, own_codes, k)
-            columns = zip(*found, strict=True) if found else ([], [], [])
-            types = (pa.int64(), pa.string(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "uuid", "cosine"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            index = Block(codes, np.concatenate(uuids), np.concatenate(rows))
+            for queries in blocks:
+                ids, own, vectors = queries.value
+                found = index.best(ids, own, unit_rows(vectors), codes.encode(vectors), k)
+                columns = zip(*found, strict=True) if found else ([], [], [])
+                types = (pa.int64(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "uuid", "cosine"])
+                if len(blocks) > 1:
+                    queries.__dict__.pop("_value", None)  # read again from the executor's copy when it is needed
 
         for batch in batches:
             if batch.num_rows:
                 uuids.append(batch.column("uuid").to_numpy(zero_copy_only=False))
                 rows.append(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
             if sum(map(len, uuids)) >= BLOCK_ROWS:
-                yield flush()
+                yield from flush()
                 uuids, rows = [], []
         if uuids:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -188,7 +212,7 @@ def nearest(spark: SparkSession, records: DataFrame, queries: DataFrame, k: int
     Cosines are rounded to 9 decimals, ties go to the smaller uuid, of a repeated record one copy counts.
     Vectors that are null, of another length, not finite or zero are neither found nor searched for; a
     query whose uuid has no usable vector has no rows. With fewer than k others all come out. Queries go
-    to the rows in blocks of a fixed size, so neither side is ever gathered whole.
+    to the rows in blocks of a fixed size, all in one pass over the rows, so neither side is ever gathered whole.
     """
     usable_rows = records.where(F.col("uuid").isNotNull() & usable(F.col("embedding"), dim)).select("uuid", "embedding")
     model = fit_codes(usable_rows, bits)
@@ -196,18 +220,14 @@ def nearest(spark: SparkSession, records: DataFrame, queries: DataFrame, k: int
         return spark.createDataFrame([], RESULT)
     wanted = queries.where("query_id IS NOT NULL").select("query_id", "uuid").dropDuplicates(["query_id"])
     asked = cut_lineage(usable_rows.join(wanted, "uuid").dropDuplicates(["query_id"]))
-    blocks = -(-asked.count() // BLOCK_QUERIES)
-    sent, found = spark.sparkContext.broadcast(model), []
-    for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
-        if len(rows):
-            block = (rows.query_id.to_numpy(), rows.uuid.to_numpy(dtype=object), np.stack(rows.embedding.to_list()).astype(np.float64))
-            found.append(usable_rows.mapInArrow(_search(sent, spark.sparkContext.broadcast(block), k, dim), RESULT))
-    if not found:
+    parts = max(1, asked.count() // BLOCK_QUERIES)  # read about block by block
+    sent, blocks, waiting = spark.sparkContext.broadcast(model), [], asked.coalesce(parts).toLocalIterator()
+    while rows := list(itertools.islice(waiting, BLOCK_QUERIES)):
+        block = (np.array([r.query_id for r in rows]), np.array([r.uuid for r in rows], object), np.array([r.embedding for r in rows], np.float64))
+        blocks.append(spark.sparkContext.broadcast(block))
+    if not blocks:
         return spark.createDataFrame([], RESULT)
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
+    merged = usable_rows.mapInArrow(_search(sent, blocks, k, dim), RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "uuid")
     return (
         merged.groupBy("query_id", "uuid").agg(F.max("cosine").alias("cosine"))

@@ -265,6 +265,22 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.nearest(spark, records, queries.limit(0)).count() == 0
 
 
+def test_probes_are_complete():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3_000, 32))
+    for bits in (64, 40):
+        model = neighbours.Codes(x, bits)
+        block = neighbours.Block(model, np.arange(len(x)).astype(str).astype(object), x)
+        for i, radius in itertools.product(range(0, 3_000, 300), (0, 1, 5, 9, 14, 22, 30)):
+            far = np.bitwise_count(block.codes ^ block.codes[i])
+            rows = block.probe(block.codes[i : i + 1], radius)
+            assert set(np.flatnonzero(far <= radius)) <= set(rows)
+    # Codes of close vectors are found in a small part of the rows.
+    close = np.repeat(rng.normal(size=(300, 32)), 10, axis=0) + 0.05 * rng.normal(size=(3_000, 32))
+    block = neighbours.Block(neighbours.Codes(close), np.arange(3_000).astype(str).astype(object), close)
+    assert np.mean([len(block.probe(block.codes[i : i + 1], 8)) for i in range(0, 3_000, 100)]) < 0.05 * 3_000
+
+
 PAGE = """<html><body><div id=nav><a href=x>one</a> <a href=y>two</a> <a href=z>three</a></div>
 <div><h2>Title</h2><p>Body text that runs on for a while so that it is dense with characters and few tags.</p><p>More of the body.</p></div></body></html>"""
 CASES = [
