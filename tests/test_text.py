@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.functions.latex import apply_macros, braced, harvest_macros, latex_text, resolve_inputs, tidy
+from loomgraph.functions.latex import braced, latex_text, macros_of, tidy, with_inputs
 from loomgraph.functions.model_output import clean_output, decode_edges, extracted_entities
 from loomgraph.functions.porter import stem
 from loomgraph.operators import evalqa, search_text
@@ -112,10 +112,15 @@ def test_model_output(spark):
 
 
 def test_latex():
-    assert braced(r"{a{b}c} d", 0) == "a{b}c"
-    assert resolve_inputs(r"x \input{a} \include{no}", {"a.tex": "A"}) == "x A "
-    macros = harvest_macros([r"\newcommand{\sys}{\textbf{Loom}}", r"\newcommand{\sys}{Graph}"])
-    assert apply_macros(r"\sys{} and \sys, \system", macros) == r"Graph and Graph, \system"
+    assert braced(r"{a{b}\}c} d", 0) == (r"a{b}\}c", 9) and braced("x {a}", 0) == ("", 0)
+    assert with_inputs(r"x \input{a} \include{no}", {"a.tex": "A"}) == "x A "
+    sources = [r"\newcommand{\sys}{\textbf{Loom}}", r"\renewcommand*{\sys}{Graph} \def\more{\sys{} too}"]
+    assert macros_of(sources) == {"sys": "Graph", "more": r"\sys{} too"}
+    assert latex_text(r"\sys{} and \sys, \more", {"m.sty": sources[0], "n.tex": sources[1]}) == "Graph and Graph, Graph too"
+    assert latex_text(r"\loop x", {"m.sty": r"\def\loop{a \loop}"}) == "a  x"
+    assert latex_text("x", stripper=lambda t: "own") == "own" and latex_text("x", stripper=lambda t: 1 / 0) == "x"
+    assert latex_text(r"a \[ x \] b $$ y $$ c 5\% \label{k} \unknown[o]{kept}") == "a  b  c 5%  kept"
+    assert latex_text(r"\title[s]{A \\ B \& C} \author{$^1$ D}" + "\n\\begin{document}e\\end{document}f") == "A \n B  &  C\nD\n\ne"
     text = latex_text("\\title{On \\textbf{Names}}\n\\begin{document}\n\\begin{table}x\\end{table} We \\emph{show} $x$ it~\\cite{a}.\n\\end{document}")
     assert text.startswith("On Names") and "We show  it." in text and "table" not in text
     assert tidy("see smith2024deeplearning , and\n\n\n\nthen") == "see  and\n\nthen"
