@@ -278,7 +278,7 @@ def vocabulary(records: DataFrame) -> DataFrame:
 _SPLITTERS = " \t\n\x0b\f\r.,;:?!\"“”‘’()[]{}<>/…—–"
 
 
-def _tokens(text: str) -> Column:
+def _tokens(text: str | Column) -> Column:
     return F.split(F.translate(text, _SPLITTERS, " " * len(_SPLITTERS)), " +")
 
 
@@ -331,7 +331,7 @@ def supported(options: DataFrame, contexts: DataFrame, records: DataFrame) -> Da
     contexts has (word, before, after). Pairs of words are counted over all records, by their hash. Those that are
     asked for have a table of known size, so that Spark only sends it to the texts while it is small.
     """
-    pair = lambda a, b: F.xxhash64(F.lower(a), F.lower(b))
+    pair = lambda a, b: F.xxhash64(a, b)
     sides = F.explode(F.array(
         F.struct(F.lit(True).alias("left"), F.when(F.col("before").isNotNull(), pair("before", "fix")).alias("pair")),
         F.struct(F.lit(False).alias("left"), F.when(F.col("after").isNotNull(), pair("fix", "after")).alias("pair")),
@@ -339,7 +339,7 @@ def supported(options: DataFrame, contexts: DataFrame, records: DataFrame) -> Da
     asked = options.select("word", "fix").join(contexts, "word").select("word", "fix", sides.alias("s")).where("s.pair IS NOT NULL")
     asked = cut_lineage(asked.select("word", "fix", "s.left", "s.pair").distinct())
     wanted = cut_lineage(asked.select("pair").distinct())
-    words = records.select(_tokens("content").alias("t")).where(F.size("t") > 1)
+    words = records.select(_tokens(F.lower("content")).alias("t")).where(F.size("t") > 1)
     seen = words.select(F.explode(F.array_distinct(F.zip_with("t", F.slice("t", 2, F.size("t")), pair))).alias("pair"))
     counts = seen.join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("n"))
     return asked.join(counts, "pair").groupBy("word", "fix").agg(
