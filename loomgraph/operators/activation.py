@@ -48,7 +48,7 @@ def spread(seeds: DataFrame, near: DataFrame, queries: DataFrame, entities: Data
     visited = frontier.select("query_id", "uuid")
     gathered = frontier.select("query_id", "uuid", F.col("score").alias("activation"))
     fans = near.groupBy("group_id", "uuid").agg(F.count("*").alias("fan"))
-    walk = near.join(fans, ["group_id", "uuid"])
+    walk = cut_lineage(near.select("group_id", "uuid", "neighbour", "edge_name", "fact").join(fans, ["group_id", "uuid"]))  # read in every hop
     vectors = entities.select(F.col("uuid").alias("neighbour"), F.col("embedding").alias("_v")).dropDuplicates(["neighbour"])
     for _ in range(cfg.hops):
         open_queries = visited.groupBy("query_id").count().where(F.col("count") < cfg.nodes).select("query_id")
@@ -57,12 +57,13 @@ def spread(seeds: DataFrame, near: DataFrame, queries: DataFrame, entities: Data
         fresh = steps.join(visited.select("query_id", F.col("uuid").alias("neighbour")), ["query_id", "neighbour"], "left_anti")
         fresh = fresh.join(vectors, "neighbour", "left") if cfg.lambda2 else fresh.withColumn("_v", F.lit(None).cast("array<float>"))
         value = (F.col("score") * cfg.decay + transition(F.col("intent"), F.col("edge_name"), cosine(F.col("_v"), F.col("_q")), cfg.lambda1, cfg.lambda2)) / F.col("fan")
-        reached = cut_lineage(fresh.select("query_id", F.col("neighbour").alias("uuid"), F.round(value, 12).alias("score"), "edge_name", "fact"))
-        if reached.isEmpty():
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "uuid", "edge_name", "fact")
+        reached = fresh.select("query_id", F.col("neighbour").alias("uuid"), F.round(value, 12).alias("score"), "edge_name", "fact")
+        reached = cut_lineage(reached.select("query_id", "uuid", "score", F.row_number().over(order).alias("_n")))
+        frontier = reached.where(F.col("_n") <= cfg.width).select("query_id", "uuid", "score")
+        if frontier.isEmpty():
             break
         gathered = gathered.unionByName(reached.select("query_id", "uuid", F.col("score").alias("activation")))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "uuid", "edge_name", "fact")
-        frontier = cut_lineage(reached.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cfg.width).select("query_id", "uuid", "score"))
         visited = visited.unionByName(frontier.select("query_id", "uuid").distinct())
     total = gathered.groupBy("query_id", "uuid").agg(F.round(F.sum("activation"), 9).alias("activation")).where(F.col("activation") >= cfg.threshold)
     top = Window.partitionBy("query_id").orderBy(F.desc("activation"), "uuid")
