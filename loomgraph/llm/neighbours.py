@@ -104,14 +104,14 @@ class Block:
         self.starts = [np.concatenate([[0], np.cumsum(np.bincount(x, minlength=1 << SUBSTRING))]) for x in self.strings]
 
     def bucket_rows(self, part: int, value: int, radius: int) -> np.ndarray:
-        """Rows whose substring is within radius of value. More buckets than rows are compared one by one instead."""
+        """Rows, or their mask, whose substring is within radius of value. More buckets than rows are compared one by one."""
         if radius < 0:
             return np.zeros(0, np.int64)
         if radius not in _FLIPS:
             _FLIPS[radius] = flips(radius)
         masks = _FLIPS[radius]
         if len(masks) * 4 > len(self.uuids):
-            return np.flatnonzero(np.bitwise_count(self.strings[part] ^ np.uint16(value)) <= radius)
+            return np.bitwise_count(self.strings[part] ^ np.uint16(value)) <= radius
         buckets = masks ^ np.uint16(value)
         low, size = self.starts[part][buckets], self.starts[part][buckets.astype(np.int64) + 1] - self.starts[part][buckets]
         low, size = low[size > 0], size[size > 0]
@@ -126,8 +126,10 @@ class Block:
         """
         a, b = divmod(radius, self.parts)
         values = code.view(np.uint16)
-        found = [self.bucket_rows(t, int(values[t]), a if t <= b else a - 1) for t in range(self.parts)]
-        return np.unique(np.concatenate(found))
+        hit = np.zeros(len(self.uuids), bool)
+        for t in range(self.parts):
+            hit[self.bucket_rows(t, int(values[t]), a if t <= b else a - 1)] = True
+        return np.flatnonzero(hit)
 
     def first_radius(self, k: int) -> int:
         """The radius at which the first probe finds FIRST_LOOK * k rows, were codes spread evenly."""
