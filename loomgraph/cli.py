@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     verbs.add_parser("status")
     v = verbs.add_parser("communities")
     v.add_argument("--detect", action="store_true")
+    v.add_argument("--knn", action="store_true")
     v.add_argument("--min-members", type=int, default=2)
     v = verbs.add_parser("curvature")
     v.add_argument("--compute", action="store_true")
@@ -106,9 +107,18 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", F.unix_micros("created_at"))
 
 
-def detect(store: Store) -> None:
+def detect(store: Store, by_vectors: bool = False) -> None:
+    """Communities of the edges, or of mutual neighbours, whose graph and curvatures are kept."""
     g = load(store)
-    whole = folds.write_communities(g.entities, community.louvain(graph.pair_weights(g.edges, g.entities), g.entities))
+    if by_vectors:
+        vectors = g.entities.where("size(embedding) > 0").select("group_id", F.col("uuid").alias("id"), "embedding")
+        store.write("mutual_knn", community.neighbour_graph(vectors, store.read("mutual_knn") if "mutual_knn" in store.tables() else None))
+        curved, found = community.neighbour_communities(store.read("mutual_knn"))
+        before = store.read("edge_curvatures") if "edge_curvatures" in store.tables() else curved.limit(0)
+        store.write("edge_curvatures", folds.replace_group(before, curved))
+    else:
+        found = community.louvain(graph.pair_weights(g.edges, g.entities), g.entities)
+    whole = folds.write_communities(g.entities, found)
     store.write("entities", whole)
     store.write("community_reports", community.reports(community.report_inputs(load(store).entities, _ordered(g.edges))))
 
@@ -120,7 +130,7 @@ def main(argv: list[str] | None = None) -> None:
     own = lambda name: store.read(name).where(F.col("group_id") == args.group)
     now = F.current_timestamp()
     if args.verb in ("ingest", "run"):
-        _merge_jobs(store, _stamped(files.enqueue(spark, args.root, args.group, args.source)))
+        _merge_jobs(store, _stamped(files.enqueue(spark, args.root, args.group, args.source, files.cascade(files.text_layer))))
     if args.verb in ("worker", "run"):
         drain(store)
     elif args.verb == "bench":
@@ -148,8 +158,8 @@ def main(argv: list[str] | None = None) -> None:
             for r in found.orderBy("rank").limit(args.limit).collect():
                 print(f"{r['rank']}. [{r.type}] {r.title or ''} ({r.score:.3f})\n   {r.body or ''}")
     elif args.verb == "communities":
-        if args.detect:
-            detect(store)
+        if args.detect or args.knn:
+            detect(store, args.knn)
         _print(community.listing(load(store).entities.where(F.col("group_id") == args.group), store.read("community_reports"), args.min_members).orderBy("community_id").limit(50))
     elif args.verb == "curvature":
         if args.compute:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import curvature, folds, similarity
 from loomgraph.session import cut_lineage
 
 
@@ -154,3 +155,26 @@ def reports_of(stored: DataFrame, group_id: str, ids: list[int]) -> DataFrame:
 def community_of(entities: DataFrame) -> DataFrame:
     """(group_id, uuid, community_id), -1 for none."""
     return entities.select("group_id", "uuid", F.coalesce("community_id", F.lit(-1)).alias("community_id"))
+
+
+def neighbour_graph(vectors: DataFrame, cached: DataFrame | None = None, k: int = 20) -> DataFrame:
+    """(group_id, source_uuid, target_uuid, n_vectors): the mutual nearest neighbours of vectors (group_id, id, embedding).
+
+    Groups of which cached, an earlier result, has as many vectors are taken from it, the others are searched
+    again and replace it.
+    """
+    sizes = cut_lineage(vectors.groupBy("group_id").agg(F.count("*").alias("n_vectors")))
+    if cached is not None:
+        fresh = cached.select("group_id", "n_vectors").distinct().join(sizes, ["group_id", "n_vectors"], "left_semi").select("group_id")
+        vectors = vectors.join(fresh, "group_id", "left_anti")
+    pairs = similarity.mutual_edges(cut_lineage(similarity.nearest_neighbours(vectors, k))).join(sizes, "group_id")
+    return pairs if cached is None else folds.replace_group(cached.join(fresh, "group_id", "left_semi"), pairs)
+
+
+def neighbour_communities(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(curvatures, communities) of a graph (group_id, source_uuid, target_uuid): communities are found with
+    the curvature of its edges as weights."""
+    simple = cut_lineage(pairs.select("group_id", F.col("source_uuid").alias("lo"), F.col("target_uuid").alias("hi")))
+    curved = cut_lineage(curvature.curvatures(simple))
+    nodes = simple.select("group_id", F.explode(F.array("lo", "hi")).alias("uuid")).distinct()
+    return curved, louvain(curvature.weights(curved), nodes)

@@ -442,10 +442,7 @@ def louvain(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_communities(spark: SparkSession, d: str) -> DataFrame:
     """Mutual neighbours, their curvature as weights, communities of those."""
-    pairs = cut_lineage(mutual_knn(spark, d).select("group_id", F.col("source_uuid").alias("lo"), F.col("target_uuid").alias("hi")))
-    curved = cut_lineage(curvature.curvatures(pairs))
-    nodes = pairs.select("group_id", F.explode(F.array("lo", "hi")).alias("uuid")).distinct()
-    return community.louvain(curvature.weights(curved), nodes)
+    return community.neighbour_communities(community.neighbour_graph(_entity_vectors(spark, d)))[1]
 
 
 def community_list(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.latex import latex_text
 from loomgraph.functions.text import chunk_windows, has_text_extension, in_skipped_folder
 from loomgraph.operators import jobs
+from loomgraph.sources.providers import Reader, read_page, with_retries
 
 LEAST_BYTES = 50
 PdfReader = Callable[[bytes], str]
@@ -69,6 +72,69 @@ def cascade(*readers: Callable[[bytes], str | None]) -> PdfReader:
     return read
 
 
+def by_pages(raster: Callable[[bytes], Iterable[bytes]], read: Callable[[bytes], str | None]) -> Callable[[bytes], str | None]:
+    """A reader of page pictures: raster gives the pages of a file in order, read the text of each. A page that
+    fails is left out; a file that cannot be rastered has no text."""
+
+    def one(image: bytes) -> str | None:
+        try:
+            return read(image)
+        except Exception:  # the other pages still count
+            return None
+
+    def run(content: bytes) -> str | None:
+        try:
+            return joined_pages([one(image) for image in raster(content)])
+        except Exception:
+            return None
+
+    return run
+
+
+def by_model(raster: Callable[[bytes], Iterable[bytes]], reader: Reader, prompt: str, again: str) -> Callable[[bytes], str | None]:
+    """Pages read by a model, with one more try after a refusal and retries while it is busy."""
+    return by_pages(raster, lambda image: with_retries(lambda: read_page(reader, image, prompt, again)))
+
+
+_STREAM = re.compile(rb"<<(?P<head>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", re.S)
+_SHOWN = re.compile(rb"\((?P<text>(?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*)\)|<(?P<hex>[0-9A-Fa-f\s]+)>|(?P<gap>-\d{3,})|(?P<line>\b(?:Td|TD|Tm|T\*)|['\"]|\bET\b)", re.S)
+_OCTAL = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
+_PLAIN = {b"n": b"\n", b"r": b"\n", b"t": b"\t", b"b": b"", b"f": b"", b"\n": b""}
+
+
+def text_layer(content: bytes) -> str | None:
+    """The text that a PDF shows by strings in Latin letters; None for other files and fonts of their own coding.
+
+    Streams are read as they stand or inflated; wide gaps in a line of glyphs are blanks, moves begin a line.
+    """
+    if not content.startswith(b"%PDF-"):
+        return None
+    pages = []
+    for stream in _STREAM.finditer(content):
+        body = stream["body"]
+        if b"FlateDecode" in stream["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        out = b""
+        for block in re.findall(rb"\bBT\b.*?\bET\b", body, re.S):
+            for m in _SHOWN.finditer(block):
+                if m["text"] is not None:
+                    out += _OCTAL.sub(lambda o: bytes([int(o[1], 8) & 255]) if o[1].isdigit() else _PLAIN.get(o[1], o[1]), m["text"])
+                elif m["hex"]:
+                    digits = re.sub(rb"\s", b"", m["hex"])
+                    out += bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+                elif m["gap"]:
+                    out += b" "
+                elif not out.endswith(b"\n"):
+                    out += b"\n"
+        pages.append(out.decode("latin-1"))
+    text = joined_pages(pages)
+    shown = sum(c.isprintable() or c.isspace() for c in text)
+    return text if text and shown >= 0.9 * len(text) else None
+
+
 def joined_pages(pages: list[str | None]) -> str:
     """Pages in order, failed and empty ones left out, parted by a blank line."""
     return "\n\n".join(p.strip() for p in pages if p and p.strip())

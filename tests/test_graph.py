@@ -185,3 +185,15 @@ def test_fusion(spark):
     decayed = {r.uuid: round(r.score, 6) for r in fusion.decay_by_session(results).collect()}
     assert decayed == {"a": 1.0, "b": round(0.5 * math.exp(-0.15), 6), "c": 0.1}
     assert '"type":"edge"' in fusion.as_json_lines(results).first().line
+
+
+def test_neighbour_graph_is_kept_by_group(spark):
+    rows = [("g", f"a{i}", [float(i == j) + 0.1 for j in range(4)]) for i in range(4)] + [("h", f"b{i}", [1.0, float(i), 0.0, 0.0]) for i in range(3)]
+    vectors = spark.createDataFrame(rows, "group_id string, id string, embedding array<float>")
+    whole = community.neighbour_graph(vectors, k=2)
+    marked = spark.createDataFrame([("g", "x", "y", 4), ("h", "x", "y", 2)], whole.schema)
+    again = {tuple(r) for r in community.neighbour_graph(vectors, marked, 2).collect()}
+    assert {r for r in again if r[0] == "g"} == {("g", "x", "y", 4)}
+    assert {r for r in again if r[0] == "h"} == {tuple(r) for r in whole.where("group_id = 'h'").collect()} != set()
+    curved, found = community.neighbour_communities(whole)
+    assert curved.count() == whole.count() and {r.uuid for r in found.collect()} == {u for r in whole.collect() for u in (r.source_uuid, r.target_uuid)}

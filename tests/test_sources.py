@@ -1,4 +1,5 @@
 import json
+import zlib
 from datetime import datetime
 
 import pytest
@@ -136,7 +137,7 @@ def test_run_and_search(spark, tmp_path, capsys):
     cli.main([*store, "run", str(tmp_path / "notes")])
     cli.main([*store, "search", "Charles", "Babbage"])
     assert "Ada Lovelace is followed by Charles Babbage" in capsys.readouterr().out
-    for verb in (["status"], ["communities"], ["curvature", "--compute"], ["resolve"], ["search", "--format", "json", "engine"]):
+    for verb in (["status"], ["communities", "--knn"], ["communities", "--knn"], ["curvature", "--compute"], ["resolve"], ["search", "--format", "json", "engine"]):
         cli.main([*store, *verb])
     assert "done" in capsys.readouterr().out
 
@@ -155,6 +156,34 @@ def test_benchmark(spark, tmp_path):
     assert got["baseline", "overall"].n == 2 and got["baseline", "overall"].n_judged == 2
 
 
+def test_pdf_cascade():
+    def page(show, packed):
+        body = b"BT /F1 12 Tf 72 700 Td " + show + b" ET"
+        return b"1 0 obj << /Length 9 " + (b"/Filter /FlateDecode " if packed else b"") + b">>\nstream\n" + (zlib.compress(body) if packed else body) + b"\nendstream endobj\n"
+
+    pdf = b"%PDF-1.4\n" + page(rb"(A \(short\) caf\351) Tj 0 -14 Td [(wo) -20 (rd) -300 (two)] TJ", True) + page(rb"<48 69> Tj", False)
+    assert files.text_layer(pdf) == "A (short) caf\u00e9\nword two\n\nHi"
+    assert files.text_layer(b"no pdf") is None and files.text_layer(b"%PDF-1.4\n" + page(rb"<0001000200030004> Tj", False)) is None
+
+    def raster(content):
+        if content == b"broken":
+            raise ValueError
+        return [b"p1", b"bad", b"p2"]
+
+    class Model:
+        def read(self, image, prompt):
+            if image == b"bad":
+                raise ValueError
+            return "I cannot do that." if prompt == "read" and image == b"p2" else f"{image.decode()} by {prompt}"
+
+    pictures = files.by_model(raster, Model(), "read", "look again")
+    assert pictures(b"x") == "p1 by read\n\np2 by look again" and pictures(b"broken") is None
+    read = files.cascade(files.text_layer, lambda c: None, pictures)
+    assert read(pdf).startswith("A (short)") and read(b"%PDF-1.4 scan") == "p1 by read\n\np2 by look again"
+    with pytest.raises(ValueError):
+        files.cascade(files.text_layer)(b"broken")
+
+
 def test_models_fail_by_row(spark):
     df = spark.createDataFrame([("a",), ("bad",), (None,)], "t string")
 
