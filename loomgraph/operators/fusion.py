@@ -40,11 +40,11 @@ def decay_by_session(results: DataFrame) -> DataFrame:
     session = session_number(F.coalesce("source", F.lit("")))
     with_session = results.withColumn("_s", session)
     most = F.max("_s").over(Window.partitionBy("query_id"))
-    return with_session.withColumn("score", F.round(F.col("score") * recency_decay(F.col("_s"), most), 9)).drop("_s")
+    return with_session.withColumn("score", F.col("score") * recency_decay(F.col("_s"), most)).drop("_s")
 
 
 def ranked(results: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "type", "uuid")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "type", "uuid")
     return results.withColumn("rank", F.row_number().over(order))
 
 

@@ -289,8 +289,8 @@ lists(kind, query_id, uuid, part) AS (SELECT 'edge', query_id, uuid, CAST(1 AS D
 ), told AS (SELECT query_id, kind AS type, k.uuid, g.name AS title, g.fact AS body, score, coalesce(origin.source, '') AS source, g.valid_at FROM kept k JOIN g USING (uuid) LEFT JOIN origin ON edge_uuid = k.uuid WHERE kind = 'edge'
   UNION ALL SELECT query_id, kind, k.uuid, p.source, p.content, score, p.source, NULL FROM kept k JOIN p USING (uuid) WHERE kind = 'episode'
 ), sessions AS (SELECT *, {_SESSION.format("coalesce(source, '')")} AS s FROM told), newest AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS most FROM sessions
-), decayed AS (SELECT * REPLACE (round(score * CASE WHEN most > 1 AND s > 0 THEN exp(-0.3 * (most - s) / most) ELSE 1 END, 9) AS score) FROM newest)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, type, uuid) AS rank, type, uuid, title, body, round(score, 6) AS score, source, valid_at FROM decayed""",
+), decayed AS (SELECT * REPLACE (score * CASE WHEN most > 1 AND s > 0 THEN exp(-0.3 * (most - s) / most) ELSE 1 END AS score) FROM newest)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, type, uuid) AS rank, type, uuid, title, body, round(score, 6) AS score, source, valid_at FROM decayed""",
     "token_budget": f"""WITH {_P}, {_RESULTS}, c AS (SELECT query_id, uuid, CAST(sum(floor((strlen(coalesce(title, '') || coalesce(body, '')) + 3) / 4.0)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM r)
 SELECT query_id, uuid, used FROM c WHERE used <= 4000""",
     "temporal_decay": f"""WITH {_P}, {_RESULTS}, s AS (SELECT *, {_SESSION.format("coalesce(source, '')")} AS s FROM r), m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS most FROM s)
