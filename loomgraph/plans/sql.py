@@ -339,7 +339,7 @@ FROM r WHERE rank <= 10 GROUP BY query_id""",
 SELECT id, p->>'content' AS content, p->>'source' AS source, p->>'group_id' AS group_id, round(least(CAST(0.3 AS DOUBLE) * coalesce(attempts, 0), CAST(0.8 AS DOUBLE)), 6) AS temperature FROM x""",
     "queue_push": """WITH c AS (SELECT unnest(range(0, CAST(greatest(0, ceil((length(text) - 1500) / 1350.0) * 1350) AS BIGINT) + 1, 1350)) AS pos, text, source, group_id FROM documents WHERE text IS NOT NULL
 ), w AS (SELECT substring(text, pos + 1, 1500) AS chunk, source, group_id FROM c)
-SELECT 'ingest' AS type, 'pending' AS status, 3 AS max_attempts, source, group_id, count(*) AS n, sum(length(chunk)) AS characters FROM w WHERE strlen(trim(chunk, ' ')) >= 50 GROUP BY source, group_id""",
+SELECT 'ingest' AS type, 'pending' AS status, 3 AS max_attempts, source, group_id, count(*) AS n, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM w WHERE strlen(trim(chunk, ' ')) >= 50 GROUP BY source, group_id""",
     "ingest_graph": f"""WITH {_JOBS}, x AS (SELECT DISTINCT coalesce(payload->>'group_id', 'default') AS group_id, payload->>'content' AS content, coalesce(payload->>'source', '') AS source FROM j
   WHERE (CASE WHEN status = 'processing' AND updated_at < {_NOW} - INTERVAL 5 MINUTE THEN 'pending' ELSE status END) = 'pending' AND (not_before IS NULL OR not_before <= {_NOW}) AND json_valid(payload) AND payload->>'content' IS NOT NULL
 ), names AS (SELECT group_id, content, source, regexp_extract_all(content, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b') AS every FROM x
