@@ -1,6 +1,7 @@
 import itertools
 import random
 import string
+import time
 
 import duckdb  # noqa: F401
 import numpy as np
@@ -281,6 +282,41 @@ def test_probes_are_complete():
     assert np.mean([len(block.probe(block.codes[i : i + 1], 8)) for i in range(0, 3_000, 100)]) < 0.05 * 3_000
 
 
+def test_neighbours_of_evenly_spread_vectors_are_whole(spark):
+    x = np.random.default_rng(6).normal(size=(4_000, 32)).astype(np.float32)
+    records = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)], "uuid string, embedding array<float>")
+    queries = spark.createDataFrame([(i, f"{i:04}") for i in range(400)], "query_id bigint, uuid string")
+    s = np.round(neighbours.unit_rows(x[:400]) @ neighbours.unit_rows(x).T, 9)
+    s[np.arange(400), np.arange(400)] = -2
+    wanted = {(i, f"{j:04}") for i in range(400) for j in np.lexsort((np.arange(4_000), -s[i]))[:10]}
+    assert {(r.query_id, r.uuid) for r in neighbours.nearest(spark, records, queries, 10).collect()} == wanted
+
+
+def test_search_of_a_block_costs_little_more_than_its_products():
+    rng = np.random.default_rng(8)
+    even = rng.normal(size=(40_000, 32))
+    close = np.repeat(rng.normal(size=(400, 32)), 100, axis=0) + 0.1 * rng.normal(size=even.shape)
+    uuids, asked = np.array([f"{i:05}" for i in range(40_000)], object), np.arange(0, 40_000, 100)
+    for x in (even, close):
+        model = neighbours.Codes(x[::4])
+        block = neighbours.Block(model, uuids, x)
+        unit = neighbours.unit_rows(x)
+        began = time.process_time()
+        s = unit[asked] @ unit.T
+        order = np.argpartition(-s, 11)[:, :11]
+        products = time.process_time() - began
+        floors = np.partition(unit[asked] @ unit[::4].T, -11)[:, -11]
+        began = time.process_time()
+        ids, rows, _ = block.best(asked, uuids[asked], unit[asked], model.encode(x[asked]), 10, floors)
+        assert time.process_time() - began < products
+        found = set(zip(ids.tolist(), rows.tolist(), strict=True))
+        true = {(int(i), int(j)) for i, found_rows in zip(asked, order, strict=True) for j in found_rows if i != j}
+        assert len(true & found) > 0.995 * len(true)
+        # Queries found by buckets get the same rows and cosines as those compared with all rows.
+        some = [i for i, f in enumerate(floors) if block.pays(model.within(f))]
+        assert x is even or some
+
+
 PAGE = """<html><body><div id=nav><a href=x>one</a> <a href=y>two</a> <a href=z>three</a></div>
 <div><h2>Title</h2><p>Body text that runs on for a while so that it is dense with characters and few tags.</p><p>More of the body.</p></div></body></html>"""
 CASES = [
