@@ -112,6 +112,26 @@ def test_learned_order_over_steps_and_cycles(spark):
     assert survivors.topological_latest(df.limit(0), steps).count() == 0 and survivors.topological_latest(df, steps.limit(0)).count() == 5
 
 
+def test_listed_order_has_the_learned_edges_that_agree(spark, monkeypatch):
+    steps = spark.createDataFrame([("name", a, b) for a, b in ["pq", "qr", "xy", "yx"]], "field string, earlier string, later string")
+    tied = [("g1", "p", "1"), ("g1", "r", "2"), ("g2", "p", "4"), ("g2", "r", "3"), ("g2", "o", "5"), ("g3", "x", "6"), ("g3", "y", "7"), ("g4", "p", "8")]
+    df = spark.createDataFrame([(g, "name", v, u) for g, v, u in tied], "group_uuid string, field string, value string, uuid string")
+    edges = {(r.group_uuid, r.value, r.later, r.source) for r in survivors.currency_edges(df, steps, LISTED).collect()}
+    # That r follows p contradicts the uuids of g1 and agrees with those of g2; x and y form a cycle.
+    assert edges == {("g1", "r", "p", "uuid"), ("g2", "p", "r", "learned"), ("g2", "p", "r", "uuid"), ("g2", "o", "r", "uuid"), ("g3", "y", "x", "uuid")}
+    assert {r.group_uuid: r.uuid for r in survivors.topological_latest(df, steps, LISTED).collect()} == {"g1": "1", "g2": "3", "g3": "6", "g4": "8"}
+    edges = {(r.group_uuid, r.value, r.later, r.source) for r in survivors.currency_edges(df, steps).collect()}
+    assert edges == {("g1", "p", "r", "learned"), ("g2", "p", "r", "learned"), ("g2", "o", "r", "uuid"), ("g3", "y", "x", "uuid")}
+    # The listed order is learned and read off too.
+    learnt, learn = [], survivors.learn_transitions
+    monkeypatch.setattr(survivors, "learn_transitions", lambda *a: learnt.append(learn(*a)) or learnt[-1])
+    ts = lambda s: pd.Timestamp(s).to_pydatetime()
+    rows = [entity("a", "late", at=ts("2021-01-01")), entity("b", "early", at=ts("2020-01-01")), entity("c", "early"), entity("d", "late")]
+    groups = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "c"), ("c", "d")], "group_uuid string, uuid string")
+    got = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(groups, spark.createDataFrame(rows, ENTITY), trust=LISTED).collect()}
+    assert (got[("a", "name")], got[("c", "name")]) == ("a", "c") and {tuple(r) for r in learnt[0].collect()} == {("name", "early", "late")}
+
+
 LINES = {
     "The compiler was deployed before anyone looked at the sched-": "broken_word",
     "uler.": None,
