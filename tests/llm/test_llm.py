@@ -132,6 +132,21 @@ def test_listed_order_has_the_learned_edges_that_agree(spark, monkeypatch):
     assert (got[("a", "name")], got[("c", "name")]) == ("a", "c") and {tuple(r) for r in learnt[0].collect()} == {("name", "early", "late")}
 
 
+def test_values_are_made_plain_once(spark, monkeypatch):
+    calls, make = [], survivors.plain_values
+    monkeypatch.setattr(survivors, "plain_values", lambda *a: calls.append(a) or make(*a))
+    ts = lambda s: pd.Timestamp(s).to_pydatetime()
+    rows = [entity(f"{i:03}", None if 5 < i < 90 else "a" if i < 50 else "b", "t", at=ts("2020-01-01") + pd.Timedelta(days=i), text="x" if i % 2 else "y") for i in range(100)]
+    rows += [entity("u", "\u00a0N /\tA ", "unknown" + "\t" * 40, at=ts("2022-01-01"), text="A  long text \n of more than the letters of a stand-in")]
+    entities = spark.createDataFrame(rows, ENTITY)
+    groups = entities.select(F.lit("000").alias("group_uuid"), "uuid")
+    got = {(r.group_uuid, r.field): r.uuid for r in survivors.field_sources(groups, entities, trust=LISTED).collect()}
+    assert got == {("000", "name"): "099", ("000", "entity_type"): "099", ("000", "description"): "u"} and len(calls) == 1
+    # One group over all partitions, of which those between hold no name: b follows a over them.
+    spread = survivors.learn_transitions(survivors.group_members(groups, entities).repartition(8)).collect()
+    assert {tuple(r) for r in spread} == {("name", "a", "b"), ("description", "y", "x"), ("description", "x", "a long text of more than the letters of a stand-in")}
+
+
 LINES = {
     "The compiler was deployed before anyone looked at the sched-": "broken_word",
     "uler.": None,
