@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -97,6 +98,29 @@ def test_full_text_golden_scores(spark):
     assert search_text.bm25(docs, queries.withColumn("group_id", F.lit("other")), 10).count() == 0
 
 
+def test_full_text_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search_text, "DOCUMENTS", 3)
+    monkeypatch.setattr(search_text, "QUERIES", 2)
+    texts = ["runs a run", "The runner", "run, run_fast", "", None, "fast cars", "a run"] * 3
+    docs = [(f"{i:02}", t, "gh"[i % 2]) for i, t in enumerate(texts)]
+    asked = [(i, t, "ghk"[i % 3]) for i, t in enumerate(["run", "ru fast_run", "run run", "carsick", "cars of", "", "the a runs 7"])]
+    words = {d: re.findall(r"[a-z0-9]+", (t or "").lower()) for d, t, _ in docs}
+    mean = sum(map(len, words.values())) / len(docs)
+
+    def score(term, doc):
+        tf, n = sum(w.startswith(term) for w in words[doc]), sum(any(w.startswith(term) for w in own) for own in words.values())
+        return max(math.log((len(docs) - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[doc]) / mean))
+
+    wanted = set()
+    for q, text, group in asked:
+        terms = [x for w in text.split() if len(w) > 1 or w.isdigit() for x in w.split("_")]
+        scored = [(-round(sum(score(t, d) for t in terms), 9), d) for d, _, g in docs if g == group and any(w.startswith(t) for t in terms for w in words[d])]
+        wanted |= {(q, d, -s, i) for i, (s, d) in enumerate(sorted(scored)[:4])}
+    found = search_text.bm25(spark.createDataFrame(docs, "doc string, text string, group_id string"), spark.createDataFrame(asked, "query_id bigint, text string, group_id string"), 4, False)
+    got = {tuple(r) for r in found.collect()}
+    assert {(q, d, round(s, 8), i) for q, d, s, i in got} == {(q, d, round(s, 8), i) for q, d, s, i in wanted} and len(got) > 12
+
+
 def test_model_output(spark):
     assert clean_output('<think>x</think>```json\n{"a": 1}\n```') == '{"a": 1}'
     assert clean_output("<think>never closed") == ""
