@@ -410,8 +410,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curvature_cost_hist(spark: SparkSession, d: str) -> DataFrame:
-    costs = curvature.edge_costs(_pairs(spark, d))
-    return costs.groupBy("group_id", "lo", "hi").agg(*[F.count_if(F.col("cost") == c).alias(f"n{c}") for c in range(4)])
+    return curvature.cost_counts(_pairs(spark, d))
 
 
 def _curved(spark: SparkSession, d: str) -> DataFrame:

@@ -63,6 +63,23 @@ def test_curvature(spark, edges, wanted):
     assert all(-2 <= v <= 1 for v in got.values())
 
 
+def test_curvature_by_blocks_equals_all_costs(spark):
+    rng = np.random.default_rng(5)
+    links = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 40, (150, 2)).tolist() if a != b} | {(0, i) for i in range(1, 40, 2)}
+    adjacent = {f"{i:02}": sorted({f"{y:02}" for x in links for y in x if i in x and y != i}) for i in range(40)}
+    rows = [(g, f"{a:02}", f"{b:02}") for g in "gh" for a, b in links] + [("k", "a", "b"), ("k", "a", "b")]
+    found = curvature.transports(spark.createDataFrame(rows, "group_id string, lo string, hi string"), work=3_000).collect()
+    assert len(found) == 2 * len(links) + 1
+    for r in found:
+        if r.group_id == "k":
+            assert (r.n0, r.n1, r.n2, r.n3, r.curvature) == (0, 1, 0, 0, 0.0)
+            continue
+        u, v = adjacent[r.lo], adjacent[r.hi]
+        assert r.curvature == curvature.edge_curvature(u, v, adjacent)  # to the last bit
+        costs = [0 if a == b else 1 if b in adjacent[a] else 2 if b in u or a in v else 3 for a in u for b in v]
+        assert [r.n0, r.n1, r.n2, r.n3] == [costs.count(c) for c in range(4)]
+
+
 def test_transport():
     assert curvature.greedy_transport(np.array([[0.0, 1], [1, 0]])) == 0
     assert curvature.greedy_transport(np.array([[1.0]])) == 1
