@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.porter import stem
 from loomgraph.functions.text import fields
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, release
 
 K1, B = 1.2, 0.75
 APART = r"[^\p{L}\p{N}\p{M}]+"
@@ -189,4 +189,6 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int, stemmed: bool = True)
     key = ["group_id", "x", "y"]
     best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best_of_block(k, stats.total / max(1, stats.n_docs), to_arrow_schema(out)), out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+    best = cut_lineage(best)
+    release(held, asked, terms)
     return best.select("query_id", "doc", "score", (F.row_number().over(order) - 1).alias("rank")).where(F.col("rank") < k)

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.vectors import normalise
 from loomgraph.session import cut_lineage
 
 BLOCK = 8_192
 
 
 def _vectors(df: DataFrame) -> DataFrame:
-    return df.where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    rows = df.select("group_id", F.size("embedding").alias("dim"), "id", "embedding")
+    return rows.where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
 
 
 def similar(vectors: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -31,34 +31,36 @@ def similar(vectors: DataFrame, queries: DataFrame, threshold: float, k: int) ->
     return near.join(asked.select("id", "query_id"), "id").select("query_id", F.col("other").alias("id"), "score", (F.col("rank") - 1).alias("rank"))
 
 
+def _units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors of length one) of rows of one dimension, in the order of ids; without those of a null, not finite or no length."""
+    ids, vectors = np.array(table["id"].to_pylist(), object), table["embedding"].combine_chunks().flatten()
+    x = vectors.to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), len(vectors) // max(1, len(ids)))
+    size = np.sqrt((x * x).sum(1))
+    fits = np.flatnonzero(np.isfinite(size) & (size > 0))
+    fits = fits[np.argsort(ids[fits], kind="stable")]
+    return ids[fits], x[fits] / size[fits, None]
+
+
 def _best_of_block(k: int):
     """Pairs of a block of rows and a block of others: the k best others for each row."""
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
-        own, others = table.filter(table["own"]), table.filter(pa.compute.invert(table["own"]))
-        if not own.num_rows or not others.num_rows:
+        ids, a = _units(table.filter(table["own"]))
+        other_ids, b = _units(table.filter(pa.compute.invert(table["own"])))
+        if not len(ids) or not len(other_ids):
             return SCHEMA_EMPTY
-        dim = {len(v) for t in (own, others) for v in t["v"].to_pylist()}
-        ids, other_ids = np.array(own["id"].to_pylist(), object), np.array(others["id"].to_pylist(), object)
         rows: tuple[list, list, list] = ([], [], [])
-        if len(dim) == 1:
-            d = dim.pop()
-            a = own["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-            b = others["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-            by_id = np.argsort(other_ids, kind="stable")
-            other_ids, b = other_ids[by_id], b[by_id]
-            for lo in range(0, len(a), 512):
-                s = a[lo : lo + 512] @ b.T
-                s[ids[lo : lo + 512, None] == other_ids[None]] = -np.inf
-                top = min(k, s.shape[1])
-                best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                least = np.take_along_axis(s, best, 1).min(1)
-                r, c = np.nonzero(s >= least[:, None] - 1e-9)  # scores are rounded before ranking
-                keep = s[r, c] > -np.inf
-                for x, y in ((r[keep], c[keep]),):
-                    rows[0].extend(ids[lo + x])
-                    rows[1].extend(other_ids[y])
-                    rows[2].extend(s[x, y].tolist())
+        for lo in range(0, len(a), 512):
+            s = a[lo : lo + 512] @ b.T
+            s[ids[lo : lo + 512, None] == other_ids[None]] = -np.inf
+            top = min(k, s.shape[1])
+            least = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
+            r, c = np.nonzero(s >= least[:, None] - 1e-9)  # scores are rounded before ranking
+            keep = s[r, c] > -np.inf
+            x, y = r[keep], c[keep]
+            rows[0].extend(ids[lo + x])
+            rows[1].extend(other_ids[y])
+            rows[2].extend(s[x, y].tolist())
         return pa.table({"id": pa.array(rows[0], pa.string()), "other": pa.array(rows[1], pa.string()), "score": pa.array(rows[2], pa.float64())})
 
     return run
@@ -67,28 +69,23 @@ def _best_of_block(k: int):
 SCHEMA_EMPTY = pa.table({"id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
 
 
-def _unit(df: DataFrame) -> DataFrame:
-    unit = _vectors(df).select("group_id", F.size("embedding").alias("dim"), "id", normalise(F.col("embedding")).alias("v"))
-    return unit.where("v IS NOT NULL AND NOT exists(v, x -> isnan(x))")
-
-
 def nearest_neighbours(vectors: DataFrame, k: int = 20, block: int = BLOCK, asked: DataFrame | None = None) -> DataFrame:
     """(group_id, id, other, score, rank): exact k nearest others within each group by cosine.
 
     vectors: id, group_id, embedding, one row an id; asked, of the same columns, is whose neighbours come out,
     by default all. Every group is cut into blocks of about `block` rows on both sides; each pair of blocks is
     one task of a bounded size, whatever the size of the group, and sends on only k candidates a row. Only
-    vectors of the same length are neighbours. Scores are rounded to 9 decimals, equal ones ordered by id.
+    vectors of the same dimension are neighbours; they are brought to length one in the tasks. Scores are rounded to 9 decimals, equal ones ordered by id.
     """
     key = ["group_id", "dim"]
-    unit = cut_lineage(_unit(vectors))
-    mine = unit if asked is None else cut_lineage(_unit(asked))
+    unit = cut_lineage(_vectors(vectors))
+    mine = unit if asked is None else cut_lineage(_vectors(asked))
     blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = blocks(unit, "others").join(blocks(mine, "owns"), key)
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = mine.join(sizes, key).select(*key, "id", "v", part("owns").alias("x"), every("others").alias("y"), F.lit(True).alias("own"))
-    others = unit.join(sizes, key).select(*key, "id", "v", every("owns").alias("x"), part("others").alias("y"), F.lit(False).alias("own"))
+    own = mine.join(sizes, key).select(*key, "id", "embedding", part("owns").alias("x"), every("others").alias("y"), F.lit(True).alias("own"))
+    others = unit.join(sizes, key).select(*key, "id", "embedding", every("owns").alias("x"), part("others").alias("y"), F.lit(False).alias("own"))
     best = own.unionByName(others).groupBy(*key, "x", "y").applyInArrow(_best_of_block(k), "id string, other string, score double")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     ranked = best.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -250,20 +250,20 @@ def edge_source(spark: SparkSession, d: str) -> DataFrame:
 # Search.
 
 
-def _named(spark: SparkSession, d: str) -> DataFrame:
-    """What the entities, edges and episodes named in vector_queries are called, with their group and vector."""
-    q = table(spark, d, "vector_queries")
+def _named(spark: SparkSession, d: str, tables: list[DataFrame] | None = None) -> DataFrame:
+    """What the entities, edges and episodes (tables, where they are at hand) named in vector_queries are called, with their group and vector."""
+    q, tables = table(spark, d, "vector_queries"), tables or [t(spark, d) for t in (_entities, _edges, _episodes)]
     parts = [
-        q.where(F.col("kind") == kind).join(rows(spark, d).select("uuid", F.col(c).alias("text"), "group_id", "embedding"), "uuid")
-        for kind, rows, c in (("entities", _entities, "name"), ("edges", _edges, "fact"), ("episodes", _episodes, "source"))
+        q.where(F.col("kind") == kind).join(rows.select("uuid", F.col(c).alias("text"), "group_id", "embedding"), "uuid")
+        for kind, rows, c in zip(("entities", "edges", "episodes"), tables, ("name", "fact", "source"), strict=True)
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.select("query_id", "kind", "uuid", "text", "group_id", F.when(usable(F.col("embedding"), 32), F.col("embedding")).alias("embedding"))
 
 
-def _searches(spark: SparkSession, d: str) -> DataFrame:
+def _searches(spark: SparkSession, d: str, tables: list[DataFrame] | None = None) -> DataFrame:
     """Searches for them in their own groups."""
-    return cut_lineage(_named(spark, d).where("text IS NOT NULL").select("query_id", "text", "group_id", "embedding"))
+    return cut_lineage(_named(spark, d, tables).where("text IS NOT NULL").select("query_id", "text", "group_id", "embedding"))
 
 
 def _documents(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -330,7 +330,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, d: str, stemmed: bool) -> DataFrame:
     tables = [cut_lineage(t(spark, d)) for t in (_entities, _edges, _episodes)]  # each is read by many stages
-    found = fusion.search(_searches(spark, d), *tables, stemmed=stemmed)
+    found = fusion.search(_searches(spark, d, tables), *tables, stemmed=stemmed)
     return found.select("query_id", "rank", "type", "uuid", "title", "body", F.round("score", 6).alias("score"), "source", "valid_at")
 
 

@@ -133,6 +133,16 @@ def test_neighbour_graph_against_brute_force(spark):
     assert before.exceptAll(after).count() == 0 and after.count() > before.count()
 
 
+def test_vectors_are_blocked_as_they_are(spark):
+    rows = [("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", [float("nan"), 1.0]), ("d", [1.0, None]), ("e", [float("inf"), 1.0]), ("f", [6.0, 8.0]), ("h", [4.0, 3.0]), ("i", [1.0]), ("j", []), ("k", None)]
+    vectors = spark.createDataFrame([("g", *r) for r in rows], "group_id string, id string, embedding array<float>")
+    near = similarity.nearest_neighbours(vectors, 5)
+    assert {(r.id, r.other, r.score) for r in near.collect()} == {(a, b, 1.0 if {a, b} == {"a", "f"} else 0.96) for a in "afh" for b in "afh" if a != b}
+    # What is written and shuffled is the vector as stored, not its doubles of length one.
+    assert "array<double>" not in similarity._vectors(vectors)._jdf.queryExecution().optimizedPlan().schema().simpleString()
+    assert "embedding" in similarity._vectors(vectors).columns
+
+
 def test_cosine_rules(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0]), ([], [])], "a array<float>, b array<float>")
     assert [r.c for r in rows.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0]
