@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import curvature, folds, similarity
 from loomgraph.session import cut_lineage
 
+#: Edges of a group, both ways, up to which it is worked on in one task.
+WHOLE = 1_000_000
+
 
 def _proposals(inner: DataFrame, state: DataFrame, total: DataFrame, resolution: float) -> DataFrame:
     """state with to and up, the move from trial of the greatest gain (null if none gains), and its part of the modularity."""
@@ -84,18 +90,113 @@ def _local_moves(edges: DataFrame, resolution: float) -> DataFrame:
         state, number = after.where("going").drop("going"), number + 1
 
 
-def louvain(weights: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
+def _draw(seeds: np.ndarray, number: int) -> np.ndarray:
+    """xxhash64 of an int after what the seeds are hashes of, as Spark has it."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = (seeds + p5 + np.uint64(4)) ^ (np.uint64(number) * p1)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order with the sum of w."""
+    if not len(a):
+        return a, b, w
+    n = int(b.max()) + 1
+    keys, of = np.unique(a * n + b, return_inverse=True)
+    return keys // n, keys % n, np.bincount(of, w, len(keys))
+
+
+def _settled(s: np.ndarray, d: np.ndarray, w: np.ndarray, seeds: np.ndarray, resolution: float) -> np.ndarray:
+    """Of one group, _local_moves in the same rounds: the community of each number, its own for what has no edge."""
+    n = len(seeds)
+    node = np.unique(s)
+    k = np.bincount(s, w, n)
+    m2 = k.sum()
+    inner = s != d
+    s, d, w = s[inner], d[inner], w[inner]
+    com, to, up, trial = np.arange(n), np.full(n, -1), np.zeros(n), np.arange(n)
+    q, one_in, number = None, 2, 0
+    while True:
+        tot = np.bincount(trial[node], k[node], n)
+        x, c, links = _summed(np.concatenate([s, node]), np.concatenate([trial[d], trial[node]]), np.concatenate([w, np.zeros(len(node))]))
+        home = c == trial[x]
+        gain = np.round(links - resolution * k[x] * (tot[c] - np.where(home, k[x], 0.0)) / m2, 9)
+        part = links[home] - resolution * k[x[home]] * tot[c[home]] / m2
+        at_home = np.zeros(n)
+        at_home[x[home]] = gain[home]
+        x, c, gain = x[~home], c[~home], gain[~home]
+        best = np.lexsort((c, -gain, x))
+        best = best[np.r_[True, x[best][1:] != x[best][:-1]]] if len(best) else best
+        new_up = np.round(gain[best] - at_home[x[best]], 9)
+        best, new_up = best[new_up > 0], new_up[new_up > 0]
+        new_q = np.round(part.sum(), 9)
+        if q is None or new_q > q:
+            com, q, one_in = trial, new_q, max(one_in // 2, 2)
+            to, up = np.full(n, -1), np.zeros(n)
+            to[x[best]], up[x[best]] = c[best], new_up
+        else:
+            one_in *= 2
+        moves = np.flatnonzero(to >= 0)
+        if not len(moves) or one_in >= 16:
+            return com
+        ranked = moves[np.lexsort((moves, -up[moves]))][::-1]
+        first = np.full(n, -1)
+        both = np.concatenate([com[ranked], to[ranked]])
+        order = np.argsort(np.tile(np.arange(len(ranked)), 2), kind="stable")  # the best move comes last and stays
+        first[both[order]] = np.tile(ranked, 2)[order]
+        going = (first[com[moves]] == moves) & (first[to[moves]] == moves)
+        if one_in <= 4:
+            going |= _draw(seeds[moves], number) % np.uint64(one_in) == 0
+        trial = com.copy()
+        trial[moves[going]] = to[moves[going]]
+        number += 1
+
+
+def _whole_group(resolution: float):
+    """All levels of a group whose edges fit in a task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = pc.unique(table["s"])
+        names = names.take(pc.sort_indices(names))  # numbers in the order of uuids
+        s, d = (pc.index_in(table[c], value_set=names).to_numpy().astype(np.int64) for c in ("s", "d"))
+        seeds = np.zeros(len(names), np.uint64)
+        seeds[s] = table["seed"].to_numpy().view(np.uint64)
+        w, place = table["w"].to_numpy(), np.arange(len(names))
+        while True:
+            moved = _settled(s, d, w, seeds, resolution)
+            if (moved == np.arange(len(names))).all():
+                break
+            place = moved[place]
+            s, d, w = _summed(moved[s], moved[d], w)
+        return pa.table({"group_id": table["group_id"].slice(0, 1).take(pa.array(np.zeros(len(names), np.int64))), "uuid": names, "to": names.take(pa.array(place))})
+
+    return run
+
+
+def louvain(weights: DataFrame, nodes: DataFrame, resolution: float = 1.0, whole: int = WHOLE) -> DataFrame:
     """(group_id, uuid, community_id) of weights (group_id, lo, hi, weight) and nodes (group_id, uuid).
 
     Communities of each group are numbered from 0 by size, then smallest member; isolated nodes are their
     own. Groups of fewer than two nodes get none. Levels go on until no community merges, moves within a
-    level until none gains. All steps are joins and aggregations, so no group is gathered in a task; results
-    do not depend on the order of rows.
+    level until none gains. A group of more than `whole` edges, both ways, is moved by joins and aggregations,
+    level by level until its communities have fewer edges; then, or at once, all its rounds are the same
+    ones in a task. Results depend neither on the order of rows nor on `whole`.
     """
     pairs = weights.select("group_id", F.col("lo").alias("s"), F.col("hi").alias("d"), F.col("weight").cast("double").alias("w"))
     edges = cut_lineage(pairs.unionByName(pairs.select("group_id", F.col("d").alias("s"), F.col("s").alias("d"), "w")))
     place = cut_lineage(nodes.select("group_id", "uuid").distinct().withColumn("com", F.col("uuid")))
     while True:
+        large = cut_lineage(edges.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("group_id"))
+        fitting = edges.join(F.broadcast(large), "group_id", "left_anti").withColumn("seed", F.xxhash64("group_id", "s"))  # one row a group
+        settled = fitting.groupBy("group_id").applyInArrow(_whole_group(resolution), "group_id string, uuid string, to string")
+        place = cut_lineage(place.join(settled.withColumnRenamed("uuid", "com"), ["group_id", "com"], "left").select("group_id", "uuid", F.coalesce("to", "com").alias("com")))
+        if large.isEmpty():
+            break
+        edges = edges.join(F.broadcast(large), "group_id", "left_semi")
         moved = cut_lineage(_local_moves(edges, resolution))
         if moved.where("node <> com").isEmpty():
             break

@@ -106,6 +106,16 @@ def test_louvain_goes_on_until_nothing_merges(spark):
     assert {frozenset(u for u in of if of[u] == c) for c in of.values()} == {frozenset(f"{i:03}" for i in range(k, 120, 4)) for k in range(4)}
 
 
+def test_louvain_in_a_task_equals_joins(spark):
+    rng = np.random.default_rng(8)
+    links = [(g, f"{i:02}", f"{j:02}", int(rng.integers(1, 4))) for g in "ab" for i in range(40) for j in range(i) if rng.random() < (0.4 if i % 5 == j % 5 else 0.06)] + [("c", "x", "y", 1)]
+    weighted = spark.createDataFrame(links, "group_id string, lo string, hi string, weight bigint")
+    nodes = weighted.select("group_id", F.explode(F.array("lo", "hi")).alias("uuid")).distinct()
+    of = lambda most: {tuple(r) for r in community.louvain(weighted, nodes, whole=most).collect()}
+    found = of(10**6)
+    assert len(found) == nodes.count() and found == of(0) == of(150)  # all in tasks, all by joins, by joins until few edges are left
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}") for i in range(300)] + [("z1", "z2")], "lo string, hi string")
     got = graph.components(chain).groupBy("component").count().collect()
